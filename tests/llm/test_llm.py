@@ -88,10 +88,7 @@ def test_near_duplicates_chain_and_odd_texts(spark):
 
 def test_signatures_estimate_probability_jaccard():
     a, b = {i: 1 + i % 3 for i in range(60)}, {i: 1 + i % 2 for i in range(20, 80)}
-    want = sum(1 / sum(max(a.get(x, 0) / a.get(y, 1e-9) if y in a else 0, 0) for x in a) for y in [])
-    wa, wb = sum(a.values()), sum(b.values())
     want = sum(1 / sum(max(a.get(x, 0) / a[i], b.get(x, 0) / b[i]) for x in set(a) | set(b)) for i in set(a) & set(b))
-    assert wa and wb
     doc = np.array([0] * len(a) + [1] * len(b))
     g = probminhash.mix(np.array([*a, *b], np.uint64) + np.uint64(77))
     s = probminhash.signatures(doc, g, np.array([*a.values(), *b.values()]), 2, 4096)
@@ -296,7 +293,7 @@ def test_substring_dedup_matches_brute_force(spark, documents, heavy):
 
 def test_language_id(spark, documents):
     rows = spark.createDataFrame(documents)
-    extra = docs_of(spark, ODD + ["123 !!"], range(10_000, 10_011)).withColumn("lang", rows.lang)if False else docs_of(spark, ODD + ["123 !!"], range(10_000, 10_011))
+    extra = docs_of(spark, ODD + ["123 !!"], range(10_000, 10_011))
     got = langid.identify(rows.unionByName(extra)).toPandas().set_index("doc_id")
     assert (got.loc[[10_000, 10_001, 10_002, 10_010]].lang_pred == "und").all()
     own = documents.set_index("doc_id")
@@ -326,8 +323,8 @@ def test_base_score_matches_brute_force(spark, documents):
     for r, t, o in zip(got.itertuples(), tokens, out, strict=True):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (o, len(t), sum(count[x] > 0 for x in t), n)
         assert r.base_score == pytest.approx(sum(np.log10((count[x] + 1) / (n + v + 1)) for x in t), rel=1e-6)
-    held = got[got.held_out]
-    assert held.score.sum() > held.base_score.sum()
+    flat = suffix_tree.score_held_out(docs_of(spark, texts), depth=0).toPandas()
+    assert got[got.held_out].score.sum() > 0.8 * flat[flat.held_out].score.sum()
 
 
 def test_suffix_tree_matches_brute_force(spark):
@@ -455,7 +452,6 @@ def test_pipeline_stages_compose(spark, data):
         sizes.append(docs.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > sizes[0] / 2
     texts = docs.toPandas().set_index("doc_id").text
-    assert not any(x[1] for x in repeats_by_force(list(texts)) if False)
     packed = p.run(spark, data).toPandas()
     assert set(packed.doc_id) == set(texts.index)
 
