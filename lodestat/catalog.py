@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestat.operators import tables
+from lodestat.plans import core, registry
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/orders.parquet")
+    """All-pass rate with its interval by priority, over the lines of each order."""
+    j = spark.read.parquet(f"{d}/lineitem.parquet").join(spark.read.parquet(f"{d}/orders.parquet"), [core.F.col("l_orderkey") == core.F.col("o_orderkey")])
+    return tables.rate_by(j, core.S.all_pass(*core.gates().values()), ["o_orderpriority"])
