@@ -1,21 +1,23 @@
 """MinHash near-dedup (operator 1): ProbMinHash signatures of weighted word shingles, banding, exact verification, components.
 
-Texts with the same words collapse to one vertex first. A vertex is named by the MD5 of its words. Each shingle of weight w sends a
+Texts with the same words collapse to one vertex first, named by the MD5 of its word hashes. Each shingle of weight w sends a
 Poisson process of rate w to M registers; a register keeps its earliest arrival, and a process ends once its next arrival is later
 than every register. Registers of two texts agree with their probability Jaccard similarity. Texts that agree on a band of ROWS
-registers are candidates. A bucket of n texts never emits its n * n pairs: all are compared with one centre, first the same one in
-every band, then another one where a bucket still holds several components; what is left is compared across components only, so no
-candidate link between different components is lost. Links have multiset Jaccard similarity of SIMILARITY or more, measured exactly.
+registers are candidates. A bucket of n texts never emits its n * n pairs: all are compared with one centre, the bucket's most popular
+text. Where a bucket still holds several components, texts that cannot link to any other, because too many of their shingles are theirs alone,
+leave; the rest are compared with a new centre and at last across components, so no candidate link between components is lost. Links have multiset Jaccard similarity of SIMILARITY or more, measured exactly.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestat.llm.common import materialize, mix, ragged, rolling, sliced, small, word_hashes, words
 
@@ -66,12 +68,18 @@ def bands(winner: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
-def _vertex(text: str) -> Column:
-    return F.unhex(F.md5(F.array_join(words(F.col(text)), " ")))
+def _hashed(docs: DataFrame, text: str, *more: Column) -> DataFrame:
+    return docs.select(*more, F.xxhash64(F.col(text)).alias("t"), word_hashes(words(F.col(text))).alias("h"))
 
 
-def band_table(docs: DataFrame, text: str, shingle: int, m: int, rows: int) -> DataFrame:
-    """(bucket, v, n): the band keys of each distinct text with a word; n is its number of shingles."""
+def _vertices(h: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """MD5 of each document's word hashes, null without words."""
+    raw = h.tobytes()
+    return pa.array([hashlib.md5(raw[8 * a : 8 * e]).digest() if e > a else None for a, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+
+
+def signed(docs: DataFrame, key: str, text: str, shingle: int, m: int, rows: int) -> DataFrame:
+    """(k, t, v, n, keys) of each row: key, hash of the text, vertex (null without words), number of shingles, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "h", 1_000_000):
@@ -79,14 +87,16 @@ def band_table(docs: DataFrame, text: str, shingle: int, m: int, rows: int) -> D
             doc, g, weight = weighted_shingles(h, offsets, shingle)
             keys = bands(signatures(doc, g, weight, b.num_rows, m), rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(np.maximum(np.diff(offsets) - shingle + 1, 1)), lists], names=["v", "n", "keys"])
+            n = np.maximum(np.diff(offsets) - shingle + 1, 1)
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), _vertices(h, offsets), pa.array(n), lists], names=["k", "t", "v", "n", "keys"])
 
-    wide = docs.select(_vertex(text).alias("v"), word_hashes(words(F.col(text))).alias("h")).where(F.size("h") > 0)
-    return wide.mapInArrow(run, "v binary, n long, keys array<bigint>").select(F.explode("keys").alias("bucket"), "v", "n").distinct()
+    kind = docs.schema[key].dataType.simpleString()
+    return _hashed(docs, text, F.col(key).alias("k")).mapInArrow(run, f"k {kind}, t long, v binary, n long, keys array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """(v, s): a number for each shingle and repeat, so that the Jaccard similarity of the sets is that of the multisets."""
+def shingle_sets(docs: DataFrame, texts: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(v, s) for the texts (v, t): a number for each shingle and repeat, so that the Jaccard similarity of the sets is that of the
+    multisets. Other documents are dropped before their words are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "h", 1_000_000):
@@ -96,16 +106,18 @@ def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 s = np.repeat(g, weight) + nth.astype(np.uint64) * _STEP
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc, weight, b.num_rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("v"), pa.ListArray.from_arrays(pa.array(ends), pa.array(s.view(np.int64)))], names=["v", "s"])
+            yield pa.RecordBatch.from_arrays([_vertices(h, offsets), pa.ListArray.from_arrays(pa.array(ends), pa.array(s.view(np.int64)))], names=["v", "s"])
 
-    return docs.withColumn("h", word_hashes(words(F.col(text)))).select("v", "h").mapInArrow(run, "v binary, s array<bigint>")
+    need = small(materialize(texts.select("v", "t").distinct(), "need"))
+    some = docs.select(text).withColumn("_t", F.xxhash64(F.col(text))).join(need.select(F.col("t").alias("_t")).distinct(), "_t", "left_semi")
+    sets = _hashed(some.dropDuplicates(["_t"]), text).mapInArrow(run, "v binary, s array<bigint>")
+    return sets.join(need.select("v"), "v", "left_semi")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold. Only texts in pairs are read into the join."""
-    need = small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "need"))
-    one = docs.select(_vertex(text).alias("v"), F.col(text)).join(need, "v", "left_semi")
-    sets = materialize(shingle_sets(one, text, shingle).dropDuplicates(["v"]), "sets")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("ta").alias("t")), F.struct(F.col("b").alias("v"), F.col("tb").alias("t")))).alias("x")).select("x.*")
+    sets = materialize(shingle_sets(docs, ends, text, shingle), "sets")
     both = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.withColumn("c", common).where(F.col("c") >= similarity * (F.size("sa") + F.size("sb") - F.col("c")) - 1e-9).select("a", "b")
@@ -134,38 +146,65 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def links(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, m: int = M, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """Verified links between different texts, enough to join all that are connected, and the components (v, root)."""
-    table = materialize(band_table(docs, text, shingle, m, rows), "bands")
-    alike = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
-
-    def centred(t: DataFrame, seed: int) -> DataFrame:
-        best = F.min(F.struct(F.xxhash64("v", F.lit(seed)).alias("o"), F.col("v").alias("v2"), F.col("n").alias("n2"), *(F.col(c).alias("root2") for c in t.columns if c == "root")))
-        centre = t.groupBy("bucket").agg(best.alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "c.*")
-        pairs = t.join(centre, "bucket").where((F.col("v") != F.col("v2")) & alike)
-        pairs = pairs.where("root != root2") if "root" in t.columns else pairs
-        return pairs.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct()
-
-    def mixed(t: DataFrame, root: DataFrame) -> DataFrame:
-        named = t.join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        several = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-        return materialize(named.join(several, "bucket", "left_semi").select("bucket", "v", "n", "root"), "mixed")
-
-    pairs = materialize(centred(table, 1), "pairs")
+def _pair(df: DataFrame) -> DataFrame:
+    """(a, b, ta, tb) of rows with v, t, v2, t2; a < b."""
+    less = F.col("v") < F.col("v2")
+    pick = lambda x, y: F.when(less, F.col(x)).otherwise(F.col(y))
+    return df.select(pick("v", "v2").alias("a"), pick("v2", "v").alias("b"), pick("t", "t2").alias("ta"), pick("t2", "t").alias("tb")).distinct()
+
+
+def _centred(t: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of each bucket's centre, its most popular text, with its members of like size (and of other components, if t has them). A text's
+    popularity is the size of its buckets; the original of many near copies is more popular than they are."""
+    fame = t.groupBy("v").agg(F.sum("k").alias("fame"))
+    named = t.join(fame, "v")
+    cols = [c for c in ("v", "t", "n", "root") if c in t.columns]
+    centre = named.groupBy("bucket").agg(F.max(F.struct("fame", *cols)).alias("c")).select("bucket", *(F.col(f"c.{c}").alias(c + "2") for c in cols))
+    pairs = t.join(centre, "bucket").where((F.col("v") != F.col("v2")) & (F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9))
+    return _pair(pairs.where("root != root2") if "root" in cols else pairs)
+
+
+def _mixed(t: DataFrame, root: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with root."""
+    named = t.drop("root").join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    several = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
+    return named.join(several, "bucket", "left_semi")
+
+
+def _able(t: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Rows of t whose text can still reach the similarity with a member of its bucket, with c. A text of n shingles, c of which any other text of t has
+    too, has at most c in common with a text of n2 shingles, so c * (1 + s) >= s * (n + n2) must hold; n2 is at least the bucket's least n."""
+    sets = materialize(shingle_sets(docs, t, text, shingle), "sets")
+    single = sets.select("v", F.explode("s").alias("s")).groupBy("s").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("c")).where("c = 1")
+    own = single.groupBy("v").agg(F.count(F.lit(1)).alias("u"))
+    known = t.join(own, "v", "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+    least = known.groupBy("bucket").agg(F.min("n").alias("least"))
+    return known.join(least, "bucket").where(F.col("c") * (1 + similarity) >= similarity * (F.col("n") + F.col("least")) - 1e-6).drop("least")
+
+
+def links(docs: DataFrame, sigs: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified links between different texts, enough to join all that are connected, and the components (v, root). sigs as of signed()."""
+    one = sigs.where("v is not null").groupBy("v").agg(F.min(F.struct("t", "n", "keys")).alias("x"))
+    table = one.select("v", "x.t", "x.n", F.explode("x.keys").alias("bucket")).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("k > 1")
+    table = materialize(table, "bands")
+    pairs = materialize(_centred(table, similarity), "pairs")
     found = materialize(verified(docs, pairs, text, shingle, similarity), "links")
     root = components(found)
-    for seed in (2, 3):
-        left = mixed(table if seed == 2 else left.drop("root"), root)
+    left = materialize(_mixed(table, root), "mixed")
+    for last in (False, True):
         if left.isEmpty():
-            return found, root
-        if seed == 2:
-            more = centred(left, seed)
+            break
+        if not last:
+            left = materialize(_mixed(_able(left, docs, text, shingle, similarity), root), "able")
+            more = _centred(left, similarity)
         else:
-            a, b = (left.select("bucket", *(F.col(c).alias(c + s) for c in ("v", "n", "root"))) for s in ("", "2"))
-            more = a.join(b, "bucket").where((F.col("root") < F.col("root2")) & alike).select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct()
+            left = materialize(_mixed(left, root), "mixed")
+            x, y = (left.select("bucket", *(F.col(c).alias(c + s) for c in ("v", "t", "n", "c", "root"))) for s in ("", "2"))
+            bound = F.least("c", "c2") * (1 + similarity) >= similarity * (F.col("n") + F.col("n2")) - 1e-6
+            more = _pair(x.join(y, "bucket").where((F.col("root") < F.col("root2")) & bound))
         more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            pairs = pairs.union(more)
+            pairs = pairs.unionByName(more)
             found = found.union(materialize(verified(docs, more, text, shingle, similarity), "links"))
             root = components(found)
     return found, root
@@ -178,13 +217,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     one shingle of all their words. Repeated rows and exact copies share a class. A null key gets the least key of its class, or null.
     An empty table gives an empty table. Other columns of docs are not read.
     """
-    _, root = links(docs.select(text), text, shingle, similarity)
-    rows = docs.select(F.col(key), F.when(F.size(words(F.col(text))) > 0, _vertex(text)).alias("v"))
-    exact = rows.where("v is not null").groupBy("v").agg(F.min(key).alias("m"))
+    sigs = materialize(signed(docs, key, text, shingle, M, ROWS), "signatures")
+    _, root = links(docs, sigs, text, shingle, similarity)
+    exact = sigs.where("v is not null").groupBy("v").agg(F.min("k").alias("m"))
     whole = exact.join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = whole.groupBy("root").agg(F.min("m").alias("class_id"))
     classes = materialize(whole.join(least, "root").select("v", "class_id"), "classes")
-    return rows.join(classes, "v", "left").select(key, F.when(F.col("v").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"))
+    rows = sigs.select("k", "v").join(classes, "v", "left")
+    return rows.select(F.col("k").alias(key), F.when(F.col("v").isNull(), F.col("k")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
