@@ -6,8 +6,8 @@ window's count is that of the whole corpus. Equal windows always share a minimis
 
 * a first, thin pass counts minimisers, and a window whose minimiser occurs once needs no shuffle. What occurs more often is marked in
   a bit map of 2**FILTER_BITS bits, the only thing broadcast; a wrong bit costs some shuffle and never changes a result.
-* minimisers in more than HEAVY super-k-mers (marked in a bit map too) would overfill a bucket. Their windows are counted one by one,
-  by a plain aggregation on the digest, which combines before the shuffle.
+* minimisers in more than HEAVY super-k-mers (marked in a bit map too) would overfill a bucket. Their equal packed strings are counted first,
+  which combines before the shuffle, and the windows of different strings are added up by digest.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestat.llm.common import materialize, mix, ragged, rolling, sliced, word_hashes, words
 
-WIDTH, MINIMISER, FILTER_BITS, HEAVY = 35, 8, 26, 5000
+WIDTH, MINIMISER, FILTER_BITS, HEAVY = 35, 8, 26, 20_000
 _SECOND = 0xC2B2AE3D27D4EB4F
 
 
@@ -150,19 +150,25 @@ def count_buckets(found: DataFrame, width: int, most: int = 200_000) -> DataFram
 
 
 def count_windows(found: DataFrame, width: int) -> DataFrame:
-    """The same spans for heavy minimisers, window by window."""
+    """The same spans for heavy minimisers. Equal packed strings are counted before the shuffle and cut into windows once; windows are added up by
+    digest, and each occurrence of a string gets that string's spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in (b.slice(i, 5000) for i in range(0, b.num_rows, 5000)):
                 row, at, one, two = _windows(s.column("packed"), width)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([s.column("k").take(take), s.column("t").take(take), pa.array(s.column("start").to_numpy()[row] + at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["k", "t", "start", "d", "e"])
-
-    kind = found.schema["k"].dataType.simpleString()
-    each = found.mapInArrow(run, f"k {kind}, t long, start long, d long, e long")
-    twice = each.groupBy("d", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return each.join(twice, ["d", "e"], "left_semi").select("k", "t", "start", F.lit(width).cast("long").alias("len"))
+                yield pa.RecordBatch.from_arrays([s.column("p").take(take), s.column("n").take(take), pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["p", "n", "at", "d", "e"])
+
+    name = F.md5("packed")
+    strings = found.groupBy("packed").agg(F.count(F.lit(1)).alias("n")).select(name.alias("p"), "n", "packed")
+    each = materialize(strings.mapInArrow(run, "p string, n long, at long, d long, e long"), "windows")
+    twice = each.groupBy("d", "e").agg(F.sum("n").alias("all")).where("all > 1").select("d", "e")
+    spans = each.join(twice, ["d", "e"], "left_semi").groupBy("p").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    edge = lambda step: F.filter("ats", lambda x: ~F.array_contains("ats", x + step))
+    spans = spans.select("p", F.explode(F.arrays_zip(edge(-1).alias("lo"), edge(1).alias("hi"))).alias("r")).select("p", "r.lo", (F.col("r.hi") - F.col("r.lo") + width).alias("len"))
+    hit = found.select("k", "t", "start", name.alias("p")).join(spans, "p")
+    return hit.select("k", "t", (F.col("start") + F.col("lo")).alias("start"), "len")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, minimiser: int = MINIMISER, filter_bits: int = FILTER_BITS, heavy: int = HEAVY) -> DataFrame:
