@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 from lodestat.llm.common import materialize, mix, ragged, rolling, sliced, small, word_hashes, words
 
 SHINGLE, SIMILARITY, M, ROWS = 5, 0.8, 96, 4
+#: Texts that share a shingle at most for it to be rare.
+RARE = 12
 _STEP, _TWIST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -171,15 +173,22 @@ def _mixed(t: DataFrame, root: DataFrame) -> DataFrame:
     return named.join(several, "bucket", "left_semi")
 
 
-def _able(t: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """Rows of t whose text can still reach the similarity with a member of its bucket, with c. A text of n shingles, c of which any other text of t has
-    too, has at most c in common with a text of n2 shingles, so c * (1 + s) >= s * (n + n2) must hold; n2 is at least the bucket's least n."""
+def _able(t: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Splits what may still link in t (with root) in two, by shingles that at most RARE texts of t have. Two texts share such a rare shingle, and
+    are among the pairs returned, or all they share is common: then c, the number of a text's common shingles, bounds the overlap, and the
+    rows returned are those whose c allows the similarity with a member of their bucket: c * (1 + s) >= s * (n + n2)."""
     sets = materialize(shingle_sets(docs, t, text, shingle), "sets")
-    single = sets.select("v", F.explode("s").alias("s")).groupBy("s").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("c")).where("c = 1")
-    own = single.groupBy("v").agg(F.count(F.lit(1)).alias("u"))
-    known = t.join(own, "v", "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+    each = sets.select("v", F.explode("s").alias("s"))
+    rare = materialize(each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") <= RARE), "s"), "rare")
+    own = rare.groupBy("v").agg(F.count(F.lit(1)).alias("low"), F.count(F.when(F.col("f") == 1, 1)).alias("alone"))
+    known = materialize(t.join(own, "v", "left").withColumns({"c": F.col("n") - F.coalesce("low", F.lit(0)), "c1": F.col("n") - F.coalesce("alone", F.lit(0))}).drop("low", "alone"), "known")
     least = known.groupBy("bucket").agg(F.min("n").alias("least"))
-    return known.join(least, "bucket").where(F.col("c") * (1 + similarity) >= similarity * (F.col("n") + F.col("least")) - 1e-6).drop("least")
+    rows = known.join(least, "bucket").where(F.col("c") * (1 + similarity) >= similarity * (F.col("n") + F.col("least")) - 1e-6).drop("least")
+    info = known.select("v", "t", "n", "c1", "root").distinct()
+    shared = rare.where("f > 1").select("s", "v").join(info, "v")
+    x, y = (shared.select("s", *(F.col(c).alias(c + k) for c in info.columns)) for k in ("", "2"))
+    bound = F.least("c1", "c12") * (1 + similarity) >= similarity * (F.col("n") + F.col("n2")) - 1e-6
+    return rows, _pair(x.join(y, "s").where((F.col("root") < F.col("root2")) & bound))
 
 
 def links(docs: DataFrame, sigs: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -195,8 +204,9 @@ def links(docs: DataFrame, sigs: DataFrame, text: str = "text", shingle: int = S
         if left.isEmpty():
             break
         if not last:
-            left = materialize(_mixed(_able(left, docs, text, shingle, similarity), root), "able")
-            more = _centred(left, similarity)
+            able, rare = _able(left, docs, text, shingle, similarity)
+            left = materialize(_mixed(able, root), "able")
+            more = _centred(left, similarity).unionByName(rare).distinct()
         else:
             left = materialize(_mixed(left, root), "mixed")
             x, y = (left.select("bucket", *(F.col(c).alias(c + s) for c in ("v", "t", "n", "c", "root"))) for s in ("", "2"))
