@@ -5,7 +5,8 @@ Poisson process of rate w to M registers; a register keeps its earliest arrival,
 than every register. Registers of two texts agree with their probability Jaccard similarity. Texts that agree on a band of ROWS
 registers are candidates. A bucket of n texts never emits its n * n pairs: all are compared with one centre, the bucket's most popular
 text. Where a bucket still holds several components, texts that cannot link to any other, because too many of their shingles are theirs alone,
-leave; the rest are compared with a new centre and at last across components, so no candidate link between components is lost. Links have multiset Jaccard similarity of SIMILARITY or more, measured exactly.
+leave; the rest are compared with a new centre, the text that lacks least of what the bucket shares, and at last across components, each
+pair in one bucket, so no candidate link between components is lost. Links have multiset Jaccard similarity of SIMILARITY or more, measured exactly.
 """
 
 from __future__ import annotations
@@ -156,12 +157,15 @@ def _pair(df: DataFrame) -> DataFrame:
 
 
 def _centred(t: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of each bucket's centre, its most popular text, with its members of like size (and of other components, if t has them). A text's
-    popularity is the size of its buckets; the original of many near copies is more popular than they are."""
-    fame = t.groupBy("v").agg(F.sum("k").alias("fame"))
-    named = t.join(fame, "v")
-    cols = [c for c in ("v", "t", "n", "root") if c in t.columns]
-    centre = named.groupBy("bucket").agg(F.max(F.struct("fame", *cols)).alias("c")).select("bucket", *(F.col(f"c.{c}").alias(c + "2") for c in cols))
+    """Pairs of each bucket's centre with its members of like size (and of other components, if t has them). Where c is known, the centre is the
+    text with the largest share of common shingles, for it lacks least of what the others share. Else it is the most popular text: a text's
+    popularity is the size of its buckets, and the original of many near copies is more popular than they are."""
+    cols = [c for c in ("v", "t", "n", "c", "root") if c in t.columns]
+    if "c" in cols:
+        named, rank = t, F.col("c") / F.col("n")
+    else:
+        named, rank = t.join(t.groupBy("v").agg(F.sum("k").alias("fame")), "v"), F.col("fame")
+    centre = named.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), *cols)).alias("x")).select("bucket", *(F.col(f"x.{c}").alias(c + "2") for c in cols))
     pairs = t.join(centre, "bucket").where((F.col("v") != F.col("v2")) & (F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9))
     return _pair(pairs.where("root != root2") if "root" in cols else pairs)
 
@@ -209,9 +213,11 @@ def links(docs: DataFrame, sigs: DataFrame, text: str = "text", shingle: int = S
             more = _centred(left, similarity).unionByName(rare).distinct()
         else:
             left = materialize(_mixed(left, root), "mixed")
-            x, y = (left.select("bucket", *(F.col(c).alias(c + s) for c in ("v", "t", "n", "c", "root"))) for s in ("", "2"))
+            left = left.withColumn("buckets", F.collect_list("bucket").over(Window.partitionBy("v")))
+            x, y = (left.select("bucket", *(F.col(c).alias(c + s) for c in ("v", "t", "n", "c", "root", "buckets"))) for s in ("", "2"))
             bound = F.least("c", "c2") * (1 + similarity) >= similarity * (F.col("n") + F.col("n2")) - 1e-6
-            more = _pair(x.join(y, "bucket").where((F.col("root") < F.col("root2")) & bound))
+            once = F.array_min(F.array_intersect("buckets", "buckets2")) == F.col("bucket")  # in the first bucket that they share
+            more = _pair(x.join(y, "bucket").where((F.col("root") < F.col("root2")) & bound & once))
         more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             pairs = pairs.unionByName(more)
