@@ -25,6 +25,17 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def stream_query(sql: str) -> Callable:
+    """Registers f(spark, sf_dir) as it is."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that the order of summing does not show."""
     from pyspark.sql import functions as F
