@@ -96,8 +96,9 @@ def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     """
     h, p = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("url")).groupBy("k", "url").agg(F.count(F.lit(1)).alias("copies"))
-    # short rows that become many: a fixed number of partitions, as adaptive execution would judge them by their size
-    rows = rows.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "url")
+    # short rows that become many: a fixed number of partitions, as adaptive execution would judge them by their size. Spark leaves out a
+    # repartition by the keys that the rows are grouped by, so it goes by their hash
+    rows = rows.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("k", "url"))
     named = rows.withColumns({"host": h, "path": p}).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("verdict", F.col("fit.verdict"))
     table = small(materialize(model(named, order), "model"))
     # the gram rows of a url stay in its task until they are added up, so only one row a url is shuffled
