@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestat.operators import tables
-from lodestat.plans import core, geometry, registry, streams  # noqa: F401
+from lodestat.plans import core, geometry, profiles, registry, streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
