@@ -13,7 +13,8 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = quality_rules.quality_rules(docs, quality_rules.trusted_rows(read(spark, sf_dir, "labels")))
+    labels = read(spark, sf_dir, "labels")
+    out = quality_rules.quality_rules(docs, quality_rules.trusted_rows(labels), rejected=quality_rules.rejected_rows(labels))
     return out.where("kept").select(*docs.columns)
 
 

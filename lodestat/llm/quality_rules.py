@@ -1,7 +1,9 @@
 """Quality rules (operator 9, native): plain rules, then the hashed n-gram log-likelihood ratio of a trusted target and the raw corpus.
 
 Both corpora are multinomials over `BUCKETS` hashed word unigrams and bigrams with add-`ALPHA` smoothing. A document's score is the
-mean over its n-grams of log p_target(g) - log p_raw(g); it is kept if no plain rule fails and the score is THRESHOLD or more.
+mean over its n-grams of log p_target(g) - log p_raw(g); it is kept if no plain rule fails and the score reaches the threshold. Scores
+depend on the size of the corpus, so the threshold is calibrated in each run: it separates the rows labelled bad from trusted rows
+that are held out of the target, as rows that the target has learnt score higher than equally good ones.
 The counts cover every row; the model is one weight a bucket, so its size is fixed and it rides along as a literal.
 """
 
@@ -12,9 +14,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import let, materialize, small, word_hashes, words
+from lodestat.llm.common import held_out, let, materialize, small, word_hashes, words
 
 BUCKETS, ALPHA, THRESHOLD = 1 << 16, 1.0, -0.5
+#: Of trusted keys, one in HELD is held out of the target for the threshold. Scores are cut into bins of this width for it, between -LIMIT and LIMIT.
+HELD, BIN, LIMIT = 5, 0.005, 10.0
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 
@@ -81,17 +85,49 @@ def ratio(hashes: Column, weights: list[float]) -> Column:
     return F.round(let(grams(hashes, len(weights)), total), 6)
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+def calibrate(scores: DataFrame) -> float | None:
+    """The score that separates good from bad best, by the sum of both error rates; of the bins that do so equally well in a row, the
+    middle. scores: score, good. At most 2 * LIMIT / BIN bins reach the driver. Without one of the two classes it is null."""
+    b = F.floor(F.greatest(F.least("score", F.lit(LIMIT)), F.lit(-LIMIT)) / BIN).alias("b")
+    bins = scores.groupBy(b).agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("r")).orderBy("b").collect()
+    ng, nr = sum(x.g for x in bins), sum(x.r for x in bins)
+    if not ng or not nr:
+        return None
+    best, least, most, lost, kept = 2.0, 0.0, 0.0, 0, nr
+    below = bins[0].b
+    for x in bins:  # a threshold above `below` and up to x.b loses the good rows and keeps the bad ones counted so far
+        if (error := lost / ng + kept / nr) < best - 1e-12:
+            best, least, most = error, below, x.b
+        lost, kept, below = lost + x.g, kept - x.r, x.b + 1
+    return round((least + most) / 2 * BIN, 6)
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, rejected: DataFrame | None = None) -> DataFrame:
     """docs with the base columns, score and kept.
 
-    Null and empty texts have no words, so base_failed is true. Repeated rows each get their own equal verdict. An empty table gives
-    an empty table. Columns of docs that clash with the added ones are replaced. Rows with a null key are scored but never trusted.
+    With rejected, the keys of rows labelled bad, the threshold is calibrated; the given one counts where no such row, or no held-out trusted one, passes the
+    plain rules. Keys that are trusted too are not rejected. Null and empty texts have no words, so base_failed is true. Repeated rows each get their own
+    equal verdict. An empty table gives an empty table. Columns of docs that clash with the added ones are replaced. Rows with a null key
+    are scored but never trusted.
     """
-    weights = fit(docs, trusted, text, key)
-    out = base_columns(docs, text).withColumn("score", ratio(F.col("_h"), weights))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_h")
+    out = held_out(F.col(key), HELD)
+    weights = fit(docs, trusted if rejected is None else trusted.where(~out), text, key)
+    scored = base_columns(docs, text).withColumn("score", ratio(F.col("_h"), weights)).drop("_h")
+    if rejected is not None:
+        scored = materialize(scored, "scored")
+        known = rejected.select(F.col(key).alias("_k"), F.lit(False).alias("good")).union(trusted.select(F.col(key).alias("_k"), F.lit(True).alias("good")))
+        known = small(materialize(known.groupBy("_k").agg(F.max("good").alias("good")).where(~F.col("good") | held_out(F.col("_k"), HELD)), "known"))
+        found = calibrate(scored.where(~F.col("base_failed")).select(F.col(key).alias("_k"), "score").join(known, "_k"))
+        threshold = threshold if found is None else found
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
 def trusted_rows(labels: DataFrame) -> DataFrame:
-    """Keys of rows that people labelled good."""
-    return labels.where("quality = 1").select("doc_id")
+    """Keys of rows that people labelled good and, where they judged that, not toxic."""
+    good = F.col("quality") == 1
+    return labels.where(good & ~F.coalesce(F.col("toxic") == 1, F.lit(False)) if "toxic" in labels.columns else good).select("doc_id")
+
+
+def rejected_rows(labels: DataFrame) -> DataFrame:
+    """Keys of rows that people labelled bad."""
+    return labels.where("quality = 0").select("doc_id")

@@ -44,7 +44,8 @@ def op8_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
-    out = quality_rules.quality_rules(read(spark, d, "documents"), quality_rules.trusted_rows(read(spark, d, "labels")))
+    labels = read(spark, d, "labels")
+    out = quality_rules.quality_rules(read(spark, d, "documents"), quality_rules.trusted_rows(labels), rejected=quality_rules.rejected_rows(labels))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 

@@ -396,6 +396,26 @@ def test_quality_rules(spark, data, documents):
     assert (none.kept == ~none.base_failed).all()
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_quality_rules_reject_labelled_bad(spark, size):
+    d = f"/root/testdata/{size}"
+    got = run(spark, d, "op9_quality_rules").set_index("doc_id")
+    labels = spark.read.parquet(f"{d}/labels.parquet").toPandas().set_index("doc_id")
+    quality = labels.quality.reindex(got.index)
+    decided = got[~got.base_failed]
+    good, bad, unseen = (decided[x[decided.index]] for x in (quality == 1, quality == 0, quality.isna()))
+    assert len(bad) > 20 and not bad.kept.any()
+    assert good.kept.mean() > 0.98
+    # rows without a label go about as often as labelled ones: the threshold does not favour rows that the target has learnt
+    assert unseen.kept.mean() > (len(good) / (len(good) + len(bad))) - 0.07
+
+
+def test_threshold_separates_best(spark):
+    rows = [(-0.9, False), (-0.8, False), (-0.4, False), (0.4, True), (0.5, True), (-0.85, True)]
+    assert quality_rules.calibrate(spark.createDataFrame(rows, "score double, good boolean")) == pytest.approx(0.0, abs=0.01)
+    assert quality_rules.calibrate(spark.createDataFrame(rows[:3], "score double, good boolean")) is None
+
+
 def test_ratio_matches_brute_force(spark):
     texts, trusted = ["a b c", "a b", "d d e", None], {0, 1}
     docs = docs_of(spark, texts)
