@@ -3,8 +3,8 @@
 A text is its words joined by single blanks, A-Z lower-cased, with an end symbol. Counts of all byte runs of DEPTH + 1 come from every
 training text. A context stays in the tree if the divergence of its next-symbol distribution from its parent's (its longest proper suffix), times its count, reaches KEEP nats,
 and if its parent stays. Distributions are smoothed towards the parent's (Witten-Bell) and, at the root, towards uniform. Each symbol
-is predicted by the longest suffix of what precedes it that is in the tree. STATES bounds the tree: where more contexts qualify, the
-most divergent ones stay. Counting and tests are Spark jobs over the whole corpus; only the tree is broadcast.
+is predicted by the longest suffix of what precedes it that is in the tree. Every context that passes stays, so the tree grows with the
+corpus. Counting and tests are Spark jobs over the whole corpus; the tree is built on the driver and broadcast whole, whatever its size.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestat.llm.common import ascii_lower, held_out, materialize, ragged, sliced, word_hashes, words
 
-DEPTH, KEEP, STATES, FREQUENT = 5, 12.0, 60_000, 1 << 19
+DEPTH, KEEP, FREQUENT = 5, 12.0, 1 << 19
 _END, _PIECE = b"\n", 3_000_000
 
 
@@ -119,7 +119,7 @@ def gram_table(docs: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
     return docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
-def tree_counts(grams: DataFrame, depth: int = DEPTH, keep: float = KEEP, states: int = STATES) -> DataFrame:
+def tree_counts(grams: DataFrame, depth: int = DEPTH, keep: float = KEEP) -> DataFrame:
     """(d, code, n): next-symbol counts of the contexts that pass the divergence test; code is the context of d bytes and the symbol."""
     low = lambda c, b: F.expr(f"{c} & (shiftleft(1L, 8 * ({b})) - 1)")
     level = grams.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"), "g", "n").withColumn("code", low("g", "d + 1"))
@@ -130,15 +130,7 @@ def tree_counts(grams: DataFrame, depth: int = DEPTH, keep: float = KEEP, states
     parent = share.select((F.col("d") + 1).alias("d"), F.col("code").alias("tail"), (F.col("n") / F.col("total")).alias("p"))
     both = share.where("d > 0").withColumn("tail", low("code", "d")).join(parent, ["d", "tail"])
     gain = both.groupBy("d", "ctx").agg(F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.log("p"))).alias("gain"))
-    gain = materialize(gain.where(F.col("gain") >= keep), "gain")
-    bins = gain.groupBy(F.floor(8 * F.log2("gain")).alias("b")).count().orderBy(F.desc("b")).collect()  # a few hundred at most
-    least, held = keep, 0
-    for r in bins:
-        held += r["count"]
-        if held > states:
-            least = max(keep, 2.0 ** ((r["b"] + 1) / 8))
-            break
-    kept = gain.where(F.col("gain") >= least).select("d", "ctx")
+    kept = gain.where(F.col("gain") >= keep).select("d", "ctx")
     return count.join(kept.union(grams.sparkSession.sql("select 0 d, 0L ctx")), ["d", "ctx"], "left_semi").select("d", "code", "n")
 
 
@@ -190,7 +182,7 @@ def token_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.explode(word_hashes(words(ascii_lower(F.col(text))))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH, keep: float = KEEP, states: int = STATES, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH, keep: float = KEEP, frequent: int = FREQUENT) -> DataFrame:
     """docs' key with n_tokens, n_known, train_tokens, base_score and score (log10 probability of the whole text under the tree).
 
     train says which rows to learn from. Null and empty texts are the end token alone. Repeated rows count each and get equal rows.
@@ -214,7 +206,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     often = tokens.where(rule).toArrow()
     logs = lambda c: np.log10((c + 1) / (n_all + n_kinds + 1))
     sent_words = sc.broadcast(Table(often.column("h").to_numpy().view(np.uint64), often.column("n").to_numpy().astype(float)))
-    tree = build(tree_counts(materialize(gram_table(learn, text, depth), "grams"), depth, keep, states), depth)
+    tree = build(tree_counts(materialize(gram_table(learn, text, depth), "grams"), depth, keep), depth)
     sent_tree = sc.broadcast(tree)
     end_log = float(logs(ends))
 

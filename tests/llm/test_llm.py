@@ -358,6 +358,13 @@ def test_suffix_tree_matches_brute_force(spark):
         assert suffix_tree.symbol_scores(code, table, depth).sum() == pytest.approx(want, rel=1e-5)
 
 
+def test_suffix_tree_keeps_every_context_that_passes(spark):
+    # each of 256 ** 2 contexts has one next symbol, spread evenly over those of its parent
+    grams = spark.range(1 << 16).selectExpr("id * 256 + ((shiftright(id, 8) ^ id) & 255) AS g", "100L AS n")
+    got = suffix_tree.tree_counts(grams, 2)
+    assert got.where("d = 2").count() == 1 << 16
+
+
 def test_long_text_in_pieces(monkeypatch):
     text = suffix_tree._normal("some words go on " * 50)
     whole, _ = suffix_tree._codes([text], 5)
