@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import held_out, sliced
+from lodestat.llm.common import held_out, materialize, sliced
 
-#: Documents and lines of each that training uses at most.
-TRAIN_DOCS, TRAIN_LINES = 6000, 64
+#: Documents and lines of all of them that training uses at most; each document is used whole.
+TRAIN_DOCS, TRAIN_LINES = 6000, 384_000
 PREDICT = 0.7
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#*$%&|<>", b"0123456789", b"!?", b".,;:'\"()-", b" \t\r\x0b\x0c", bytes(range(128, 256))]
 _CLASS = np.full(256, 7, np.int64)
@@ -92,48 +92,59 @@ class Field:
 
 
 def fit(features: list[np.ndarray], labels: np.ndarray, steps: int = 200, rate: float = 0.1, penalty: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam, all documents at once; without both labels the field is even."""
+    """Maximum likelihood by Adam, all documents at once, padded in buckets of like length; without both labels the field is even."""
     width = 3 * OWN + 3
     if len(set(labels.tolist())) < 2:
         return Field(np.zeros(width), np.zeros((2, 2)))
-    n = np.array([len(x) for x in features])
-    x, y = np.zeros((len(n), n.max(), width)), np.asarray(labels, float)[:, None]
-    for i, f in enumerate(features):
-        x[i, : n[i]] = f
-    on = np.arange(n.max()) < n[:, None]
-    pair = on[:, 1:]
+    size, buckets = np.array([len(x) for x in features]), []
+    level = np.ceil(np.log2(size))
+    for k in np.unique(level):
+        rows = np.flatnonzero(level == k)
+        n = size[rows]
+        x = np.zeros((len(n), n.max(), width))
+        for j, i in enumerate(rows):
+            x[j, : n[j]] = features[i]
+        buckets.append((x, np.asarray(labels, float)[rows][:, None], n, np.arange(n.max()) < n[:, None]))
     theta, m, v = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
     for k in range(1, steps + 1):
         field = Field(theta[:width], theta[width:].reshape(2, 2))
-        u = x @ field.weights
-        a, b = field.messages(u, n)
-        good = 1 / (1 + np.exp(-np.clip(a + b, -500, 500)))
-        grad = np.einsum("dt,dtf->f", np.where(on, y - good, 0), x)
-        w = [a[:, :-1] * i + field.transitions[i, j] + (u[:, 1:] + b[:, 1:]) * j for i in (0, 1) for j in (0, 1)]
-        top = np.maximum.reduce(w)
-        e = [np.exp(z - top) for z in w]
-        all_ = sum(e)
-        seen = [np.where(pair, 1 - y, 0).sum(), 0.0, 0.0, np.where(pair, y, 0).sum()]
-        grad = np.append(grad, [s - np.where(pair, z / all_, 0).sum() for s, z in zip(seen, e, strict=True)]) / len(n) - penalty * theta
+        grad = np.zeros(width + 4)
+        for x, y, n, on in buckets:
+            pair, u = on[:, 1:], x @ field.weights
+            a, b = field.messages(u, n)
+            good = 1 / (1 + np.exp(-np.clip(a + b, -500, 500)))
+            grad[:width] += np.einsum("dt,dtf->f", np.where(on, y - good, 0), x)
+            w = [a[:, :-1] * i + field.transitions[i, j] + (u[:, 1:] + b[:, 1:]) * j for i in (0, 1) for j in (0, 1)]
+            top = np.maximum.reduce(w)
+            e = [np.exp(z - top) for z in w]
+            all_ = sum(e)
+            seen = [np.where(pair, 1 - y, 0).sum(), 0.0, 0.0, np.where(pair, y, 0).sum()]
+            grad[width:] += [s - np.where(pair, z / all_, 0).sum() for s, z in zip(seen, e, strict=True)]
+        grad = grad / len(size) - penalty * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return Field(theta[:width], theta[width:].reshape(2, 2))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> Field:
-    """Fits the field on `most` labelled documents at most (those with the least hashes of the key) and their first `lines` lines."""
+    """Fits the field on `most` labelled documents at most, those with the least hashes of the key, each whole. Of them as many, in this
+    order, as have `lines` lines together, but one at least. Of rows that repeat a key, the one with the least hash of the text counts."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
     ids = docs.select(key).distinct().join(known, key).orderBy(F.xxhash64(key), key).limit(most)
-    rows = docs.select(key, text)
+    t = F.coalesce(F.col(text), F.lit(""))
+    one = docs.select(key, t.alias("t")).join(F.broadcast(ids), key).groupBy(F.col(key).alias("k"), F.col("y").cast("int").alias("y")).agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    one = materialize(one, "sample")
+    sizes = one.select("k", (F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))) + 1).alias("n")).orderBy(F.xxhash64("k"), "k").collect()
+    used = max(1, int(np.searchsorted(np.cumsum([r.n for r in sizes]), lines, "right")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "t", 4_000_000):
-            own = [own_features(t)[0][:lines] for t in b.column("t").to_pylist()]
+            own = [own_features(t)[0] for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), pa.array([x.ravel() for x in own], pa.list_(pa.float64()))], names=["k", "y", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    sample = rows.join(F.broadcast(ids), key).select(F.col(key).alias("k"), F.col("y").cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    got = sorted(sample.mapInArrow(run, f"k {kind}, y int, x array<double>").collect(), key=lambda r: (r.k, r.x))[: 2 * most]
+    sample = one.orderBy(F.xxhash64("k"), "k").limit(used)
+    got = sorted(sample.mapInArrow(run, f"k {kind}, y int, x array<double>").collect(), key=lambda r: r.k)
     return fit([line_features(np.array(r.x).reshape(-1, OWN)) for r in got], np.array([r.y for r in got]))
 
 

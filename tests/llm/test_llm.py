@@ -452,6 +452,17 @@ def test_quality_classifier(spark, data):
     assert len(odd) == len(ODD) and (odd.score == 0.5).all()
 
 
+def test_training_uses_whole_documents_once(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(line_crf, "fit", lambda x, y: seen.update(x=x, y=y))
+    texts = ["a b\n" * 100, "one line", "two\nlines", *(f"copy {i}" for i in range(40))]
+    docs = docs_of(spark, texts, [0, 1, 2, *[3] * 40])
+    line_crf.train(docs, spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, quality int"), most=4)
+    assert [len(x) for x in seen["x"]] == [101, 1, 2, 1] and list(seen["y"]) == [0, 1, 0, 1]
+    line_crf.train(docs, spark.createDataFrame([(0, 0)], "doc_id long, quality int"), lines=5)
+    assert [len(x) for x in seen["x"]] == [101]
+
+
 def test_field_marginals_match_enumeration():
     rng = np.random.default_rng(7)
     field = line_crf.Field(rng.normal(size=4), rng.normal(size=(2, 2)))
