@@ -1,18 +1,18 @@
 """Packing (operator 3): best-fit decreasing with a segment tree over the remaining capacity of open windows.
 
 Tokenising and cutting run where the text is; only piece lengths travel. Documents longer than a window are first cut into full
-windows; the rests are dealt at random into groups of about GROUP pieces, and each group packs its pieces, longest first, into the
+windows; all pieces are dealt by a hash into groups of about GROUP pieces, and each group packs its pieces, longest first, into the
 tightest open window that still fits. Groups are independent, so the job is a map and one shuffle of short rows.
 """
 
 from __future__ import annotations
 
-import base64
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,38 +22,46 @@ from lodestat.llm.common import materialize
 WINDOW, GROUP, END_ID = 2048, 8192, 1
 #: Chunks of text that a worker keeps encoded.
 CACHE = 400_000
+#: Equal pieces are dealt in runs of this many.
+RUN = 1_000_000
 
 
 class Encoder:
-    """Ids as little-endian 32-bit bytes. A chunk between two single spaces is always cut off by the vocabulary's split pattern, so
-    chunks are encoded once and kept. Texts where blanks meet other white space are encoded whole. The rank file holds the same
-    vocabulary as byte_bpe_50k.json (the tests compare both) and needs a tenth of the time on single words."""
+    """Ids of the tokenizer as little-endian 32-bit bytes. A byte-level vocabulary of this kind always cuts before a single blank between two
+    characters that are not white space, so what lies between such blanks is encoded once and kept. Strings of added tokens in a text become
+    those tokens, as the tokenizer does; if one of them has a blank itself, texts are encoded whole."""
 
-    def __init__(self, ranks_path: str):
-        import public_tokenizers
-        import tiktoken
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values())
         self.kept: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def chunks(self, text: str) -> list[str]:
+        """The first chunk, and all others without the blank before them."""
+        out = text.split(" ")
+        if any(not x or x[0].isspace() or x[-1].isspace() for x in out):
+            out = re.split(r"(?<=\S) (?=\S)", text)
+        return out
 
     def __call__(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if not rest or first[-1:].isspace() or any(not x or x[0].isspace() or x[-1].isspace() for x in rest):
-            return self.whole(text)
+        if not self.cuts or " " not in text:
+            return self.encode([text])[0]
+        first, *rest = self.chunks(text)
         kept = self.kept
         if len(kept) > CACHE:
             kept.clear()
-        for x in set(rest).difference(kept):
-            kept[x] = self.whole(" " + x)
-        return self.whole(first) + b"".join(map(kept.__getitem__, rest))
+        new = list(set(rest).difference(kept))
+        kept.update(zip(new, self.encode([" " + x for x in new]), strict=True))
+        return self.encode([first])[0] + b"".join(map(kept.__getitem__, rest))
 
 
-def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, and ids if asked for. Each document ends with end_id."""
     kind = docs.schema[key].dataType
     schema = f"{key} {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
@@ -61,7 +69,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode, end = Encoder(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")), np.array([end_id], "<u4").tobytes()
+        encode, end = Encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json")), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for at, t in enumerate(batch.column(1)):
@@ -113,19 +121,24 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return seq, offset
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """Rows of pieces() with sequence_id and offset; sequence_id is group number * 2**32 + number in the group.
 
-    Null and empty texts are one piece with the end id alone. Repeated rows are packed each. Ties in length keep the order of rows.
-    An empty table gives an empty table. Other columns of docs are not read, so their names cannot clash.
+    Pieces are dealt by a hash of what they are, so the result does not depend on how the table is split. Equal pieces of repeated rows are
+    numbered and dealt apart. Null and empty texts are one piece with the end id alone. Pieces of a length are packed in the order of key and
+    start. Null keys are kept. An empty table gives an empty table. Other columns of docs are not read, so their names cannot clash.
     """
-    cut = materialize(pieces(docs, key, text, ranks, window, with_ids=with_ids), "pieces")
+    cut = materialize(pieces(docs.select(F.col(key).alias("k"), F.col(text).alias("text")), "k", "text", tokenizer, window, with_ids=with_ids), "pieces")
     groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    runs = cut.groupBy(*cut.columns).agg(F.count(F.lit(1)).alias("m")).withColumn("r", F.explode(F.expr(f"sequence(0L, (m - 1) div {RUN})")))
+    each = runs.withColumn("i", F.explode(F.expr(f"sequence(0L, least(m - r * {RUN}, {RUN}L) - 1)")))
+    dealt = each.withColumn("g", F.pmod(F.xxhash64("k", "start", "ids_crc32", "r", "i"), F.lit(groups))).drop("m", "r", "i")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seq, offset = best_fit(pdf["length"].to_numpy(), window)
-        return pdf.assign(sequence_id=(int(pdf["_g"].iloc[0]) << 32) + seq, offset=offset).drop(columns="_g")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("k", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        seq, offset = best_fit(table.column("length").to_numpy(), window)
+        place = pa.array((table.column("g")[0].as_py() << 32) + seq)
+        return table.drop_columns(["g"]).append_column("sequence_id", place).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("_g").applyInPandas(run, schema)
+    return dealt.groupBy("g").applyInArrow(run, schema).withColumnRenamed("k", key)
