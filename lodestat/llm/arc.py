@@ -230,9 +230,9 @@ def convert(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 s AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY sha1(h)) AS f FROM p),
-bits AS (SELECT *, list_transform(range(0, 20), i -> CAST(strpos('0123456789abcdef', x[2 * i + 1 : 2 * i + 1]) - 1 AS INTEGER) * 16 + CAST(strpos('0123456789abcdef', x[2 * i + 2 : 2 * i + 2]) - 1 AS INTEGER)) AS b FROM s)
+bits AS (SELECT *, [CAST(strpos('0123456789abcdef', x[2 * i + 1 : 2 * i + 1]) - 1 AS INTEGER) * 16 + CAST(strpos('0123456789abcdef', x[2 * i + 2 : 2 * i + 2]) - 1 AS INTEGER) FOR i IN range(0, 20)] AS b FROM s)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(0, 32), j -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((b[(5 * j) // 8 + 1] * 256 + coalesce(b[(5 * j) // 8 + 2], 0)) >> (11 - (5 * j) % 8)) & 31)::INTEGER, 1)), '') AS payload_digest,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((b[(5 * j) // 8 + 1] * 256 + coalesce(b[(5 * j) // 8 + 2], 0)) >> (11 - (5 * j) % 8)) & 31)::INTEGER, 1) FOR j IN range(0, 32)], '') AS payload_digest,
        CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
 FROM bits
 """

@@ -1,122 +1,164 @@
 """Benchmark decontamination (operator 5, native): a distributed positional inverted index.
 
-Postings (term, document, position) are built for the rarest test term of each test window only: they are the shortest lists, and
-a window can only occur where its rarest term does. Each posting, moved back by the term's offset in the test item, gives an alignment
-(document, item, diagonal); windows that share a rare term share the alignment. The lists of all other terms are then intersected,
-offset-adjusted, along the alignment, by comparing the document's terms with the item's. Documents without an alignment are never
-shuffled.
+One pass over the corpus stores a posting (row, position, term) for every word that some test item has; nothing else reads words again.
+For each window of N test words the lists of its RAREST rarest terms are intersected first, each moved back by the term's offset in
+the item: what all of them share is an alignment (row, item, diagonal). Only along alignments are the lists of the item's other terms
+intersected, and runs of N matches or more are phrase matches. The same postings give proximity matches.
+
+A row is named by its key and the hash of its text. The test side (terms, anchors, item words) is broadcast in blocks of at most
+BLOCK rows, so a larger benchmark costs more passes over the postings and not more memory.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestat.llm.common import ascii_lower, materialize, small
+from lodestat.llm.common import LOWER, UPPER, materialize, small
+
+N, PERCENT, RAREST = 13, 5, 3
+#: Words are runs of what is not one of these ASCII characters; A-Z counts as a-z.
+BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Rows of the test side that are broadcast at a time.
+BLOCK = 500_000
+
+
+def pieces(text: Column) -> Column:
+    """The words of a text as they are written; only the first and the last piece may be empty."""
+    return F.split(F.coalesce(text, F.lit("")), BREAKS)
+
+
+def lowered(word: Column) -> Column:
+    """Lower-cases A-Z only. Pure ASCII words take the fast function."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+
+
+def n_words(text: Column) -> Column:
+    return F.size(F.array_remove(pieces(text), "")).cast("long")
+
+
+def row_name(key: str, text: str) -> list[Column]:
+    """Names a row by its key and the hash of its text, so null keys and keys that repeat with other texts stay apart."""
+    return [F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t")]
 
-N, PERCENT = 13, 5
-#: Words: runs of what is not one of these ASCII characters.
-BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows that the small sides (test terms, anchors, items) may have to be broadcast.
-SMALL_ROWS = 200_000
 
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["k"].eqNullSafe(b["k"]) & (a["t"] == b["t"])
 
-def terms(text: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAKS), "")
 
+def in_blocks(big: DataFrame, table: DataFrame, on: str, rows: int = BLOCK) -> DataFrame:
+    """big joined with a materialised table, which is broadcast in blocks of about `rows` rows, dealt by a hash of the join column. Rows that share
+    a value of it stay together, so a block is larger only where one value alone has more rows."""
+    n = -(-table.count() // rows)
+    if n <= 1:
+        return big.join(F.broadcast(table), on)
+    return reduce(DataFrame.unionByName, (big.join(F.broadcast(table.where(F.pmod(F.xxhash64(on), F.lit(n)) == i)), on) for i in range(n)))
 
-def row_key(key: str, text: str) -> Column:
-    """Names a row by key and text, so null keys and keys that repeat with other texts stay apart."""
-    return F.xxhash64(F.col(key).cast("string"), F.col(text))
 
+@dataclass
+class Index:
+    """tests (i, item, n, p, id): words of the test items, i for each distinct item and text; postings (k, t, q, id); counts (id, c)."""
 
-def test_postings(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
-    """(item, n, p, term) of the test items; repeated rows of an item with one text count once."""
-    t = items.select(F.col(item_key).alias("item"), terms(F.col(item_text)).alias("w")).distinct()
-    return t.select("item", "w", F.size("w").alias("n"), F.posexplode("w").alias("p", "term"))
+    tests: DataFrame
+    postings: DataFrame
+    counts: DataFrame
 
 
-def term_counts(docs: DataFrame, vocabulary: DataFrame, text: str) -> DataFrame:
-    """How often the corpus has each test term."""
-    each = docs.select(F.explode(terms(F.col(text))).alias("term"))
-    return each.join(small(vocabulary, SMALL_ROWS), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("c"))
+def build_index(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> Index:
+    """Postings of all words that the test items have. Items that repeat a key with the same words count once."""
+    lower_all = F.transform(F.array_remove(pieces(F.col(item_text)), ""), lowered)
+    each = items.select(F.col(item_key).alias("item"), lower_all.alias("w")).where(F.size("w") > 0).distinct()
+    each = materialize(each.withColumn("i", F.monotonically_increasing_id()), "items").select("i", "item", F.size("w").alias("n"), F.posexplode("w").alias("p", "word"))
+    terms = materialize(each.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "terms")
+    tests = materialize(each.join(terms, "word").select("i", "item", "n", "p", "id"), "tests")
+    # named first: what stands beside a generator in one select is computed again for every word
+    named = docs.select(*row_name(key, text), F.col(text).alias("text"))
+    found = named.select("k", "t", F.posexplode(pieces(F.col("text"))).alias("q", "w")).select("k", "t", "q", lowered(F.col("w")).alias("word"))
+    postings = materialize(in_blocks(found, terms, "word").select("k", "t", "q", "id"), "postings")
+    return Index(tests, postings, materialize(postings.groupBy("id").agg(F.count(F.lit(1)).alias("c")), "counts"))
 
 
-def anchors(tests: DataFrame, counts: DataFrame, n: int = N) -> DataFrame:
-    """(term, item, w, p): for each window its rarest term, the first of equals, once an item and position."""
-    known = tests.join(counts, "term", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    ahead = Window.partitionBy("item", "w").orderBy("p").rowsBetween(0, n - 1)
-    best = known.withColumn("a", F.min(F.struct("c", "p", "term")).over(ahead)).where(F.col("p") <= F.greatest(F.col("n") - n, F.lit(0)))
-    return best.where("a.c > 0").select("a.term", "item", "w", "a.p").distinct()
+def anchors(index: Index, n: int = N, rarest: int = RAREST) -> DataFrame:
+    """(id, i, g, p, need): the `rarest` rarest terms of each window, the first of equals. Windows of an item with the same terms at the same
+    places are one group g; need is their number. Windows with a term that the corpus lacks occur nowhere and are left out."""
+    known = index.tests.join(index.counts, "id", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    ahead = Window.partitionBy("i").orderBy("p").rowsBetween(0, n - 1)
+    window = known.withColumn("a", F.collect_list(F.struct("c", "p", "id")).over(ahead)).where(F.col("p") <= F.greatest(F.col("n") - n, F.lit(0)))
+    best = window.select("i", "p", F.slice(F.array_sort("a"), 1, rarest).alias("a")).where("a[0].c > 0")
+    groups = best.groupBy("i", "a").agg(F.min("p").alias("g"))
+    return groups.select("i", "g", F.size("a").alias("need"), F.explode("a").alias("x")).select("x.id", "i", "g", "x.p", "need")
 
 
-def alignments(docs: DataFrame, anchor: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, item, w, d): documents in which an anchor occurs; word i of the item would be word d + i of the document."""
-    index = docs.select(row_key(key, text).alias("k"), F.posexplode(terms(F.col(text))).alias("q", "term"))
-    return index.join(small(anchor, SMALL_ROWS), "term").select("k", "item", "w", (F.col("q") - F.col("p")).alias("d")).distinct()
+def alignments(index: Index, n: int = N, rarest: int = RAREST) -> DataFrame:
+    """(k, t, i, d): word p of item i would be word d + p of the row, and the rarest terms of a window are there. A row's postings lie together,
+    so most of the counting is done before anything is shuffled."""
+    at = in_blocks(index.postings, materialize(anchors(index, n, rarest), "anchors"), "id").select("k", "t", "i", "g", "need", (F.col("q") - F.col("p")).alias("d"))
+    all_there = at.groupBy("k", "t", "i", "g", "need", "d").agg(F.count(F.lit(1)).alias("c"))
+    return all_there.where("c >= need").select("k", "t", "i", "d").distinct()
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = N) -> DataFrame:
-    """(k, item, q): document words q inside an occurrence of a window of an item; k as in row_key()."""
-    tests = materialize(test_postings(items, item_key, item_text), "tests")
-    counts = materialize(term_counts(docs, materialize(tests.select("term").distinct(), "vocabulary"), text), "counts")
-    anchor = materialize(anchors(tests, counts, n), "anchors")
-    aligned = materialize(alignments(docs, anchor, key, text), "aligned")
-    keys = small(materialize(aligned.select("k").distinct(), "keys"))
-    found = docs.select(row_key(key, text).alias("k"), F.col(text).alias("t")).join(keys, "k", "left_semi").dropDuplicates(["k"])
-    both = found.select("k", terms(F.col("t")).alias("t")).join(aligned, "k")
-    first = F.greatest(F.col("d"), F.lit(0))
-    part = F.slice("t", first + 1, F.least(F.size("t") - first, F.size("w") - (first - F.col("d"))))
-    cut = both.where(first < F.size("t")).select("k", "item", "w", first.alias("first"), (first - F.col("d")).alias("skip"), part.alias("part"))
-    same = F.transform("part", lambda x, i: x == F.get(F.col("w"), i + F.col("skip")))
-    runs = cut.select("k", "item", "first", F.least(F.size("w"), F.lit(n)).alias("m"), same.alias("same"))
-    # between two neighbouring mismatches (or ends) lies a run of matches; a run of m words or more is covered by windows
-    other = F.filter(F.transform("same", lambda x, i: F.when(~x, i)), lambda i: i.isNotNull())
-    bounds = runs.withColumn("bounds", F.concat(F.array(F.lit(-1)), other, F.array(F.size("same"))))
-    span = F.transform("bounds", lambda x, i: F.struct((x + 1).alias("lo"), (F.get(F.col("bounds"), i + 1) - 1).alias("hi")))
-    ends = bounds.withColumn("spans", F.filter(span, lambda r: r.hi - r.lo + 1 >= F.col("m"))).where(F.size("spans") > 0)
-    each = F.flatten(F.transform("spans", lambda r: F.sequence(F.col("first") + r.lo, F.col("first") + r.hi)))
-    return ends.select("k", "item", F.explode(each).alias("q"))
+def phrase_matches(index: Index, n: int = N, rarest: int = RAREST) -> DataFrame:
+    """(k, t, item, q): words q of a row inside an occurrence of a window of an item. A copy of a row has the same name and the same matches."""
+    aligned = materialize(alignments(index, n, rarest), "aligned")
+    words = index.tests.select("i", "item", "p", "id", F.least("n", F.lit(n)).alias("m"))
+    wanted = in_blocks(aligned, words, "i").withColumn("q", F.col("d") + F.col("p")).where("q >= 0")
+    rows = small(materialize(aligned.select("k", "t").distinct(), "rows"))
+    there = index.postings.join(rows, same_row(index.postings, rows), "left_semi")
+    match = (wanted["q"] == there["q"]) & (wanted["id"] == there["id"]) & same_row(wanted, there)
+    hit = wanted.join(there, match, "left_semi")
+    run = F.col("p") - F.row_number().over(Window.partitionBy("k", "t", "i", "d").orderBy("p"))
+    runs = hit.withColumn("run", run).groupBy("k", "t", "i", "item", "d", "m", "run").agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
+    return runs.where("hi - lo + 1 >= m").select("k", "t", "item", F.explode(F.sequence("lo", "hi")).alias("q"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and n_hit at least percent % of n_words).
 
     Null texts have no words. Items without words match nothing; an item shorter than n words is one window. Repeated rows get equal
-    results. Null keys are kept. Empty tables give empty or clean results. Columns of docs with the added names are replaced.
+    results. Null keys are kept, and rows with a null key and other texts are judged apart. Empty tables give empty or clean results.
+    Columns of docs with the added names are replaced; others pass through, whatever their names.
     """
-    found = phrase_matches(docs, items, key, text, item_key, item_text, n).distinct()
-    by_item = materialize(found, "hits")
-    hits = by_item.select("k", "q").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n_hit"))
-    names = by_item.groupBy("k").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("names"))
-    verdict = small(materialize(hits.join(names, "k"), "verdicts"), SMALL_ROWS)
-    own = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated").withColumn("_k", row_key(key, text)).withColumn("n_words", F.size(terms(F.col(text))).cast("long"))
-    out = own.join(verdict, F.col("_k") == F.col("k"), "left")
-    return out.withColumns({
-        "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"),
-        "n_items": F.coalesce(F.size("names"), F.lit(0)).cast("long"),
-        "items_sha256": F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")), 256),
-    }).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(100) * F.col("n_hit") >= percent * F.col("n_words"))).drop("_k", "k", "names")
-
-
-def proximity_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rarest: int = 4, span: int = 20) -> DataFrame:
-    """(k, item, q): places where the item's `rarest` rarest distinct terms (all, if it has fewer) lie within span words, in any order;
-    q is the first word. Terms that the corpus lacks count as rarest, so such items match nowhere."""
-    tests = materialize(test_postings(items, item_key, item_text).select("item", "term").distinct(), "tests")
-    counts = materialize(term_counts(docs, materialize(tests.select("term").distinct(), "vocabulary"), text), "counts")
-    order = Window.partitionBy("item").orderBy(F.coalesce("c", F.lit(0)), "term")
-    chosen = tests.join(counts, "term", "left").withColumn("r", F.row_number().over(order)).where(F.col("r") <= rarest)
-    chosen = materialize(chosen.withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("item"))).select("item", "term", "need"), "chosen")
-    index = docs.select(row_key(key, text).alias("k"), F.posexplode(terms(F.col(text))).alias("q", "term"))
-    near = Window.partitionBy("k", "item").orderBy("q").rangeBetween(0, span - 1)
-    seen = index.join(small(chosen, SMALL_ROWS), "term").withColumn("got", F.size(F.collect_set("term").over(near)))
-    return seen.where("got = need").select("k", "item", "q").distinct()
+    added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    hits = materialize(phrase_matches(build_index(docs, items, key, text, item_key, item_text), n).distinct(), "hits")
+    count = hits.select("k", "t", "q").distinct().groupBy("k", "t").agg(F.count(F.lit(1)).alias("hit"))
+    names = hits.groupBy("k", "t").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("names"))
+    verdict = small(materialize(count.join(names.withColumnsRenamed({"k": "k2", "t": "t2"}), F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2"))).select("k", "t", "hit", "names"), "verdicts"))
+    passed = docs.drop(*added)
+    own = docs.select(F.struct(*(passed[c] for c in passed.columns)).alias("row"), *row_name(key, text), n_words(F.col(text)).alias("n"))
+    out = own.join(verdict, same_row(own, verdict), "left").select("row", "n", F.coalesce("hit", F.lit(0)).cast("long").alias("hit"), "names")
+    return out.select(
+        "row.*",
+        F.col("n").alias("n_words"),
+        F.col("hit").alias("n_hit"),
+        F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")), 256).alias("items_sha256"),
+        ((F.col("hit") > 0) & (F.lit(100) * F.col("hit") >= percent * F.col("n"))).alias("contaminated"),
+    )
+
+
+def proximity_matches(index: Index, rarest: int = 4, span: int = 20) -> DataFrame:
+    """(k, t, item, q): places where the `rarest` rarest distinct terms of an item (all, if it has fewer) lie within span words, in any order; q is
+    the first word. Terms that the corpus lacks count as rarest, so such items match nowhere."""
+    terms = index.tests.select("i", "item", "id").distinct().join(index.counts, "id", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    ranked = terms.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("c", "id"))).where(F.col("r") <= rarest)
+    chosen = materialize(ranked.withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("i"))).select("i", "item", "id", "need"), "chosen")
+    at = in_blocks(index.postings, chosen, "id")
+    # rows that lack one of the terms go before any sorting
+    full = at.groupBy("k", "t", "i", "need").agg(F.count_distinct("id").alias("c")).where("c = need").select("k", "t", "i")
+    full = small(materialize(full, "full"))
+    rows = at.join(full, same_row(at, full) & (at["i"] == full["i"]), "left_semi").distinct()
+    near = Window.partitionBy("k", "t", "i").orderBy("q").rangeBetween(0, span - 1)
+    seen = rows.withColumn("got", F.size(F.collect_set("id").over(near)))
+    return seen.where("got = need").select("k", "t", "item", "q").distinct()
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, least(len(w), 13) AS m, array_to_string(w[s : s + least(len(w), 13) - 1], ' ') AS phrase
        FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT m FROM bw),
