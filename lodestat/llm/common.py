@@ -73,13 +73,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def rolling(h: np.ndarray, width: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Hash of h[i:i+width] for each i; the last width - 1 entries are of shorter runs padded with zeros."""
-    out, p = np.zeros(len(h), np.uint64), np.uint64(factor | 1)
+    """Hash of h[i:i+width] for each i, a polynomial modulo 2**64 from running sums; the last width - 1 entries are of shorter runs."""
+    n, p = len(h), factor | 1
+    powers = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]))[:n]
     with np.errstate(over="ignore"):
-        for j in range(width):
-            out *= p
-            out[: len(h) - j] += h[j:] if j else h
-    return mix(out)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(p))])
+        return mix((total[np.minimum(np.arange(n) + width, n)] - total[:n]) * powers(pow(p, -1, 1 << 64)))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores added as it takes to differ from all columns; Spark compares names without case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:

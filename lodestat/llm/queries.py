@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": arc.ORACLE, "op5_decontamination": decontam.ORACLE}
+    return {"op4_warc": arc.ORACLE, "op5_decontamination": decontam.ORACLE, "op6_substring_dedup": superkmer.ORACLE}

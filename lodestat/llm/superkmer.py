@@ -5,9 +5,10 @@ the same minimiser travel as one packed string to that minimiser's bucket, where
 window's count is that of the whole corpus. Equal windows always share a minimiser, hence:
 
 * a first, thin pass counts minimisers, and a window whose minimiser occurs once needs no shuffle. What occurs more often is marked in
-  a bit map of 2**FILTER_BITS bits, the only thing broadcast; a wrong bit costs some shuffle and never changes a result.
-* minimisers in more than HEAVY super-k-mers (marked in a bit map too) would overfill a bucket. Their equal packed strings are counted first,
-  which combines before the shuffle, and the windows of different strings are added up by digest.
+  a bit map, sized by their number up to 2**MOST_BITS bits, the only thing broadcast; a wrong bit costs some shuffle and never changes a result.
+* equal packed strings that a task holds at once are repeated for sure: they are reported there, and one of them travels for all.
+* minimisers that are frequent all the same (HEAVY strings) are split by a second minimiser of LONGER words; windows still travel packed.
+* where a bucket is larger than a task should hold even then, its windows go on as digests and Spark adds them up.
 """
 
 from __future__ import annotations
@@ -17,42 +18,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import materialize, mix, ragged, rolling, sliced, word_hashes, words
+from lodestat.llm.common import fresh, materialize, mix, ragged, rolling, sliced, word_hashes, words
 
-WIDTH, MINIMISER, FILTER_BITS, HEAVY = 35, 8, 26, 20_000
+WIDTH, MINIMISER, LONGER, HEAVY, MOST_BITS = 35, 8, 20, 5000, 28
+#: Packed strings, and bytes of them, that a task holds of one bucket.
+BUCKET_ROWS, BUCKET_BYTES = 100_000, 48_000_000
 _SECOND = 0xC2B2AE3D27D4EB4F
 
 
+def _least(values: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least of values[i:i+span] for each i. The low bits of what is compared hold the place, so of equal values it is the leftmost."""
+    low, reach = np.uint64((1 << max(1, len(values).bit_length())) - 1), 1
+    least = values & ~low | np.arange(len(values), dtype=np.uint64)
+    while reach < span:
+        step = min(reach, span - reach)
+        least[: len(least) - step] = np.minimum(least[: len(least) - step], least[step:])
+        reach += step
+    return (least & low).astype(np.int64)
+
+
 def super_kmers(h: np.ndarray, offsets: np.ndarray, width: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, windows, minimiser) of each run of windows that share one minimiser at one place, over concatenated documents. So two
     equal windows are never in the same super-k-mer, and none has more than width - minimiser + 1 windows."""
     n = np.diff(offsets)
-    if len(h) < width:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    # the low bits hold the place, so that the least value also says which of equal runs of words it is: the leftmost
-    low = np.uint64((1 << max(1, len(h).bit_length())) - 1)
-    values, span, reach = mix(rolling(h, minimiser)), width - minimiser + 1, 1
-    least = values & ~low | np.arange(len(h), dtype=np.uint64)
-    while 2 * reach <= span:
-        least[: len(least) - reach] = np.minimum(least[: len(least) - reach], least[reach:])
-        reach *= 2
-    if reach < span:
-        least[: len(least) - span + reach] = np.minimum(least[: len(least) - span + reach], least[span - reach :])
     doc = np.repeat(np.arange(len(n)), n)
-    starts = np.flatnonzero(np.arange(len(h)) + width <= offsets[1:][doc])
+    starts = np.flatnonzero(np.arange(len(h)) + width <= offsets[1:][doc]) if len(h) >= width else np.zeros(0, np.int64)
     if not len(starts):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    d, at = doc[starts], (least[starts] & low).astype(np.int64)
+    values = mix(rolling(h, minimiser))
+    d, at = doc[starts], _least(values, width - minimiser + 1)[starts]
     new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    m = values[at]
-    return d[new], starts[new] - offsets[:-1][d[new]], np.diff(np.append(new, len(starts))), mix(m[new])
+    return d[new], starts[new] - offsets[:-1][d[new]], np.diff(np.append(new, len(starts))), mix(values[at[new]])
+
+
+def split(h: np.ndarray, offsets: np.ndarray, found: tuple[np.ndarray, ...], width: int, longer: int) -> tuple[np.ndarray, ...]:
+    """The windows of some super-k-mers, cut again where their minimiser of `longer` words changes; the new key depends on both minimisers."""
+    doc, start, windows, m = found
+    values = mix(rolling(h, longer, _SECOND))
+    row = np.repeat(np.arange(len(doc)), windows)
+    place = np.arange(len(row)) + np.repeat(offsets[doc] + start - np.cumsum(windows) + windows, windows)
+    at = _least(values, width - longer + 1)[place]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1])])) if len(row) else row
+    r = row[new]
+    return doc[r], place[new] - offsets[doc[r]], np.diff(np.append(new, len(row))), mix(m[r] ^ mix(values[at[new]]))
+
 
+def _alike(one: np.ndarray, two: np.ndarray, first: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, copies): an order that brings equal packed strings together, and for each string there, the number of its copies if it is
+    the first of them, else 0. First and last window cover a string, so their digests name it."""
+    a, b = one[first] ^ mix(one[first + windows - 1] + windows.astype(np.uint64)), two[first] ^ mix(two[first + windows - 1] + windows.astype(np.uint64))
+    order = np.lexsort((b, a))
+    new = np.flatnonzero(np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])) if len(a) else order
+    copies = np.zeros(len(a), np.int64)
+    copies[new] = np.diff(np.append(new, len(a)))
+    return order, copies
 
-def _hashed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), word_hashes(words(F.col(text))).alias("h"))
+
+def _hashed(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
+    return docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), word_hashes(words(F.col(text))).alias("h")).where(F.size("h") >= width)
 
 
 def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
@@ -65,39 +92,59 @@ def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _marked(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    place = keys >> np.uint64(64 - bits)
+def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys >> np.uint64(64 - 6 - int(np.log2(len(bitmap))))
     return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def minimiser_counts(docs: DataFrame, text: str, width: int = WIDTH, minimiser: int = MINIMISER) -> DataFrame:
-    """(m, n): super-k-mers of each minimiser."""
+def _bits(n: int) -> int:
+    return min(MOST_BITS, max(16, (8 * n).bit_length()))
+
+
+def minimiser_counts(docs: DataFrame, text: str, key: str, width: int = WIDTH, minimiser: int = MINIMISER) -> DataFrame:
+    """(m, n): packed strings of each minimiser; copies of a string in one slice of a task count as two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "h", 2_000_000):
-            m, n = np.unique(super_kmers(*ragged(b.column("h")), width, minimiser)[3], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n)], names=["m", "n"])
+            h, offsets = ragged(b.column("h"))
+            doc, start, windows, m = super_kmers(h, offsets, width, minimiser)
+            order, copies = _alike(rolling(h, width), rolling(h, width, _SECOND), offsets[doc] + start, windows)
+            m = m[order][copies > 0]
+            order = np.argsort(m, kind="stable")
+            m, n = m[order], np.minimum(copies[copies > 0], 2)[order]
+            new = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else order
+            yield pa.RecordBatch.from_arrays([pa.array(m[new].view(np.int64)), pa.array(np.add.reduceat(n, new) if len(m) else n)], names=["m", "n"])
 
-    hashed = docs.select(word_hashes(words(F.col(text))).alias("h")).where(F.size("h") >= width)
-    return hashed.mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
+    return _hashed(docs, text, key, width).select("h").mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
 
 
-def occurrences(docs: DataFrame, text: str, key: str, keep, width: int, minimiser: int) -> DataFrame:
-    """Super-k-mers whose minimiser passes keep(array): (k, t, start, m, packed); packed is the words' hashes, 8 bytes each."""
+def occurrences(docs: DataFrame, text: str, key: str, often, heavy, width: int, minimiser: int, longer: int) -> DataFrame:
+    """(k, t, start, len, m, packed, n) for super-k-mers whose minimiser is marked as often. packed is the words' hashes, 8 bytes each, and n says
+    whether the string stands for one or for several. Rows without packed are spans already known to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "h", 1_000_000):
+        for b in sliced(batches, "h", 2_000_000):
             h, offsets = ragged(b.column("h"))
-            doc, start, windows, m = super_kmers(h, offsets, width, minimiser)
-            on = keep(m)
-            doc, start, windows, m = doc[on], start[on], windows[on], m[on]
-            at, raw = offsets[doc] + start, h.tobytes()
-            packed = [raw[8 * a : 8 * e] for a, e in zip(at, at + windows + width - 1, strict=True)]
-            take = pa.array(doc, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("k").take(take), b.column("t").take(take), pa.array(start, pa.int64()), pa.array(m.view(np.int64)), pa.array(packed, pa.binary())], names=["k", "t", "start", "m", "packed"])
+            found = super_kmers(h, offsets, width, minimiser)
+            found = tuple(x[_marked(often.value, found[3])] for x in found)
+            if heavy is not None and (hot := _marked(heavy.value, found[3])).any():
+                cut = split(h, offsets, tuple(x[hot] for x in found), width, longer)
+                found = tuple(np.concatenate([x[~hot], y]) for x, y in zip(found, cut, strict=True))
+            doc, start, windows, m = found
+            order, copies = _alike(rolling(h, width), rolling(h, width, _SECOND), offsets[doc] + start, windows)
+            doc, start, windows, m = (x[order] for x in (doc, start, windows, m))
+            sent = np.flatnonzero(copies)
+            known = np.flatnonzero(np.repeat(copies[sent], copies[sent]) > 1)
+            size, raw = windows + width - 1, h.tobytes()
+            at = (offsets[doc] + start)[sent]
+            packed = [raw[8 * a : 8 * e] for a, e in zip(at, at + size[sent], strict=True)]
+            for rows, n, strings, keys in ((sent, np.minimum(copies[sent], 2), pa.array(packed, pa.binary()), m[sent]), (known, np.full(len(known), 2), pa.nulls(len(known), pa.binary()), mix(np.arange(len(known), dtype=np.uint64)))):
+                take = pa.array(doc[rows], pa.int64())
+                cols = [b.column("k").take(take), b.column("t").take(take), *(pa.array(x) for x in (start[rows], size[rows], keys.view(np.int64))), strings, pa.array(n)]
+                yield pa.RecordBatch.from_arrays(cols, names=["k", "t", "start", "len", "m", "packed", "n"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return _hashed(docs, text, key).where(F.size("h") >= width).mapInArrow(run, f"k {kind}, t long, start long, m long, packed binary")
+    return _hashed(docs, text, key, width).mapInArrow(run, f"k {kind}, t long, start long, len long, m long, packed binary, n long")
 
 
 def _windows(packed: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,9 +164,14 @@ def _spans(row: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.
     return row[new], at[new], np.diff(np.append(new, len(row))) + width - 1
 
 
-def count_buckets(found: DataFrame, width: int, most: int = 200_000) -> DataFrame:
-    """(k, t, start, len): spans of windows that occur twice or more, from super-k-mers dealt out by minimiser. A task walks through its
-    rows in order of minimiser and counts whenever a minimiser ends and `most` rows are held, so memory is bound by `most` and HEAVY."""
+def count_buckets(found: DataFrame, width: int, most: int = BUCKET_ROWS) -> DataFrame:
+    """(k, t, start, len, d, e, n) from occurrences(), dealt out by minimiser: spans of windows that occur twice or more, and windows of overfull
+    buckets with their digests d and e. A task walks through its rows in order of minimiser and holds `most` of them at most."""
+
+    def out(rows: pa.RecordBatch, r: np.ndarray, start: np.ndarray, size: np.ndarray, d: pa.Array | None = None, e: pa.Array | None = None) -> pa.RecordBatch:
+        take, none = pa.array(r, pa.int64()), pa.nulls(len(r), pa.int64())
+        cols = [rows.column("k").take(take), rows.column("t").take(take), pa.array(start), pa.array(size), none if d is None else d, none if e is None else e, rows.column("n").take(take)]
+        return pa.RecordBatch.from_arrays(cols, names=["k", "t", "start", "len", "d", "e", "n"])
 
     def repeated(rows: pa.RecordBatch) -> pa.RecordBatch:
         row, at, one, two = _windows(rows.column("packed"), width)
@@ -128,64 +180,61 @@ def count_buckets(found: DataFrame, width: int, most: int = 200_000) -> DataFram
         hit = np.zeros(len(row), bool)
         hit[order[1:][same]] = hit[order[:-1][same]] = True
         r, a, n = _spans(row[hit], at[hit], width)
-        take = pa.array(r)
-        start = rows.column("start").to_numpy()[r] + a
-        return pa.RecordBatch.from_arrays([rows.column("k").take(take), rows.column("t").take(take), pa.array(start), pa.array(n)], names=["k", "t", "start", "len"])
+        return out(rows, r, rows.column("start").to_numpy()[r] + a, n)
+
+    def later(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for s in (rows.slice(i, 5000) for i in range(0, rows.num_rows, 5000)):
+            row, at, one, two = _windows(s.column("packed"), width)
+            yield out(s, row, s.column("start").to_numpy()[row] + at, np.full(len(row), width), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)))
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        over = None  # the minimiser whose bucket is overfull
         for b in batches:
-            m = b.column("m").to_numpy()
-            if held and (sum(x.num_rows for x in held) + b.num_rows > most or sum(x.nbytes for x in held) > 12e6):
-                cut = int(np.flatnonzero(np.append(m, ~m[-1]) != held[-1].column("m")[-1].as_py())[0])
-                if cut < b.num_rows:
-                    yield repeated(pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()[0])
-                    held, b = [], b.slice(cut)
+            known = b.filter(pc.is_null(b.column("packed")))
+            yield out(known, np.arange(known.num_rows), known.column("start").to_numpy(), known.column("len").to_numpy())
+            b = b.filter(pc.is_valid(b.column("packed")))
+            if over is not None:
+                n = int(np.argmin(np.append(b.column("m").to_numpy() == over, False)))
+                yield from later(b.slice(0, n))
+                b = b.slice(n)
+                over = over if not b.num_rows else None
+            if not b.num_rows:
+                continue
             held.append(b)
+            if sum(x.num_rows for x in held) > most or sum(x.nbytes for x in held) > BUCKET_BYTES // 4:
+                rows = joined(held)
+                m = rows.column("m").to_numpy()
+                cut = int(np.argmax(m == m[-1]))
+                if cut:
+                    yield repeated(rows.slice(0, cut))
+                    rows = joined([rows.slice(cut)])
+                if rows.num_rows > most or rows.nbytes > BUCKET_BYTES:
+                    yield from later(rows)
+                    held, over = [], m[-1]
+                else:
+                    held = [rows]
         if held:
-            yield repeated(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield repeated(joined(held))
 
     kind = found.schema["k"].dataType.simpleString()
-    return found.repartition("m").sortWithinPartitions("m").mapInArrow(run, f"k {kind}, t long, start long, len long")
+    return found.repartition("m").sortWithinPartitions("m").mapInArrow(run, f"k {kind}, t long, start long, len long, d long, e long, n long")
 
 
-def count_windows(found: DataFrame, width: int) -> DataFrame:
-    """The same spans for heavy minimisers. Equal packed strings are counted before the shuffle and cut into windows once; windows are added up by
-    digest, and each occurrence of a string gets that string's spans."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in (b.slice(i, 5000) for i in range(0, b.num_rows, 5000)):
-                row, at, one, two = _windows(s.column("packed"), width)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([s.column("p").take(take), s.column("n").take(take), pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["p", "n", "at", "d", "e"])
-
-    name = F.md5("packed")
-    strings = found.groupBy("packed").agg(F.count(F.lit(1)).alias("n")).select(name.alias("p"), "n", "packed")
-    each = materialize(strings.mapInArrow(run, "p string, n long, at long, d long, e long"), "windows")
-    twice = each.groupBy("d", "e").agg(F.sum("n").alias("all")).where("all > 1").select("d", "e")
-    spans = each.join(twice, ["d", "e"], "left_semi").groupBy("p").agg(F.array_sort(F.collect_list("at")).alias("ats"))
-    edge = lambda step: F.filter("ats", lambda x: ~F.array_contains("ats", x + step))
-    spans = spans.select("p", F.explode(F.arrays_zip(edge(-1).alias("lo"), edge(1).alias("hi"))).alias("r")).select("p", "r.lo", (F.col("r.hi") - F.col("r.lo") + width).alias("len"))
-    hit = found.select("k", "t", "start", name.alias("p")).join(spans, "p")
-    return hit.select("k", "t", (F.col("start") + F.col("lo")).alias("start"), "len")
-
-
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, minimiser: int = MINIMISER, filter_bits: int = FILTER_BITS, heavy: int = HEAVY) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, minimiser: int = MINIMISER, longer: int = LONGER, heavy: int = HEAVY, most: int = BUCKET_ROWS) -> DataFrame:
     """(k, t, start, len): words to remove, by key and hash of the text; spans of one text may overlap."""
-    counts = materialize(minimiser_counts(docs, text, width, minimiser).where("n > 1"), "minimisers")
-    sc = docs.sparkSession.sparkContext
-    often = sc.broadcast(_bitmap(counts.select("m"), filter_bits))
-    hot = counts.where(F.col("n") > heavy).select("m")
-    parts = []
-    if hot.isEmpty():
-        parts.append(count_buckets(occurrences(docs, text, key, lambda m: _marked(often.value, m, filter_bits), width, minimiser), width))
-    else:
-        hot_bits = sc.broadcast(_bitmap(hot, min(filter_bits, 22)))
-        is_hot = lambda m: _marked(hot_bits.value, m, min(filter_bits, 22))
-        parts.append(count_buckets(occurrences(docs, text, key, lambda m: _marked(often.value, m, filter_bits) & ~is_hot(m), width, minimiser), width))
-        parts.append(count_windows(occurrences(docs, text, key, lambda m: _marked(often.value, m, filter_bits) & is_hot(m), width, minimiser), width))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    counts = materialize(minimiser_counts(docs, text, key, width, minimiser).where("n > 1"), "minimisers")
+    sc, hot = docs.sparkSession.sparkContext, counts.where(F.col("n") > heavy).select("m")
+    n, n_hot = counts.select(F.count(F.lit(1)), F.coalesce(F.sum((F.col("n") > heavy).cast("long")), F.lit(0))).first()
+    often = sc.broadcast(_bitmap(counts.select("m"), _bits(n)))
+    frequent = sc.broadcast(_bitmap(hot, _bits(n_hot))) if n_hot else None
+    found = materialize(count_buckets(occurrences(docs, text, key, often, frequent, width, minimiser, longer), width, most), "spans")
+    left = found.where("d is not null")
+    twice = left.groupBy("d", "e").agg(F.sum("n").alias("n")).where("n > 1").select("d", "e")
+    return found.where("d is null").unionByName(left.join(twice, ["d", "e"], "left_semi")).select("k", "t", "start", "len").distinct()
 
 
 def _cut(text: str | None, starts, lens) -> tuple[int, int, str, str]:
@@ -208,18 +257,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
     Every word in a window whose word sequence starts anywhere else too is removed, the first occurrence as well; windows are judged on
     the input. Null and empty texts have no words and stay empty (null becomes empty). A repeated row repeats all its windows, so both
-    lose them. Texts under `width` words are unchanged. An empty table gives an empty table. Columns k, t, start, len, n_words, n_removed and
-    kept of docs are replaced or kept apart, others pass through.
+    lose them. Texts under `width` words are unchanged. Null keys are kept. An empty table gives an empty table. Columns n_words, n_removed
+    and kept of docs are replaced, others pass through, whatever their names.
     """
-    spans = repeated_spans(docs, key, text, width, **more).groupBy("k", "t").agg(F.collect_list("start").alias("_starts"), F.collect_list("len").alias("_lens"))
-    spans = spans.select(F.col("k").alias("_k"), F.col("t").alias("_t"), "_starts", "_lens")
     own = docs.drop("n_words", "n_removed", "kept")
     columns = own.columns
-    joined = own.join(spans, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_t")), "left").drop("_k", "_t")
+    k, t, starts, lens = fresh(columns, "k", "t", "starts", "lens")
+    spans = repeated_spans(docs, key, text, width, **more).groupBy("k", "t").agg(F.collect_list("start").alias(starts), F.collect_list("len").alias(lens))
+    spans = spans.select(F.col("k").alias(k), F.col("t").alias(t), starts, lens)
+    joined = own.join(spans, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.col(text)) == F.col(t)), "left").drop(k, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, text, 8_000_000):
-            rows = [_cut(t, s or (), n or ()) for t, s, n in zip(*(b.column(c).to_pylist() for c in (text, "_starts", "_lens")), strict=True)]
+            rows = [_cut(t, s or (), n or ()) for t, s, n in zip(*(b.column(c).to_pylist() for c in (text, starts, lens)), strict=True)]
             n_words, n_removed, kept, left = zip(*rows, strict=True)
             own_cols = [pa.array(left, pa.string()) if c == text else b.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*own_cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*columns, "n_words", "n_removed", "kept"])
@@ -233,3 +283,13 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     out = remove_repeats(docs.select(key, text), key, text)
     return out.select(key, "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, unnest([md5(array_to_string(w[i : i + 34], ' ')) FOR i IN range(1, len(w) - 33)]) AS g FROM d WHERE len(w) >= 35),
+again AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM g SEMI JOIN again USING (g)),
+p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS kept FROM p ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

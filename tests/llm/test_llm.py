@@ -272,13 +272,13 @@ def repeats_by_force(texts, width=35):
     return out
 
 
-@pytest.mark.parametrize("heavy", [5000, 2])
-def test_substring_dedup_matches_brute_force(spark, documents, heavy):
+@pytest.mark.parametrize("heavy, most", [(5000, 100_000), (2, 100_000), (5000, 1), (2, 3)])
+def test_substring_dedup_matches_brute_force(spark, documents, heavy, most):
     rng = np.random.default_rng(5)
     shared = text_of(rng, 60)
     texts = [*documents.text, *ODD, shared + " tail", "head " + shared + "\n" + text_of(rng, 80), text_of(rng, 34), text_of(rng, 35)]
     texts += [texts[-1], " ".join(["ab"] * 100), shared[:-3]]
-    got = superkmer.remove_repeats(docs_of(spark, texts), heavy=heavy).toPandas().sort_values("doc_id")
+    got = superkmer.remove_repeats(docs_of(spark, texts), heavy=heavy, most=most).toPandas().sort_values("doc_id")
     want = repeats_by_force(texts)
     assert [(a, b, hashlib.sha256(k.encode()).hexdigest()) for a, b, k in zip(got.n_words, got.n_removed, got.kept)] == want
     for before, after, n in zip(texts, got.text, got.n_removed, strict=True):
