@@ -1,8 +1,9 @@
 """Quality classifier (operator 10): a linear-chain conditional random field labels every line good or bad.
 
-A line's features are its own, its predecessor's and its successor's shares of character classes, length, repetition and ending. The
-field is trained on a bounded sample of labelled documents, each line with its document's label. A document's quality is the mean
-of its lines' forward-backward marginals, weighted by length.
+A line's features are its own, its predecessor's and its successor's shares of character classes, length, repetition and ending. A
+document's quality is the mean of its lines' forward-backward marginals, weighted by length. Only documents have labels, so lines are
+latent: the field is trained on a bounded sample of labelled documents so that this mean agrees with the label, GOOD_SHARE or BAD_SHARE of
+the text. A bad document may thus have good lines, and lines that good documents have are held to be good wherever they stand.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from lodestat.llm.common import held_out, materialize, sliced
 #: Documents and lines of all of them that training uses at most; each document is used whole.
 TRAIN_DOCS, TRAIN_LINES = 6000, 384_000
 PREDICT = 0.7
+#: The share of good text that documents labelled good and bad are expected to have.
+GOOD_SHARE, BAD_SHARE = 0.97, 0.15
+#: Ridge penalties of a line's own weights, and of its neighbours' and the transitions: context counts where a line itself says little.
+OWN_PENALTY, CONTEXT_PENALTY = 1e-3, 0.05
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#*$%&|<>", b"0123456789", b"!?", b".,;:'\"()-", b" \t\r\x0b\x0c", bytes(range(128, 256))]
 _CLASS = np.full(256, 7, np.int64)
 for _i, _c in enumerate(_CLASSES):
@@ -91,36 +96,55 @@ class Field:
         return out
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, steps: int = 200, rate: float = 0.1, penalty: float = 1e-3) -> Field:
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def gradient(field: Field, x: np.ndarray, share: np.ndarray, weight: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Gradient, by weights and then transitions, of the log likelihood of the wanted shares of good text in documents of n lines. x: documents x lines x
+    features, weight: each line's part of its document's length, 0 beyond n. It runs back through the recursions of both messages."""
+    t, u = field.transitions, (x.reshape(-1, x.shape[2]) @ field.weights).reshape(x.shape[:2])
+    a, b = field.messages(u, n)
+    p = _sigmoid(a + b)
+    s = np.clip((weight * p).sum(axis=1), 1e-6, 1 - 1e-6)
+    error = ((share / s - (1 - share) / (1 - s))[:, None] * weight) * p * (1 - p)
+    da, db, du, dt = error.copy(), error.copy(), np.zeros_like(u), np.zeros((2, 2))
+    for i in range(u.shape[1] - 1, 0, -1):  # a[i] = u[i] + f(a[i - 1])
+        to1, to0 = _sigmoid(a[:, i - 1] + t[1, 1] - t[0, 1]), _sigmoid(a[:, i - 1] + t[1, 0] - t[0, 0])
+        dt += [[-(da[:, i] @ (1 - to0)), da[:, i] @ (1 - to1)], [-(da[:, i] @ to0), da[:, i] @ to1]]
+        da[:, i - 1] += da[:, i] * (to1 - to0)
+    for i in range(1, u.shape[1]):  # b[i - 1] = g(u[i] + b[i]) within a document
+        back = np.where(i < n, db[:, i - 1], 0)
+        y = u[:, i] + b[:, i]
+        from1, from0 = _sigmoid(y + t[1, 1] - t[1, 0]), _sigmoid(y + t[0, 1] - t[0, 0])
+        dt += [[-(back @ (1 - from0)), -(back @ from0)], [back @ (1 - from1), back @ from1]]
+        step = back * (from1 - from0)
+        db[:, i] += step
+        du[:, i] += step
+    return np.concatenate([(du + da).ravel() @ x.reshape(-1, x.shape[2]), dt.ravel()])
+
+
+def fit(features: list[np.ndarray], labels: np.ndarray, lengths: list[np.ndarray], steps: int = 150, rate: float = 0.1) -> Field:
     """Maximum likelihood by Adam, all documents at once, padded in buckets of like length; without both labels the field is even."""
     width = 3 * OWN + 3
     if len(set(labels.tolist())) < 2:
         return Field(np.zeros(width), np.zeros((2, 2)))
     size, buckets = np.array([len(x) for x in features]), []
     level = np.ceil(np.log2(size))
+    share = np.where(np.asarray(labels) == 1, GOOD_SHARE, BAD_SHARE)
     for k in np.unique(level):
         rows = np.flatnonzero(level == k)
         n = size[rows]
-        x = np.zeros((len(n), n.max(), width))
+        x, weight = np.zeros((len(n), n.max(), width)), np.zeros((len(n), n.max()))
         for j, i in enumerate(rows):
-            x[j, : n[j]] = features[i]
-        buckets.append((x, np.asarray(labels, float)[rows][:, None], n, np.arange(n.max()) < n[:, None]))
+            x[j, : n[j]], weight[j, : n[j]] = features[i], lengths[i] / lengths[i].sum()
+        buckets.append((x, share[rows], weight, n))
+    penalty = np.full(width + 4, OWN_PENALTY)
+    penalty[OWN : 3 * OWN] = penalty[width:] = CONTEXT_PENALTY
     theta, m, v = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
     for k in range(1, steps + 1):
         field = Field(theta[:width], theta[width:].reshape(2, 2))
-        grad = np.zeros(width + 4)
-        for x, y, n, on in buckets:
-            pair, u = on[:, 1:], x @ field.weights
-            a, b = field.messages(u, n)
-            good = 1 / (1 + np.exp(-np.clip(a + b, -500, 500)))
-            grad[:width] += np.einsum("dt,dtf->f", np.where(on, y - good, 0), x)
-            w = [a[:, :-1] * i + field.transitions[i, j] + (u[:, 1:] + b[:, 1:]) * j for i in (0, 1) for j in (0, 1)]
-            top = np.maximum.reduce(w)
-            e = [np.exp(z - top) for z in w]
-            all_ = sum(e)
-            seen = [np.where(pair, 1 - y, 0).sum(), 0.0, 0.0, np.where(pair, y, 0).sum()]
-            grad[width:] += [s - np.where(pair, z / all_, 0).sum() for s, z in zip(seen, e, strict=True)]
-        grad = grad / len(size) - penalty * theta
+        grad = sum(gradient(field, *bucket) for bucket in buckets) / len(size) - penalty * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return Field(theta[:width], theta[width:].reshape(2, 2))
@@ -128,7 +152,8 @@ def fit(features: list[np.ndarray], labels: np.ndarray, steps: int = 200, rate:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> Field:
     """Fits the field on `most` labelled documents at most, those with the least hashes of the key, each whole. Of them as many, in this
-    order, as have `lines` lines together, but one at least. Of rows that repeat a key, the one with the least hash of the text counts."""
+    order, as have `lines` lines together, but one at least. Of rows that repeat a key, the one with the least hash of the text counts. The
+    sample bounds what the driver holds; fitting uses its whole texts."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
     ids = docs.select(key).distinct().join(known, key).orderBy(F.xxhash64(key), key).limit(most)
     t = F.coalesce(F.col(text), F.lit(""))
@@ -139,13 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "t", 4_000_000):
-            own = [own_features(t)[0] for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), pa.array([x.ravel() for x in own], pa.list_(pa.float64()))], names=["k", "y", "x"])
+            own = [own_features(t) for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), pa.array([x.ravel() for x, _ in own], pa.list_(pa.float64())), pa.array([n for _, n in own], pa.list_(pa.int64()))], names=["k", "y", "x", "n"])
 
     kind = docs.schema[key].dataType.simpleString()
     sample = one.orderBy(F.xxhash64("k"), "k").limit(used)
-    got = sorted(sample.mapInArrow(run, f"k {kind}, y int, x array<double>").collect(), key=lambda r: r.k)
-    return fit([line_features(np.array(r.x).reshape(-1, OWN)) for r in got], np.array([r.y for r in got]))
+    got = sorted(sample.mapInArrow(run, f"k {kind}, y int, x array<double>, n array<long>").collect(), key=lambda r: r.k)
+    return fit([line_features(np.array(r.x).reshape(-1, OWN)) for r in got], np.array([r.y for r in got]), [np.array(r.n, float) for r in got])
 
 
 def classify(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:

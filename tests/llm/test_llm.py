@@ -452,7 +452,7 @@ def test_quality_classifier(spark, data):
 
 def test_training_uses_whole_documents_once(spark, monkeypatch):
     seen = {}
-    monkeypatch.setattr(line_crf, "fit", lambda x, y: seen.update(x=x, y=y))
+    monkeypatch.setattr(line_crf, "fit", lambda x, y, n: seen.update(x=x, y=y, n=n))
     texts = ["a b\n" * 100, "one line", "two\nlines", *(f"copy {i}" for i in range(40))]
     docs = docs_of(spark, texts, [0, 1, 2, *[3] * 40])
     line_crf.train(docs, spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, quality int"), most=4)
@@ -461,6 +461,41 @@ def test_training_uses_whole_documents_once(spark, monkeypatch):
     assert [len(x) for x in seen["x"]] == [101]
 
 
+def test_gradient_matches_differences():
+    rng = np.random.default_rng(9)
+    n, share = np.array([1, 3, 4]), np.array([0.9, 0.2, 0.6])
+    x, weight = rng.normal(size=(3, 4, 5)), rng.uniform(0.5, 2, (3, 4))
+    weight[np.arange(4) >= n[:, None]] = 0
+    weight /= weight.sum(axis=1, keepdims=True)
+    theta = rng.normal(size=9)
+
+    def value(z):
+        field = line_crf.Field(z[:5], z[5:].reshape(2, 2))
+        p = field.marginals([x[i, : n[i]] for i in range(3)])
+        s = np.array([p[i] @ weight[i, : n[i]] for i in range(3)])
+        return (share * np.log(s) + (1 - share) * np.log(1 - s)).sum()
+
+    got = line_crf.gradient(line_crf.Field(theta[:5], theta[5:].reshape(2, 2)), x, share, weight, n)
+    want = [(value(theta + 1e-5 * e) - value(theta - 1e-5 * e)) / 2e-5 for e in np.eye(9)]
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+def test_lines_of_mixed_documents_are_told_apart():
+    rng = np.random.default_rng(10)
+    good = lambda: " ".join(rng.choice(["the", "house", "stands", "near", "water", "and", "trees"], 9)) + "."
+    bad = lambda: "".join(rng.choice(list("#$%&|<>*ab"), 40))
+    texts = [[good() for _ in range(rng.integers(2, 7))] for _ in range(150)]
+    texts += [[bad() if x < 0.6 else good() for x in rng.random(rng.integers(3, 8))] + [bad()] for _ in range(150)]
+    own = [line_crf.own_features("\n".join(t)) for t in texts]
+    features = [line_crf.line_features(x) for x, _ in own]
+    field = line_crf.fit(features, np.array([1] * 150 + [0] * 150), [n.astype(float) for _, n in own])
+    marginals = field.marginals(features)
+    right = [(p > 0.5) == (line[-1:] == ".") for t, ps in zip(texts, marginals) for line, p in zip(t, ps)]
+    mixed = sum(0 < (p > 0.5).sum() < len(p) for p in marginals[150:])
+    assert np.mean(right) > 0.9 and mixed > 75
+    assert min(p @ n / n.sum() for p, (_, n) in zip(marginals[:150], own)) > max(np.median(p @ n / n.sum()) for p, (_, n) in zip(marginals[150:], own[150:]))
+
+
 def test_field_marginals_match_enumeration():
     rng = np.random.default_rng(7)
     field = line_crf.Field(rng.normal(size=4), rng.normal(size=(2, 2)))
