@@ -5,7 +5,9 @@ Missing input gives null, never 0. Everything stays in native expressions, so no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -127,3 +129,99 @@ def keypoint_loss(self_visible: Column, within: Column, seen: Column) -> Column:
         count(lambda x: x["own"] & ~x["within"]).alias("lost_truncation"),
         count(lambda x: x["own"] & x["within"] & ~x["seen"]).alias("lost_occlusion"),
     )
+
+
+def _length(p: Column) -> Column:
+    return F.sqrt(dot(p, p))
+
+
+def _minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def _cross(a: Column, b: Column) -> Column:
+    return F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+
+
+def edge_ratios(points: Column, pairs: list[tuple[tuple[int, int], tuple[int, int]]]) -> Column:
+    """Length of each first edge over its opposite one; null where that has no length."""
+    return F.array(*(F.try_divide(distance(points[a], points[b]), distance(points[c], points[d])) for (a, b), (c, d) in pairs))
+
+
+def corner_angles(points: Column, corners: list[tuple[int, int, int]]) -> Column:
+    """Angle in degrees at the middle point of each triple."""
+
+    def angle(a: int, b: int, c: int) -> Column:
+        x, y = _minus(points[a], points[b]), _minus(points[c], points[b])
+        cos = F.try_divide(dot(x, y), _length(x) * _length(y))
+        return F.when(cos.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
+
+    return F.array(*(angle(*t) for t in corners))
+
+
+def geometric_filter(detected: Column, reprojected: Column, width: Column, pairs: list, corners: list, min_points: int = 5, reproj_px: float = 5.0, ratio: tuple[float, float] = (0.5, 2.0), angle: tuple[float, float] = (60.0, 120.0), size: tuple[float, float] = (0.5, 2.5)) -> Column:
+    """Whether a pseudo-label holds, and its three conditions: mean reprojection error, opposite edges and angles of the reprojected box, and width.
+    Detected points that are missing or negative do not count."""
+    valid = F.transform(detected, lambda p: F.when((p[0] >= 0) & (p[1] >= 0), p))
+    n = F.size(F.filter(valid, lambda p: p.isNotNull()))
+    error = mean_error(valid, reprojected)
+    within = lambda values, lo, hi: F.forall(values, lambda x: F.coalesce((x >= lo) & (x <= hi), F.lit(False)))
+    c1 = F.coalesce((n >= min_points) & (error < reproj_px), F.lit(False))
+    c2 = F.coalesce((n >= min_points) & within(edge_ratios(reprojected, pairs), *ratio) & within(corner_angles(reprojected, corners), *angle), F.lit(False))
+    c3 = F.coalesce((n >= min_points) & (width > size[0]) & (width < size[1]), F.lit(False))
+    return F.struct((c1 & c2 & c3).alias("is_valid"), c1.alias("c_reproj"), c2.alias("c_geometry"), c3.alias("c_size"), error.alias("reproj_error"))
+
+
+def edge_cv(points: Column, edges: list[tuple[int, int]]) -> Column:
+    """Standard deviation of the edges' lengths over their mean."""
+    lengths = F.array(*(distance(points[a], points[b]) for a, b in edges))
+    mean = _mean(lengths)
+    return F.try_divide(F.sqrt(_mean(F.transform(lengths, lambda x: (x - mean) * (x - mean)))), mean)
+
+
+def flip_consistency(points: Column, flipped: Column, order: list[int], width: float) -> Column:
+    """Mean distance between points and those found in the mirrored image, mirrored back and put in order."""
+    back = F.array(*(F.array(F.lit(float(width)) - flipped[i][0], flipped[i][1]) for i in order))
+    return mean_error(points, back)
+
+
+def verify_cuboid(points: Column, axes: tuple[int, int, int, int] = (0, 1, 3, 4), edges: tuple = (((0, 1), (3, 2), (4, 5), (7, 6)), ((0, 3), (1, 2), (4, 7), (5, 6)), ((0, 4), (1, 5), (2, 6), (3, 7))), degrees: float = 3.0, share: float = 0.03, hand: float = 0.95) -> Column:
+    """Errors of eight labelled corners: edges at corner axes[0] that are not square within `degrees`, parallel edges whose lengths differ by more than
+    `share`, and axes that are not right-handed."""
+    o = points[axes[0]]
+    x, y, z = (_minus(points[i], o) for i in axes[1:])
+    unit = lambda v: F.transform(v, lambda c: c / _length(v))
+    square = lambda a, b: F.abs(dot(unit(a), unit(b))) > F.lit(math.sin(math.radians(degrees)))
+    skew = square(x, y) | square(y, z) | square(x, z)
+    uneven = F.lit(False)
+    for group in edges:
+        lengths = [distance(points[a], points[b]) for a, b in group]
+        uneven = uneven | (F.greatest(*lengths) > (1 + share) * F.least(*lengths))
+    rhr = dot(_cross(unit(x), unit(y)), unit(z))
+    return F.array_compact(F.array(F.when(skew, "not_square"), F.when(uneven, "uneven_edges"), F.when(F.abs(rhr) < hand, "flat_axes"), F.when(rhr < 0, "left_handed")))
+
+
+def front_is_near(points: Column, faces: dict[str, tuple[int, int, int, int]], camera: Column, tie: float = 0.05) -> Column:
+    """Name of the face whose centre is nearest to the camera; the first of those within tie of it."""
+    centre = lambda f: F.array(*(sum((points[i][a] for i in f[1:]), points[f[0]][a]) / len(f) for a in range(3)))
+    each = {k: distance(centre(f), camera) for k, f in faces.items()}
+    least = F.least(*each.values())
+    return F.coalesce(*(F.when(d <= least + tie, F.lit(k)) for k, d in each.items()))
+
+
+def self_visible(points: Column, faces: list[tuple[int, int, int, int]], camera: Column) -> Column:
+    """For each corner, whether a face that has it is turned to the camera. Corners of a face run so that the normal points outwards."""
+    shown = [dot(_cross(_minus(points[f[1]], points[f[0]]), _minus(points[f[3]], points[f[0]])), _minus(camera, points[f[0]])) > 0 for f in faces]
+    return F.array(*(reduce(lambda a, b: a | b, [s for s, f in zip(shown, faces, strict=True) if i in f], F.lit(False)) for i in range(8)))
+
+
+def hull_area(points: Column) -> Column:
+    """Area of the convex hull of a few points. A pair is an edge of the hull if all points lie to its left or on it; the cross products of the
+    edges as seen from the first point add up to twice the area."""
+    first = points[0]
+    area = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    between = lambda p, q, r: (r[0] - p[0]) * (r[0] - q[0]) + (r[1] - p[1]) * (r[1] - q[1]) <= 0
+    edge = lambda p, q: ((p[0] != q[0]) | (p[1] != q[1])) & F.forall(points, lambda r: (area(p, q, r) > 0) | ((area(p, q, r) == 0) & between(p, q, r)))
+    pairs = F.array_distinct(F.flatten(F.transform(points, lambda p: F.transform(points, lambda q: F.struct(p.alias("p"), q.alias("q"))))))
+    hull = F.filter(pairs, lambda x: edge(x.p, x.q))
+    return _sum(F.transform(hull, lambda x: area(first, x.p, x.q))) / 2

@@ -147,13 +147,6 @@ def q2_17_reason(t):
     return t("orders").select("o_orderkey", F.coalesce(F.nullif(r, F.lit("")), F.lit("accepted")).alias("reason"))
 
 
-@query("SELECT count(*) AS n, CAST(sum((abs(l_extendedprice * (1 - l_discount) - (l_extendedprice - l_extendedprice * l_discount)) > 1e-6)::INT) AS BIGINT) AS bad_net, CAST(sum((abs(n_chars - length(text)) > 0)::INT) AS BIGINT) AS bad_chars FROM (SELECT l_extendedprice, l_discount, NULL AS n_chars, NULL AS text FROM lineitem UNION ALL SELECT NULL, NULL, n_chars, text FROM documents)")
-def q2_18_rule_audit(t):
-    a = t("lineitem").select("l_extendedprice", "l_discount").unionByName(t("documents").select("n_chars", "text"), True)
-    net = F.abs(F.col("l_extendedprice") * (1 - F.col("l_discount")) - (F.col("l_extendedprice") - F.col("l_extendedprice") * F.col("l_discount")))
-    return a.agg(F.count(F.lit(1)).alias("n"), S.count_true(net > 1e-6).alias("bad_net"), S.count_true(F.col("n_chars") != F.length("text")).alias("bad_chars"))
-
-
 @query("SELECT p_partkey, p_type LIKE '%BRASS%' AS indoor, p_brand IN ('Brand#11', 'Brand#12') AS outdoor FROM part")
 def q2_20_domain_rule(t):
     return t("part").select("p_partkey", F.col("p_type").contains("BRASS").alias("indoor"), F.col("p_brand").isin("Brand#11", "Brand#12").alias("outdoor"))
@@ -450,19 +443,6 @@ def q7_03_field_mismatches(t):
     return O.field_mismatches(*copies(t), "o_orderkey", ["o_totalprice", "o_orderpriority"])
 
 
-@query("SELECT n_nationkey, sha256(concat_ws('|', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR))) AS sha FROM nation")
-def q7_04_canonical_sha(t):
-    return t("nation").select("n_nationkey", F.sha2(F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")), 256).alias("sha"))
-
-
-@query("SELECT (SELECT count(*) FROM (SELECT p_partkey, p_size FROM part EXCEPT ALL SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE p_size END FROM part)) AS lost, (SELECT count(*) FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE p_size END FROM part EXCEPT ALL SELECT p_partkey, p_size FROM part)) AS gained")
-def q7_05_stream_equality(t):
-    a = t("part").select("p_partkey", "p_size")
-    b = t("part").select("p_partkey", F.when(F.col("p_partkey") % 9 == 0, 0).otherwise(F.col("p_size")).alias("p_size"))
-    one = lambda x, y, n: x.exceptAll(y).select(F.lit(n).alias("w")).groupBy().agg(F.count("w").alias(n))
-    return one(a, b, "lost").join(F.broadcast(one(b, a, "gained")))
-
-
 @query("SELECT state, count(*) AS n FROM (SELECT k, CASE WHEN bool_or(y = 1995) AND bool_or(y = 1996) THEN 'both' WHEN bool_or(y = 1995) THEN 'first' ELSE 'second' END AS state FROM (SELECT o_custkey AS k, year(o_orderdate) AS y FROM orders WHERE year(o_orderdate) IN (1995, 1996)) GROUP BY k) GROUP BY 1")
 def q7_07_set_relation(t):
     of = lambda y: t("orders").where(F.year("o_orderdate") == y).select(F.col("o_custkey").alias("k"))

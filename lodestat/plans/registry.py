@@ -25,12 +25,13 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-def stream_query(sql: str) -> Callable:
-    """Registers f(spark, sf_dir) as it is."""
+def stream_query(sql: str | None) -> Callable:
+    """Registers f(spark, sf_dir) as it is, for queries that need the session: streams, files, saved tables."""
 
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
+        if sql:
+            ORACLES[f.__name__] = sql
         return f
 
     return add

@@ -18,6 +18,17 @@ def _folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/lodestat-stream-{uuid.uuid4().hex}"
 
 
+def saver(spark: SparkSession):
+    """Writes a table to a new folder and reads it back, which cuts its lineage."""
+
+    def save(df):
+        path = _folder(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
+
+
 def _events(spark: SparkSession, d: str, *columns: str):
     """A file stream takes a single file only by a pattern."""
     return jobs.records(spark, f"{d}/events.parque[t]").select(*columns)
