@@ -4,7 +4,8 @@ A text is its words joined by single blanks, A-Z lower-cased, with an end symbol
 training text. A context stays in the tree if the divergence of its next-symbol distribution from its parent's (its longest proper suffix), times its count, reaches KEEP nats,
 and if its parent stays. Distributions are smoothed towards the parent's (Witten-Bell) and, at the root, towards uniform. Each symbol
 is predicted by the longest suffix of what precedes it that is in the tree. Every context that passes stays, so the tree grows with the
-corpus. Counting and tests are Spark jobs over the whole corpus; the tree is built on the driver and broadcast whole, whatever its size.
+corpus. Counting and tests are Spark jobs over the whole corpus. The tree is built and broadcast in blocks of about TREE_ROWS rows, by the
+last two bytes of the context: a symbol is scored in the pass of its block, so a larger tree costs passes and not memory.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from lodestat.llm.common import ascii_lower, held_out, materialize, ragged, sliced, word_hashes, words
 
-DEPTH, KEEP, FREQUENT = 5, 12.0, 1 << 19
-_END, _PIECE = b"\n", 3_000_000
+DEPTH, KEEP, FREQUENT, TREE_ROWS = 5, 12.0, 1 << 19, 3_000_000
+#: Symbols that are counted, and scored, at a time.
+_END, _PIECE, _SCORED = b"\n", 3_000_000, 1_000_000
 
 
 class Table:
@@ -72,17 +74,17 @@ def _codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return code[np.arange(len(doc)) + doc * depth], doc
 
 
-def _pieces(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pieces(texts: list[bytes], depth: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """_codes() of texts a few at a time; of very long texts part by part, with the context before each part."""
     at, size, first = [], 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > _PIECE:
+        if size and size + len(t) > most:
             code, doc = _codes(at, depth)
             yield code, doc + first
             at, size, first = [], 0, i
-        if len(t) > _PIECE:
-            for s in range(0, len(t), _PIECE):
-                code, _ = _codes([t[max(0, s - depth) : s + _PIECE]], depth)
+        if len(t) > most:
+            for s in range(0, len(t), most):
+                code, _ = _codes([t[max(0, s - depth) : s + most]], depth)
                 code = code[min(s, depth) :]
                 yield code, np.full(len(code), i)
             first = i + 1
@@ -107,7 +109,7 @@ def gram_table(docs: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
         g, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         out = lambda: pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
         for b in sliced(batches, "t", 4 * _PIECE):
-            for code, _ in _pieces([_normal(t) for t in b.column("t").to_pylist()], depth):
+            for code, _ in _pieces([_normal(t) for t in b.column("t").to_pylist()], depth, _PIECE):
                 code.sort()
                 new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
                 g, n = merge(np.concatenate([g, code[new]]), np.concatenate([n, np.diff(np.append(new, len(code)))])) if len(code) else (g, n)
@@ -162,6 +164,18 @@ def build(counts: DataFrame, depth: int = DEPTH) -> Table:
     return Table(np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.concatenate(values) if values else np.zeros(0))
 
 
+def blocks(counts: DataFrame, rows: int = TREE_ROWS) -> list[tuple[int, int]]:
+    """Ranges (first, last) of the last two bytes of contexts, each with about so many rows of tree_counts(). At most 2**16 numbers reach the driver."""
+    pair = F.expr("shiftright(code, 8) & 65535L")
+    out, first, held = [], 0, 0
+    for r in counts.where("d > 1").groupBy(pair.alias("b")).count().orderBy("b").collect():
+        if held and held + r["count"] > rows:
+            out.append((first, r.b - 1))
+            first, held = r.b, 0
+        held += r["count"]
+    return [*out, (first, 0xFFFF)]
+
+
 def symbol_scores(code: np.ndarray, tree: Table, depth: int = DEPTH) -> np.ndarray:
     """log10 p of each symbol."""
     out, left = np.zeros(len(code)), np.arange(len(code))
@@ -182,7 +196,7 @@ def token_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.explode(word_hashes(words(ascii_lower(F.col(text))))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH, keep: float = KEEP, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH, keep: float = KEEP, frequent: int = FREQUENT, tree_rows: int = TREE_ROWS) -> DataFrame:
     """docs' key with n_tokens, n_known, train_tokens, base_score and score (log10 probability of the whole text under the tree).
 
     train says which rows to learn from. Null and empty texts are the end token alone. Repeated rows count each and get equal rows.
@@ -206,33 +220,56 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     often = tokens.where(rule).toArrow()
     logs = lambda c: np.log10((c + 1) / (n_all + n_kinds + 1))
     sent_words = sc.broadcast(Table(often.column("h").to_numpy().view(np.uint64), often.column("n").to_numpy().astype(float)))
-    tree = build(tree_counts(materialize(gram_table(learn, text, depth), "grams"), depth, keep), depth)
-    sent_tree = sc.broadcast(tree)
-    end_log = float(logs(ends))
+    counts = materialize(tree_counts(materialize(gram_table(learn, text, depth), "grams"), depth, keep), "tree")
+    ranges = blocks(counts, tree_rows) if depth > 1 else [(0, 0xFFFF)]
+    pair = F.expr("shiftright(code, 8) & 65535L")
+    tree = lambda first, last: sc.broadcast(build(counts.where((F.col("d") < 2) | pair.between(first, last)), depth))
+    sent_tree, end_log = tree(*ranges[0]), float(logs(ends))
+
+    def totals(texts: list[bytes], table: Table, first: int, last: int) -> np.ndarray:
+        total = np.zeros(len(texts))
+        for code, at in _pieces(texts, depth, _SCORED):
+            if len(ranges) > 1:
+                own = code >> np.uint64(8) & np.uint64(0xFFFF)
+                on = (own >= first) & (own <= last)
+                code, at = code[on], at[on]
+            total += np.bincount(at, symbol_scores(code, table, depth), len(texts))
+        return total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, tree_, uid = sent_words.value, sent_tree.value, TaskContext.get().partitionId() << 36
-        for b in sliced(batches, "t", _PIECE):
+        for b in sliced(batches, "t", _SCORED):
             h, offsets = ragged(b.column("h"))
             n, texts = np.diff(offsets), [_normal(t) for t in b.column("t").to_pylist()]
             doc = np.repeat(np.arange(len(n)), n)
             count, found = vocabulary.get(h)
             base = np.bincount(doc[found], logs(count[found].astype(float)), len(n)) + end_log
             known = np.bincount(doc[found], minlength=len(n)) + (ends > 0)
-            total = np.zeros(len(n))
-            for code, at in _pieces(texts, depth):
-                total += np.bincount(at, symbol_scores(code, tree_, depth), len(n))
+            total = totals(texts, tree_, *ranges[0])
             rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[~found], minlength=len(n)))]), pa.int32()), pa.array(h[~found].view(np.int64)))
-            cols = [b.column("k"), pa.array(uid + np.arange(len(n))), pa.array(n + 1), pa.array(base), pa.array(known), pa.array(total), rare]
-            yield pa.RecordBatch.from_arrays(cols, names=["k", "uid", "n_tokens", "base", "known", "score", "rare"])
+            cols = [b.column("k"), b.column("x"), pa.array(uid + np.arange(len(n))), pa.array(n + 1), pa.array(base), pa.array(known), pa.array(total), rare]
+            yield pa.RecordBatch.from_arrays(cols, names=["k", "x", "uid", "n_tokens", "base", "known", "score", "rare"])
             uid += len(n)
 
-    wide = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), word_hashes(words(ascii_lower(F.col(text)))).alias("h"))
-    part = materialize(wide.mapInArrow(run, f"k {kind}, uid long, n_tokens long, base double, known long, score double, rare array<long>"), "scores")
+    named = F.coalesce(F.col(text), F.lit(""))
+    wide = docs.select(F.col(key).alias("k"), F.xxhash64(named).alias("x"), named.alias("t"), word_hashes(words(ascii_lower(F.col(text)))).alias("h"))
+    part = materialize(wide.mapInArrow(run, f"k {kind}, x long, uid long, n_tokens long, base double, known long, score double, rare array<long>"), "scores")
+    for first, last in ranges[1:]:  # the same rows once more, for the symbols of the next block
+        sent = tree(first, last)
+
+        def more(batches: Iterator[pa.RecordBatch], sent=sent, first=first, last=last) -> Iterator[pa.RecordBatch]:
+            for b in sliced(batches, "t", _SCORED):
+                total = totals([_normal(t) for t in b.column("t").to_pylist()], sent.value, first, last)
+                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("x"), pa.array(total)], names=["k2", "x2", "s"])
+
+        block = wide.select("k", "x", "t").mapInArrow(more, f"k2 {kind}, x2 long, s double").groupBy("k2", "x2").agg(F.max("s").alias("s"))
+        both = part.join(materialize(block, "block"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("x") == F.col("x2")))
+        part = materialize(both.withColumn("score", F.col("score") + F.col("s")).select(*part.columns), "scores")
+        sent.unpersist()
     each = part.select("uid", F.explode("rare").alias("h")).groupBy("uid", "h").agg(F.count(F.lit(1)).alias("m"))
     worth = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(n_all + n_kinds + 1)))
     rest = each.join(tokens.where(~rule), "h", "left").groupBy("uid").agg(F.sum(F.col("m") * worth).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("more_known"))
-    out = part.drop("rare").join(rest, "uid", "left")
+    out = part.drop("rare", "x").join(rest, "uid", "left")
     return out.select(F.col("k").alias(key), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 

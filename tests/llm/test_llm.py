@@ -321,6 +321,8 @@ def test_base_score_matches_brute_force(spark, documents):
     for r, t, o in zip(got.itertuples(), tokens, out, strict=True):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (o, len(t), sum(count[x] > 0 for x in t), n)
         assert r.base_score == pytest.approx(sum(np.log10((count[x] + 1) / (n + v + 1)) for x in t), rel=1e-6)
+    parts = suffix_tree.score_held_out(docs_of(spark, texts), tree_rows=4000).toPandas().sort_values("doc_id")
+    assert np.allclose(parts.score, got.score, rtol=1e-6) and np.allclose(parts.base_score, got.base_score)
     flat = suffix_tree.score_held_out(docs_of(spark, texts), depth=0).toPandas()
     assert got[got.held_out].score.sum() > 0.8 * flat[flat.held_out].score.sum()
 
@@ -363,11 +365,10 @@ def test_suffix_tree_keeps_every_context_that_passes(spark):
     assert got.where("d = 2").count() == 1 << 16
 
 
-def test_long_text_in_pieces(monkeypatch):
+def test_long_text_in_pieces():
     text = suffix_tree._normal("some words go on " * 50)
     whole, _ = suffix_tree._codes([text], 5)
-    monkeypatch.setattr(suffix_tree, "_PIECE", 100)
-    parts = list(suffix_tree._pieces([b"a\n", text, b"b\n"], 5))
+    parts = list(suffix_tree._pieces([b"a\n", text, b"b\n"], 5, 100))
     assert np.array_equal(np.concatenate([c for c, d in parts if d[0] == 1]), whole)
 
 
