@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import new_path, sliced
+from lodestat.llm.common import materialize, new_path, sliced, small
 
 #: The fields of header lines by ARC version.
 FIELDS = {
@@ -132,7 +132,10 @@ def warc_records(records: DataFrame, min_bytes: int = 0, id_type: str = "long")
     """Adds record_id, record_type and refers_to (id of the response). Of records with equal payloads of min_bytes or more, that with the least
     id is the response; ids are compared as id_type. Without an id, a record is a response."""
     named = records.withColumn("_id", F.col("id").cast(id_type))
-    first = named.where((F.col("payload_bytes") >= min_bytes) & F.col("_id").isNotNull()).groupBy("payload_digest").agg(F.min("_id").alias("_first"))
+    # only digests that come twice are joined, as short rows; while they are few, no payload is shuffled
+    short = named.select("_id", "payload_digest", "payload_bytes").where((F.col("payload_bytes") >= min_bytes) & F.col("_id").isNotNull())
+    first = short.groupBy("payload_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    first = small(materialize(first, "repeated"))
     out = named.join(first.withColumnRenamed("payload_digest", "_d"), (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") >= min_bytes), "left")
     again = F.col("_first").isNotNull() & (F.col("_id") != F.col("_first"))
     uuid = lambda c: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(c), "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-3$3-8$4-$5"), F.lit(">"))
@@ -213,16 +216,17 @@ def read_warc(df: DataFrame, content: str = "content") -> DataFrame:
     return df.select(content).mapInArrow(run, schema)
 
 
-def convert(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
+def convert(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """Pages through ARC archives into WARC files and back: (key, payload_bytes, payload_digest, record_type, refers_to).
 
     Null html is an empty payload, which counts as a payload of 0 bytes. A null url becomes "unknown:". Rows that repeat a key and payload are
     responses with the same least key. A page without a key is a response. An empty table gives an empty table. Other columns are not read.
+    A WARC file is read as one value, so per_file times the mean page must stay well below 2 GB.
     """
     spark, kind = pages.sparkSession, pages.schema[key].dataType.simpleString()
     path = new_path(spark, "warc")
     records = arc_records(arc_archives(pages, key, url, html))
-    write_warc(warc_records(records, min_bytes, kind), path)
+    write_warc(warc_records(records, min_bytes, kind), path, per_file)
     files = spark.read.format("binaryFile").load(path)
     return read_warc(files).select(F.col("id").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 

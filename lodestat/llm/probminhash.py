@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestat.llm.common import materialize, mix, ragged, rolling, sliced, small, word_hashes, words
+from lodestat.llm.common import fresh, materialize, mix, ragged, rolling, sliced, small, word_hashes, words
 
 SHINGLE, SIMILARITY, M, ROWS = 5, 0.8, 96, 4
 #: Texts that share a shingle at most for it to be rare.
@@ -112,8 +112,9 @@ def shingle_sets(docs: DataFrame, texts: DataFrame, text: str, shingle: int) ->
             yield pa.RecordBatch.from_arrays([_vertices(h, offsets), pa.ListArray.from_arrays(pa.array(ends), pa.array(s.view(np.int64)))], names=["v", "s"])
 
     need = small(materialize(texts.select("v", "t").distinct(), "need"))
-    some = docs.select(text).withColumn("_t", F.xxhash64(F.col(text))).join(need.select(F.col("t").alias("_t")).distinct(), "_t", "left_semi")
-    sets = _hashed(some.dropDuplicates(["_t"]), text).mapInArrow(run, "v binary, s array<bigint>")
+    named = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("t"), F.xxhash64(F.lit(1), F.col(text)).alias("t2"))
+    some = named.join(need.select("t").distinct(), "t", "left_semi").dropDuplicates(["t", "t2"])
+    sets = _hashed(some, "text").mapInArrow(run, "v binary, s array<bigint>")
     return sets.join(need.select("v"), "v", "left_semi")
 
 
@@ -226,6 +227,17 @@ def links(docs: DataFrame, sigs: DataFrame, text: str = "text", shingle: int = S
     return found, root
 
 
+def _classes(docs: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """(k, t, v, root, class_id) of each row: key, hash of the text, vertex, class and its least key. Texts without a word have no vertex and no class."""
+    sigs = materialize(signed(docs, key, text, shingle, M, ROWS), "signatures")
+    _, root = links(docs, sigs, text, shingle, similarity)
+    exact = sigs.where("v is not null").groupBy("v").agg(F.min("k").alias("m"))
+    whole = exact.join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    least = whole.groupBy("root").agg(F.min("m").alias("class_id"))
+    classes = materialize(whole.join(least, "root").select("v", "root", "class_id"), "classes")
+    return sigs.select("k", "t", "v").join(classes, "v", "left")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs' keys with class_id, the least key of the class, one row per row of docs.
 
@@ -233,18 +245,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     one shingle of all their words. Repeated rows and exact copies share a class. A null key gets the least key of its class, or null.
     An empty table gives an empty table. Other columns of docs are not read.
     """
-    sigs = materialize(signed(docs, key, text, shingle, M, ROWS), "signatures")
-    _, root = links(docs, sigs, text, shingle, similarity)
-    exact = sigs.where("v is not null").groupBy("v").agg(F.min("k").alias("m"))
-    whole = exact.join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    least = whole.groupBy("root").agg(F.min("m").alias("class_id"))
-    classes = materialize(whole.join(least, "root").select("v", "class_id"), "classes")
-    rows = sigs.select("k", "v").join(classes, "v", "left")
+    rows = _classes(docs, key, text, shingle, similarity)
     return rows.select(F.col("k").alias(key), F.when(F.col("v").isNull(), F.col("k")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keeps one row of each class, the one with its least key; rows that repeat it are dropped too. Texts without a word all stay."""
-    ids = near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("class_id"))).select(key).distinct()
-    kept = docs.join(ids.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    """Keeps one row of each class: the one with its least key (a null key comes last), of equal keys the one with the least hash of the text. Rows that
+    repeat it are dropped too. Texts without a word all stay, once for each key. Columns of docs pass through, whatever their names."""
+    rows = materialize(_classes(docs, key, text, SHINGLE, SIMILARITY).select("k", "t", "root"), "rows")
+    best = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("last"), "k", "t")).alias("x")).select("x.k", "x.t")
+    k, t = fresh(docs.columns, "k", "t")
+    keep = best.unionByName(rows.where("root is null").select("k", "t")).distinct().toDF(k, t)
+    kept = docs.join(keep, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.col(text)) == F.col(t)), "left_semi")
     return kept.dropDuplicates([key, text])

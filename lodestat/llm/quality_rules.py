@@ -21,6 +21,7 @@ BUCKETS, ALPHA, THRESHOLD = 1 << 16, 1.0, -0.5
 HELD, BIN, LIMIT = 5, 0.005, 10.0
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def repeat_words(hashes: Column) -> Column:
@@ -81,7 +82,7 @@ def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc
 def ratio(hashes: Column, weights: list[float]) -> Column:
     """Mean weight of the n-grams of a text; 0 without words. The weights are a constant that the optimiser folds."""
     table = F.split(F.lit(",".join(f"{x:g}" for x in weights)), ",").cast("array<double>")
-    total = lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b.cast("int"))) / F.greatest(F.size(g), F.lit(1))
+    total = lambda g: let(table, lambda t: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(t, b.cast("int")))) / F.greatest(F.size(g), F.lit(1))
     return F.round(let(grams(hashes, len(weights)), total), 6)
 
 
@@ -107,19 +108,21 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key:
 
     With rejected, the keys of rows labelled bad, the threshold is calibrated; the given one counts where no such row, or no held-out trusted one, passes the
     plain rules. Keys that are trusted too are not rejected. Null and empty texts have no words, so base_failed is true. Repeated rows each get their own
-    equal verdict. An empty table gives an empty table. Columns of docs that clash with the added ones are replaced. Rows with a null key
-    are scored but never trusted.
+    equal verdict. An empty table gives an empty table. Columns of docs with the names of added ones are replaced, others
+    pass through, whatever their names. Rows with a null key are scored but never trusted.
     """
     out = held_out(F.col(key), HELD)
     weights = fit(docs, trusted if rejected is None else trusted.where(~out), text, key)
-    scored = base_columns(docs, text).withColumn("score", ratio(F.col("_h"), weights)).drop("_h")
+    passed = docs.drop(*BASE, "base_failed", "score", "kept")
+    packed = docs.select(F.struct(*(passed[c] for c in passed.columns)).alias("row"), F.col(key).alias("k"), F.col(text).alias("text"))
+    scored = base_columns(packed, "text").withColumn("score", ratio(F.col("_h"), weights)).select("row", "k", *BASE, "base_failed", "score")
     if rejected is not None:
         scored = materialize(scored, "scored")
-        known = rejected.select(F.col(key).alias("_k"), F.lit(False).alias("good")).union(trusted.select(F.col(key).alias("_k"), F.lit(True).alias("good")))
-        known = small(materialize(known.groupBy("_k").agg(F.max("good").alias("good")).where(~F.col("good") | held_out(F.col("_k"), HELD)), "known"))
-        found = calibrate(scored.where(~F.col("base_failed")).select(F.col(key).alias("_k"), "score").join(known, "_k"))
+        known = rejected.select(F.col(key).alias("k"), F.lit(False).alias("good")).union(trusted.select(F.col(key).alias("k"), F.lit(True).alias("good")))
+        known = small(materialize(known.groupBy("k").agg(F.max("good").alias("good")).where(~F.col("good") | held_out(F.col("k"), HELD)), "known"))
+        found = calibrate(scored.where(~F.col("base_failed")).select("k", "score").join(known, "k"))
         threshold = threshold if found is None else found
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return scored.select("row.*", *BASE, "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
 
 
 def trusted_rows(labels: DataFrame) -> DataFrame:

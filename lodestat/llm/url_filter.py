@@ -2,9 +2,9 @@
 
 Both models are variable-order Markov models over a fixed alphabet of 40 symbols (a-z, digits as one, punctuation, the rest), with
 contexts of up to ORDER symbols and Witten-Bell smoothing towards the next shorter context. They learn from the urls that the rules
-allow and block. A url's score is its log-likelihood difference divided by its length; the threshold is the one that separates the two
-training sets best. The table of distinct grams has at most 40 ** (ORDER + 1) rows whatever the input, and is broadcast
-only while it is within BROADCAST_ROWS.
+allow and block, but for one in HELD, on which the threshold is set that separates the two best. A url's score is its log-likelihood
+difference divided by its length. The table of distinct grams has at most ALPHABET ** (ORDER + 1) rows whatever the input (2,560,000, some
+150 MB), and is broadcast after it is counted.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestat.llm.common import UPPER, LOWER, materialize, small
 
-ORDER, ALPHABET = 3, 40
+ORDER, ALPHABET, HELD = 3, 40, 5
 #: The rules of the contract, as (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Scores are cut into bins of this width for the threshold, between -LIMIT and LIMIT.
@@ -72,14 +72,14 @@ def model(urls: DataFrame, order: int = ORDER) -> DataFrame:
     return below.select("g", (F.log("pa") - F.log("pr")).alias("w"))
 
 
-def threshold(scores: DataFrame) -> float:
+def threshold(scores: DataFrame) -> float | None:
     """The score that separates allowed from blocked best, by the sum of both error rates; the least of equals. scores: score, verdict.
-    At most 2 * LIMIT / BIN bins reach the driver. Without one of the two classes it is 0."""
+    At most 2 * LIMIT / BIN bins reach the driver. Without one of the two classes it is null."""
     b = F.floor(F.greatest(F.least("score", F.lit(LIMIT)), F.lit(-LIMIT)) / BIN).alias("b")
     bins = scores.where("verdict is not null").groupBy(b).agg(F.sum((F.col("verdict") == "allow").cast("long")).alias("a"), F.sum((F.col("verdict") == "block").cast("long")).alias("r")).orderBy("b").collect()
     na, nr = sum(x.a for x in bins), sum(x.r for x in bins)
     if not na or not nr:
-        return 0.0
+        return None
     best, at, lost, kept = 2.0, 0.0, 0, nr
     for x in bins:
         if (error := lost / na + kept / nr) < best - 1e-12:
@@ -91,7 +91,8 @@ def threshold(scores: DataFrame) -> float:
 def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES, order: int = ORDER) -> DataFrame:
     """(key, host, path, rule, verdict, score), one row per row of pages.
 
-    The rule decides where one fits; elsewhere allow if the score reaches the calibrated threshold. A null or empty url has score 0, empty host
+    The rule decides where one fits; elsewhere allow if the score reaches the calibrated threshold (that of all urls with a rule where the held ones
+    lack a class, 0 where all do). A null or empty url has score 0, empty host
     and path. Repeated rows get equal rows. An empty table gives an empty table. Other columns of pages are not read.
     """
     h, p = host_of(F.col("url")), path_of(F.col("url"))
@@ -100,11 +101,13 @@ def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     # repartition by the keys that the rows are grouped by, so it goes by their hash
     rows = rows.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("k", "url"))
     named = rows.withColumns({"host": h, "path": p}).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("verdict", F.col("fit.verdict"))
-    table = small(materialize(model(named, order), "model"))
+    held = F.pmod(F.xxhash64("url"), F.lit(HELD)) == 0
+    table = small(materialize(model(named.where(~F.coalesce(held, F.lit(False))), order), "model"), ALPHABET ** (order + 1))
     # the gram rows of a url stay in its task until they are added up, so only one row a url is shuffled
     each = named.select("k", "url", F.explode(grams(F.col("url"), order)).alias("g")).join(table, "g").groupBy("k", "url").agg((F.sum(F.round("w", 9).cast("decimal(20,9)")) / F.count(F.lit(1))).cast("double").alias("score"))
     scored = materialize(named.join(each.withColumnsRenamed({"k": "k2", "url": "url2"}), F.col("k").eqNullSafe(F.col("k2")) & (F.col("url") == F.col("url2")), "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6)), "scores")
-    least = threshold(scored)
+    found = [x for x in (threshold(scored.where(held)), threshold(scored)) if x is not None]
+    least = found[0] if found else 0.0
     verdict = F.coalesce("verdict", F.when(F.col("score") >= least, "allow").otherwise("block"))
     out = scored.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(F.col("k").alias(key), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "score")

@@ -510,6 +510,59 @@ def test_field_marginals_match_enumeration():
         assert got == pytest.approx(good / total)
 
 
+# all operators: odd tables
+
+
+CLASHES = ["k", "t", "v", "n", "h", "m", "row", "names", "hit", "starts", "lens", "_k", "_t", "_h", "start", "len", "n_words", "kept", "score", "x", "root", "item", "q"]
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Null keys, repeated rows, null, empty and long texts, and columns with the names that operators use inside."""
+    rng = np.random.default_rng(12)
+    long = text_of(rng, 10_000)
+    rows = [(None, "a b c d e f g"), (None, text_of(rng, 60)), (None, None), (1, long), (1, long), (1, "other text of a key that repeats"), (2, None), (3, ""), (4, "  "), (5, text_of(rng, 80)), (5, text_of(rng, 80)), (6, long)]
+    docs = spark.createDataFrame([(*r, "en", "s", 7) for r in rows], SCHEMA)
+    path = str(tmp_path_factory.mktemp("odd") / "docs")
+    docs.selectExpr("*", *(f"'{c}' as {c}" for c in CLASHES)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+OPERATORS = {
+    "near_duplicates": lambda d, b, labels: probminhash.near_duplicates(d),
+    "deduplicate": lambda d, b, labels: probminhash.deduplicate(d),
+    "pack": lambda d, b, labels: packing.pack(d),
+    "decontaminate": lambda d, b, labels: decontam.decontaminate(d, b),
+    "remove_repeats": lambda d, b, labels: superkmer.remove_repeats(d),
+    "identify": lambda d, b, labels: langid.identify(d),
+    "score": lambda d, b, labels: suffix_tree.score_held_out(d),
+    "quality_rules": lambda d, b, labels: quality_rules.quality_rules(d, quality_rules.trusted_rows(labels), rejected=quality_rules.rejected_rows(labels)),
+    "quality": lambda d, b, labels: line_crf.quality(d, labels),
+    "filter_urls": lambda d, b, labels: url_filter.filter_urls(d.withColumnsRenamed({"doc_id": "page_id", "text": "url"})),
+    "convert": lambda d, b, labels: arc.convert(d.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", d.lang)),
+}
+ONE_ROW_EACH = {"near_duplicates", "decontaminate", "remove_repeats", "identify", "score", "quality_rules", "quality", "filter_urls", "convert"}
+
+
+@pytest.mark.parametrize("name", list(OPERATORS))
+def test_odd_tables(spark, odd_tables, name):
+    docs = odd_tables
+    bench = spark.createDataFrame([(1, "a b c d e f g", "x"), (None, "", "y"), (2, None, "z")], "item_id long, text string, k string")
+    labels = spark.createDataFrame([(1, 1, 0, "x"), (5, 0, 0, "y"), (None, 1, None, "z")], "doc_id long, quality int, toxic int, k string")
+    got = OPERATORS[name](docs, bench, labels)
+    rows = got.collect()
+    if name in ONE_ROW_EACH:
+        assert len(rows) == docs.count()
+    if name in ("decontaminate", "remove_repeats", "quality_rules", "deduplicate"):
+        assert set(docs.columns) <= set(got.columns) and len(got.columns) == len(set(got.columns))
+        own = [c for c in CLASHES if c not in ("n_words", "kept", "score") or name == "deduplicate"]
+        assert all(r[c] == c for r in rows for c in own)
+    if name == "deduplicate":
+        # the long text once, of the two other texts of key 5 and 1 each, and one row for each key of texts without words
+        assert sorted((r.doc_id or 0, len(r.text or "")) for r in rows) == sorted({(r.doc_id or 0, len(r.text or "")) for r in docs.collect()} - {(6, len(rows and max((x.text or "" for x in rows), key=len)))})
+    assert OPERATORS[name](docs.limit(0), bench.limit(0), labels.limit(0)).count() == 0
+
+
 # pipeline
 
 
