@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import UPPER, LOWER, materialize, small
+from lodestat.llm.common import UPPER, LOWER, let, materialize, small
 
 ORDER, ALPHABET, HELD = 3, 40, 5
 #: The rules of the contract, as (host, path, verdict).
@@ -46,10 +46,13 @@ def symbols(url: Column) -> Column:
 
 
 def grams(url: Column, order: int) -> Column:
-    """For each symbol, it and the `order` symbols before it."""
-    s = F.concat(F.lit("^" * order), symbols(url))
-    at = F.when(F.length(s) > order, F.sequence(F.lit(1), F.length(s) - order))
-    return F.transform(at, lambda i: F.substring(s, i, F.lit(order + 1)))
+    """For each symbol, it and the `order` symbols before it, in time linear in the url's length."""
+
+    def cut(s: Column) -> Column:
+        at = F.when(F.size(s) > order, F.sequence(F.lit(0), F.size(s) - order - 1))
+        return F.transform(at, lambda i: F.concat(*(F.get(s, i + j) for j in range(order + 1))))
+
+    return let(F.split(F.concat(F.lit("^" * order), symbols(url)), ""), cut)
 
 
 def model(urls: DataFrame, order: int = ORDER) -> DataFrame:
