@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from lodestat.llm.common import ascii_lower, held_out, materialize, ragged, sliced, word_hashes, words
 
 DEPTH, KEEP, FREQUENT, TREE_ROWS = 5, 12.0, 1 << 19, 3_000_000
-#: Symbols that are counted, and scored, at a time.
-_END, _PIECE, _SCORED = b"\n", 3_000_000, 1_000_000
+#: Symbols that are counted, and scored, at a time, and rows of counts that a task holds before it adds them up.
+_END, _PIECE, _SCORED, _HELD = b"\n", 1_000_000, 500_000, 2_000_000
 
 
 class Table:
@@ -106,17 +106,23 @@ def gram_table(docs: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
         return g[new], np.add.reduceat(n, new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
+        held, rows = [], 0
+        add = lambda: merge(*(np.concatenate(x) for x in zip(*held)))
+        out = lambda g, n: pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
         for b in sliced(batches, "t", 4 * _PIECE):
             for code, _ in _pieces([_normal(t) for t in b.column("t").to_pylist()], depth, _PIECE):
                 code.sort()
-                new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-                g, n = merge(np.concatenate([g, code[new]]), np.concatenate([n, np.diff(np.append(new, len(code)))])) if len(code) else (g, n)
-                if len(g) > 2_000_000:
-                    yield out()
-                    g, n = g[:0], n[:0]
-        yield out()
+                new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                held.append((code[new], np.diff(np.append(new, len(code)))))
+                rows += len(new)
+                if rows > _HELD:
+                    held = [add()]
+                    rows = len(held[0][0])
+                    if rows > _HELD // 2:
+                        yield out(*held[0])
+                        held, rows = [], 0
+        if held:
+            yield out(*add())
 
     return docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
