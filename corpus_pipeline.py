@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestat.llm import decontam, packing, probminhash, quality_rules, superkmer
 from lodestat.llm.common import materialize, read
 
-#: SQL has no counterpart of the hashed quality rules, the signatures and the packing; the tests compare with brute force.
+#: SQL has no counterpart of the hashed quality rules, the signatures and the packing. The tests compare each operator with brute force, but of run() only that its stages compose.
 ORACLE_SQL = None
 
 
