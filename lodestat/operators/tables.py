@@ -11,6 +11,48 @@ from pyspark.sql.window import Window
 from lodestat.functions.scalars import count_true, group_label, share_true, uniform, wilson
 
 
+# percentiles
+
+
+def percentiles(df: DataFrame, by: list[str], value: str | Column, ps: list[float], accuracy: int = 10000) -> DataFrame:
+    """by and q: the exact linear percentiles of the non-null values of each group.
+
+    A sketch gives bounds around each percentile. Values outside them are only counted, so that a group's window sorts no more than the
+    distinct values within the bounds, about 20 / accuracy of the group.
+    """
+    v = df.select(*by, (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v")).where("_v is not null")
+    margin = 10 / accuracy
+    ends = [min(1.0, max(0.0, p + d)) for p in ps for d in (-margin, margin)]
+    sketch = v.groupBy(*by).agg(F.percentile_approx("_v", ends, accuracy).alias("_e"))
+    if by:
+        sketch = sketch.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "_e")
+        both = v.join(sketch, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by))))
+    else:
+        both = v.join(F.broadcast(sketch))  # one row
+    each = both.select(*by, "_v", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.get("_e", F.lit(2 * i)).alias("lo"), F.get("_e", F.lit(2 * i + 1)).alias("hi")) for i, p in enumerate(ps)))).alias("_x"))
+    zone = F.when(F.col("_v") < F.col("_x.lo"), -1).when(F.col("_v") > F.col("_x.hi"), 1).otherwise(0)
+    block = each.groupBy(*by, F.col("_x.i").alias("_i"), F.col("_x.p").alias("_p"), zone.alias("_z"), F.when(zone == 0, F.col("_v")).alias("_w"))
+    block = block.agg(F.count(F.lit(1)).alias("_n"), F.max("_v").alias("_top"), F.min("_v").alias("_bottom"))
+    w = Window.partitionBy(*by, "_i")
+    run = w.orderBy("_z", "_w").rowsBetween(Window.unboundedPreceding, 0)
+    block = block.withColumn("_last", F.sum("_n").over(run)).withColumn("_at", F.col("_p") * (F.sum("_n").over(w) - 1))
+    edge = F.when(F.col("_z") < 0, F.col("_top")).otherwise(F.col("_bottom"))  # a bound is at most one rank away
+    holds = lambda k: F.max(F.when((k < F.col("_last")) & (k >= F.col("_last") - F.col("_n")), edge))
+    pair = block.groupBy(*by, "_i", "_at").agg(holds(F.floor("_at")).alias("_a"), holds(F.ceil("_at")).alias("_b"))
+    q = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
+    out = F.array_sort(F.collect_list(F.struct("_i", q.alias("q"))))  # one for each of ps; none if there are no rows at all
+    return pair.groupBy(*by).agg(F.when(F.count(F.lit(1)) > 0, F.transform(out, lambda x: x["q"])).alias("q"))
+
+
+def agg_percentiles(df: DataFrame, by: list[str], value: str | Column, ps: list[float], *aggs: Column) -> DataFrame:
+    """by, aggs and q, an array of percentiles(); null where a group has no value."""
+    out, q = df.groupBy(*by).agg(*aggs), percentiles(df, by, value, ps)
+    if not by:
+        return out.join(F.broadcast(q), F.lit(True), "left")  # one row each
+    q = q.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "q")
+    return out.join(q, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by))), "left").drop(*(f"_by{i}" for i in range(len(by))))
+
+
 # joins
 
 
@@ -37,7 +79,9 @@ def paired_compare(base: DataFrame, new: DataFrame, key: str, value: str, good:
     """One row: matched cases, recovered, regressed and medians of both values."""
     both = base.select(key, F.col(value).alias("vb"), F.col(good).alias("gb")).join(new.select(key, F.col(value).alias("vn"), F.col(good).alias("gn")), key)
     lost, won = F.col("gb") & ~F.coalesce("gn", F.lit(False)), ~F.coalesce("gb", F.lit(False)) & F.col("gn")
-    return both.agg(F.count(F.lit(1)).alias("n_cases"), count_true(won).alias("recovered"), count_true(lost).alias("regressed"), F.percentile("vb", F.lit(0.5)).alias("median_base"), F.percentile("vn", F.lit(0.5)).alias("median_new"))
+    n = agg_percentiles(both, [], "vb", [0.5], F.count(F.lit(1)).alias("n_cases"), count_true(won).alias("recovered"), count_true(lost).alias("regressed"))
+    new_q = percentiles(both, [], "vn", [0.5]).select(F.get("q", F.lit(0)).alias("median_new"))
+    return n.join(F.broadcast(new_q), F.lit(True), "left").select("n_cases", "recovered", "regressed", F.get("q", F.lit(0)).alias("median_base"), "median_new")
 
 
 def path_prefixes(path: Column) -> Column:
@@ -60,8 +104,7 @@ def count_by(df: DataFrame, col: str | Column) -> DataFrame:
 
 def summarize_numeric(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, mean, min, linear p50/p90/p95 and max, by group."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("lo"), q.alias("q"), F.max(value).alias("hi"))
+    out = agg_percentiles(df, by, value, [0.5, 0.9, 0.95], F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     return out.select(*by, "n", "mean", "lo", *(F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("p50", "p90", "p95"))), "hi")
 
 
@@ -138,8 +181,7 @@ def axis_marginals(df: DataFrame, axes: list[str], prescribed: DataFrame, accept
 def cost_by(df: DataFrame, by: str, cost: str) -> DataFrame:
     """n, total, mean, linear median/p90/p95, max of the non-zero costs."""
     on = F.when(F.col(cost) != 0, F.col(cost))
-    q = F.percentile(on, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    out = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(cost).alias("total"), F.avg(cost).alias("mean"), q.alias("q"), F.max(cost).alias("hi"))
+    out = agg_percentiles(df, [by], on, [0.5, 0.9, 0.95], F.count(F.lit(1)).alias("n"), F.sum(cost).alias("total"), F.avg(cost).alias("mean"), F.max(cost).alias("hi"))
     return out.select(by, "n", "total", "mean", *(F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("median", "p90", "p95"))), "hi")
 
 
@@ -351,20 +393,19 @@ def weighted_sample(df: DataFrame, by: str, key: str, weight: Column, n: int, se
 
 def agreement(df: DataFrame, t: str, a: str, by: str) -> DataFrame:
     d = F.col(a) - F.col(t)
-    q = F.percentile(F.abs(d), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    out = df.groupBy(by).agg(F.count(d).alias("n"), F.avg(F.abs(d)).alias("mae"), q.alias("q"), F.corr(t, a).alias("pearson"), F.avg(d).alias("bias"))
+    out = agg_percentiles(df, [by], F.abs(d), [0.5, 0.9, 0.95], F.count(d).alias("n"), F.avg(F.abs(d)).alias("mae"), F.corr(t, a).alias("pearson"), F.avg(d).alias("bias"))
     return out.select(by, "n", "mae", *(F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("median_ae", "q90", "q95"))), "pearson", "bias")
 
 
 def zero_inflated(df: DataFrame, value: str) -> DataFrame:
     pos = F.when(F.col(value) > 0, F.col(value))
-    return df.agg(count_true(F.col(value) == 0).alias("n_zero"), F.count(pos).alias("n_positive"), (count_true(F.col(value) == 0) / F.count(value)).alias("p_zero"), F.avg(pos).alias("positive_mean"), F.percentile(pos, F.lit(0.5)).alias("positive_median"), count_true(F.col(value).isNull()).alias("n_missing"))
+    out = agg_percentiles(df, [], pos, [0.5], count_true(F.col(value) == 0).alias("n_zero"), F.count(pos).alias("n_positive"), (count_true(F.col(value) == 0) / F.count(value)).alias("p_zero"), F.avg(pos).alias("positive_mean"), count_true(F.col(value).isNull()).alias("n_missing"))
+    return out.select("n_zero", "n_positive", "p_zero", "positive_mean", F.get("q", F.lit(0)).alias("positive_median"), "n_missing")
 
 
 def silverman(df: DataFrame, value: str) -> DataFrame:
     """0.9 * min(sd, IQR / 1.349) * n ** -0.2, at least 2 % of the span."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    s = df.agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd"), q.alias("q"), (F.max(value) - F.min(value)).alias("span"))
+    s = agg_percentiles(df, [], value, [0.25, 0.75], F.count(value).alias("n"), F.stddev_samp(value).alias("sd"), (F.max(value) - F.min(value)).alias("span"))
     h = 0.9 * F.least(F.col("sd"), (F.get("q", F.lit(1)) - F.get("q", F.lit(0))) / 1.349) * F.pow("n", F.lit(-0.2))
     return s.select("n", F.greatest(h, 0.02 * F.col("span")).alias("bandwidth"))
 
