@@ -121,3 +121,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def held_out(key: Column, modulus: int, remainder: int = 2) -> Column:
     """True for rows whose crc32 of the key as text leaves the remainder; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of an ASCII text, bit by bit."""
+    bits = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length({text}) + 1), lambda j: ascii(substr({text}, j, 1))::BIGINT), lambda c, b: {bits}), 4294967295::BIGINT)"

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import materialize
+from lodestat.llm.common import crc_sql, materialize
 from lodestat.operators.ranges import AT, PART, in_order, same
 
 WHITE = " \t\n\x0b\f\r"
@@ -435,18 +435,12 @@ def repair(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return _run(df, df if ids is None else ids, _digests, [*counts, ("audit", "string"), ("repaired_sha256", "string")])
 
 
-def _crc_sql(text: str) -> str:
-    """CRC-32 of an ASCII text, bit by bit."""
-    bits = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
-    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length({text}) + 1), lambda j: ascii(substr({text}, j, 1))::BIGINT), lambda c, b: {bits}), 4294967295::BIGINT)"
-
-
 #: The costs to go and least audits of the four states, from the last row to the first; the repaired roles after it by counting.
 ORACLE = f"""
 WITH RECURSIVE keyed AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
   FROM conversations
-), hit AS (SELECT *, {_crc_sql("k")} % 20 AS d FROM keyed),
+), hit AS (SELECT *, {crc_sql("k")} % 20 AS d FROM keyed),
 damaged AS (
   SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
     unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy
