@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import arc, decontam, langid, line_crf, packing, prefix_trie, probminhash, quality_rules, suffix_tree, superkmer, turn_repair, url_filter
+from lodestat.llm import arc, decontam, langid, line_crf, packing, pii, prefix_trie, probminhash, quality_rules, suffix_tree, superkmer, turn_repair, url_filter
 from lodestat.llm.common import read
 
 
@@ -62,8 +62,12 @@ def op12_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.rebuild(prefix_trie.turns(read(spark, d, "conversations"))))
 
 
+def op13_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_data(read(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_url_filter, op3_packing, op4_warc, op5_decontamination, op6_substring_dedup, op7_language_id, op8_lm_scoring, op9_quality_rules, op10_quality_classifier, op11_turn_repair, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_minhash, op2_url_filter, op3_packing, op4_warc, op5_decontamination, op6_substring_dedup, op7_language_id, op8_lm_scoring, op9_quality_rules, op10_quality_classifier, op11_turn_repair, op12_prefix_trie, op13_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
