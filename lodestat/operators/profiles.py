@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import scalars as S
+from lodestat.operators.ranges import numbered, running
+from lodestat.operators.tables import agg_percentiles, with_total
 
 
 def defect_counts(df: DataFrame, defects: dict[str, Column]) -> DataFrame:
@@ -74,8 +76,8 @@ def dataset_stats(df: DataFrame, value: str, key: str) -> DataFrame:
 
 def pick_extremes(df: DataFrame, by: str, value: str, key: str) -> DataFrame:
     """The least, the n // 2-th (from 0) and the largest row of each group; ties by key."""
-    group = Window.partitionBy(by)
-    ranked = df.where(F.col(value).isNotNull()).select(by, value, key, F.row_number().over(group.orderBy(value, key)).alias("r"), F.count(F.lit(1)).over(group).alias("n"))
+    known = df.where(F.col(value).isNotNull()).select(by, value, key)
+    ranked = with_total(numbered(known, [by], [value, key], "r"), known, by, n=F.count(F.lit(1)))
     places = {"min": F.lit(1), "mid": F.floor(F.col("n") / 2) + 1, "max": F.col("n")}
     kinds = F.array_compact(F.array(*(F.when(F.col("r") == place, name) for name, place in places.items())))
     return ranked.select(by, F.explode(kinds).alias("kind"), key, value)

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestat.functions.scalars import count_true, group_label, share_true, uniform, wilson
+from lodestat.functions.scalars import count_true, group_label, share_true, wilson
+from lodestat.operators.density import hashed_uniform
+from lodestat.operators.ranges import numbered, running, same
 
 
 # percentiles
@@ -75,13 +77,20 @@ def guarded_join(rows: DataFrame, manifest: DataFrame, key: str, guard: str) ->
     return rows.join(one, [key, guard], "left")
 
 
-def paired_compare(base: DataFrame, new: DataFrame, key: str, value: str, good: str) -> DataFrame:
-    """One row: matched cases, recovered, regressed and medians of both values."""
-    both = base.select(key, F.col(value).alias("vb"), F.col(good).alias("gb")).join(new.select(key, F.col(value).alias("vn"), F.col(good).alias("gn")), key)
+def paired_compare(base: DataFrame, new: DataFrame, key: str, value: str, good: str, error: str) -> DataFrame:
+    """One row: matched cases, recovered, regressed, medians and nearest-rank 95 % of both values, and the medians of the differences of
+    value (run time, say) and error in matched cases, of which error counts only where both are good."""
+    side = lambda df, x: df.select(key, F.col(value).alias(f"v{x}"), F.col(good).alias(f"g{x}"), F.col(error).alias(f"e{x}"))
+    both = side(base, "b").join(side(new, "n"), key)
     lost, won = F.col("gb") & ~F.coalesce("gn", F.lit(False)), ~F.coalesce("gb", F.lit(False)) & F.col("gn")
-    n = agg_percentiles(both, [], "vb", [0.5], F.count(F.lit(1)).alias("n_cases"), count_true(won).alias("recovered"), count_true(lost).alias("regressed"))
-    new_q = percentiles(both, [], "vn", [0.5]).select(F.get("q", F.lit(0)).alias("median_new"))
-    return n.join(F.broadcast(new_q), F.lit(True), "left").select("n_cases", "recovered", "regressed", F.get("q", F.lit(0)).alias("median_base"), "median_new")
+    out = both.agg(F.count(F.lit(1)).alias("n_cases"), count_true(won).alias("recovered"), count_true(lost).alias("regressed"))
+    parts = {"median_base": F.col("vb"), "median_new": F.col("vn"), "delta_value": F.col("vn") - F.col("vb"), "delta_error": F.when(F.col("gb") & F.col("gn"), F.col("en") - F.col("eb"))}
+    for name, c in parts.items():
+        out = out.join(F.broadcast(percentiles(both, [], c, [0.5]).select(F.get("q", F.lit(0)).alias(name))), F.lit(True), "left")  # one row
+    for name, c in (("p95_base", "vb"), ("p95_new", "vn")):
+        q = quantile_rank(both.withColumn("_all", F.lit(0)), c, [0.95], "_all").select(F.col("q").alias(name))
+        out = out.join(F.broadcast(q), F.lit(True), "left")  # one row
+    return out
 
 
 def path_prefixes(path: Column) -> Column:
@@ -98,6 +107,12 @@ def prefix_conflicts(moves: DataFrame, owned: DataFrame, path: str, owner_path:
 # aggregates
 
 
+def with_total(df: DataFrame, of: DataFrame, by: str, **totals: Column) -> DataFrame:
+    """df with totals over each group of another table."""
+    t = of.groupBy(by).agg(*(c.alias(k) for k, c in totals.items()))
+    return df.alias("a").join(t.alias("b"), same([by], "a", "b")).select("a.*", *(f"b.{k}" for k in totals))
+
+
 def count_by(df: DataFrame, col: str | Column) -> DataFrame:
     return df.groupBy(group_label(F.col(col) if isinstance(col, str) else col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -109,10 +124,9 @@ def summarize_numeric(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def quantile_rank(df: DataFrame, value: str, ps: list[float], by: str) -> DataFrame:
-    """Nearest-rank quantiles v[min(n - 1, int(p * n))], from counts of distinct values: no group is sorted row by row."""
+    """Nearest-rank quantiles v[min(n - 1, int(p * n))], from running counts of distinct values."""
     c = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(by)
-    cum = c.withColumn("hi", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w)).withColumn("p", F.explode(F.array(*map(F.lit, ps))))
+    cum = with_total(running(c, [by], [value], hi=("sum", F.col("c"))), c, by, n=F.sum("c")).withColumn("p", F.explode(F.array(*map(F.lit, ps))))
     at = F.least(F.col("n") - 1, F.floor(F.col("p") * F.col("n")))
     return cum.where((at < F.col("hi")) & (at >= F.col("hi") - F.col("c"))).select(by, "p", F.col(value).alias("q"))
 
@@ -226,7 +240,7 @@ def bias_by(df: DataFrame, target: str, actual: str, by: str) -> DataFrame:
 
 def block_check(df: DataFrame, by: str, order: str, size: int, kind: str, want: dict[str, int]) -> DataFrame:
     """Complete blocks of `size` rows in order, by group, and whether each has the wanted number of each kind."""
-    b = df.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size))
+    b = numbered(df, [by], [order], "_i").withColumn("block", F.floor((F.col("_i") - 1) / size))
     n = b.groupBy(by, "block").agg(F.count(F.lit(1)).alias("n"), *(count_true(F.col(kind) == k).alias(f"_{i}") for i, k in enumerate(want)))
     ok = reduce(lambda x, y: x & y, (F.col(f"_{i}") == v for i, v in enumerate(want.values())))
     return n.where(F.col("n") == size).select(by, "block", ok.alias("ok"))
@@ -244,19 +258,15 @@ def latest_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 def ecdf(df: DataFrame, value: str, by: str) -> DataFrame:
     """Distinct values with n and the share of rows at or below."""
     c = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(by)
-    return c.withColumn("y", F.sum("n").over(w.orderBy(value)) / F.sum("n").over(w))
+    upto = with_total(running(c, [by], [value], _s=("sum", F.col("n"))), c, by, _n=F.sum("n"))
+    return upto.select(by, value, "n", (F.col("_s") / F.col("_n")).alias("y"))
 
 
-def avg_rank(df: DataFrame, value: str) -> DataFrame:
-    """Distinct values with their average rank. Ranks are cumulated over range buckets first, so no task sorts all values."""
-    c = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    lo, hi = df.agg(F.min(value), F.max(value)).first()
-    width = ((hi - lo) / 256 or 1.0) if lo is not None else 1.0
-    c = c.withColumn("b", F.floor((F.col(value) - F.lit(lo)) / F.lit(width)))
-    base = c.groupBy("b").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(Window.partitionBy().orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return c.withColumn("below", below).join(F.broadcast(base), "b").select(value, "n", (F.col("base") + F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
+def avg_rank(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """Distinct values of each group with their average rank, from running counts over range partitions."""
+    by = by or []
+    c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    return running(c, by, [value], _s=("sum", F.col("n"))).select(*by, value, "n", (F.col("_s") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def step_verdict(df: DataFrame, by: str, order: list[str], value: str, tol: float) -> DataFrame:
@@ -270,10 +280,8 @@ def flag_duplicates(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
 
 def renumber(df: DataFrame, batch: str, order: str) -> DataFrame:
-    """Contiguous numbers over (batch, order): rows are numbered in their batch, and batch offsets are added by a join."""
-    n = df.groupBy(batch).agg(F.count(F.lit(1)).alias("m")).withColumn("base", F.coalesce(F.sum("m").over(Window.partitionBy().orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
-    own = F.row_number().over(Window.partitionBy(batch).orderBy(order)) - 1
-    return df.withColumn("_o", own).join(n, batch).withColumn("number", F.col("base") + F.col("_o")).drop("_o", "base")
+    """Contiguous numbers from 0 over (batch, order)."""
+    return numbered(df, [], [batch, order]).withColumn("number", F.col("number") - 1)
 
 
 def first_nonzero(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
@@ -283,15 +291,13 @@ def first_nonzero(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
 
 def budget_prefix(df: DataFrame, by: str, order: str, cost: str, limit: float) -> DataFrame:
     """Rows with the running cost of their group and whether it is within the limit."""
-    run = F.sum(cost).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running", run).withColumn("within", F.col("running") <= limit)
+    return running(df, [by], [order], running=("sum", F.col(cost))).withColumn("within", F.col("running") <= limit)
 
 
 def quantile_pick(df: DataFrame, by: str, value: str, key: str, q: float) -> DataFrame:
     """The row at round(q * (n - 1)) of each group, half to even, in the order (value, key)."""
-    w = Window.partitionBy(by)
-    n = df.withColumn("_i", F.row_number().over(w.orderBy(value, key)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return n.where(F.col("_i") == F.bround(q * (F.col("_n") - 1), 0)).drop("_i", "_n")
+    n = with_total(numbered(df, [by], [value, key], "_i"), df, by, _n=F.count(F.lit(1)))
+    return n.where(F.col("_i") - 1 == F.bround(q * (F.col("_n") - 1), 0)).drop("_i", "_n")
 
 
 def top_k(df: DataFrame, by: str, k: int) -> DataFrame:
@@ -307,12 +313,12 @@ def rule_subset(df: DataFrame, key: str, rules: dict[str, Column], cap: int) ->
 
 def pareto(df: DataFrame, by: str, less: str, more: str) -> DataFrame:
     """Rows of each group that no other beats (less is better in one column, more in the other). A running maximum over the sorted group
-    finds them without comparing pairs; rows with a null axis are left out."""
+    finds them without comparing pairs. Rows with a null axis cannot be compared and stay; for more axes see skyline."""
     d = df.where(F.col(less).isNotNull() & F.col(more).isNotNull())
     v = d.groupBy(by, less).agg(F.max(more).alias("_m"))
     before = F.max("_m").over(Window.partitionBy(by).orderBy(less).rowsBetween(Window.unboundedPreceding, -1))
     front = v.withColumn("_b", before).where("_b is null or _m > _b").select(by, less, F.col("_m").alias(more))
-    return d.join(front, [by, less, more], "left_semi")
+    return d.join(front, [by, less, more], "left_semi").unionByName(df.where(F.col(less).isNull() | F.col(more).isNull()))
 
 
 def champions(df: DataFrame, by: str, score: str, key: str) -> DataFrame:
@@ -324,11 +330,13 @@ def champions(df: DataFrame, by: str, score: str, key: str) -> DataFrame:
 
 
 def dataset_diff(a: DataFrame, b: DataFrame, key: str, volatile: list[str]) -> DataFrame:
-    """key and state: left_only, right_only, equal, or differs; volatile columns are ignored."""
+    """key and state: left_only, right_only, equal, or differs; volatile columns are ignored. If a side has a column that the other lacks, no
+    row of both is equal. For paths and nested columns see record_diff."""
     cols = sorted(set(a.columns) & set(b.columns) - {key, *volatile})
+    alike = F.lit(set(a.columns) - {*volatile} == set(b.columns) - {*volatile})
     row = lambda df, n: df.select(key, F.struct(*cols).alias(n))
     both = row(a, "x").join(row(b, "y"), key, "full_outer")
-    return both.select(key, F.when(F.col("y").isNull(), "left_only").when(F.col("x").isNull(), "right_only").when(F.col("x").eqNullSafe(F.col("y")), "equal").otherwise("differs").alias("state"))
+    return both.select(key, F.when(F.col("y").isNull(), "left_only").when(F.col("x").isNull(), "right_only").when(alike & F.col("x").eqNullSafe(F.col("y")), "equal").otherwise("differs").alias("state"))
 
 
 def first_difference(a: DataFrame, b: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -357,10 +365,22 @@ def classify_duplicates(df: DataFrame, content: str, signature: list[str]) -> Da
     return g.select("hash", "n", F.when(least == 0, "unverifiable").when(most > 1, "stale").otherwise("identical").alias("verdict"))
 
 
-def verify_ledger(claimed: DataFrame, actual: DataFrame, key: str) -> DataFrame:
-    """Claimed files and bytes (n, total) against actual ones; issues joined by |, or OK."""
-    j = claimed.select(key, F.col("n").alias("n1"), F.col("total").alias("t1")).join(actual.select(key, F.col("n").alias("n2"), F.col("total").alias("t2")), key, "full_outer")
-    issue = F.concat_ws("|", F.when(F.col("n2").isNull(), "MISSING"), F.when(F.col("n1").isNull(), "EXTRA"), F.when(F.col("n1") != F.col("n2"), "FILE_COUNT"), F.when(F.abs(F.col("t1") - F.col("t2")) > 0.005, "TOTAL_BYTES"))
+def verify_ledger(claimed: DataFrame, actual: DataFrame, key: str, source_left: DataFrame | None = None) -> DataFrame:
+    """Claimed files and bytes (n, total) against actual ones; issues joined by |, or OK. Where both sides have digest (any hash of the
+    files' hashes) or license (whether a licence file is there), SHA256 and LICENSE_FILE_LOST are checked; SOURCE_STILL_EXISTS for keys of
+    source_left."""
+    more = [c for c in ("digest", "license") if c in claimed.columns and c in actual.columns]
+    side = lambda df, x: df.select(key, F.col("n").alias(f"n{x}"), F.col("total").alias(f"t{x}"), *(F.col(c).alias(f"{c}{x}") for c in more))
+    j = side(claimed, 1).join(side(actual, 2), key, "full_outer")
+    issues = [F.when(F.col("n2").isNull(), "MISSING"), F.when(F.col("n1").isNull(), "EXTRA"), F.when(F.col("n1") != F.col("n2"), "FILE_COUNT"), F.when(F.abs(F.col("t1") - F.col("t2")) > 0.005, "TOTAL_BYTES")]
+    if "digest" in more:
+        issues.append(F.when(F.col("n1").isNotNull() & F.col("n2").isNotNull() & ~F.col("digest1").eqNullSafe(F.col("digest2")), "SHA256"))
+    if "license" in more:
+        issues.append(F.when(F.col("license1") & F.col("n2").isNotNull() & ~F.coalesce("license2", F.lit(False)), "LICENSE_FILE_LOST"))
+    if source_left is not None:
+        j = j.join(source_left.select(key).distinct().withColumn("_left", F.lit(True)), key, "left")
+        issues.append(F.when(F.col("n1").isNotNull() & F.col("_left"), "SOURCE_STILL_EXISTS"))
+    issue = F.concat_ws("|", *issues)
     return j.select(key, F.when(issue == "", "OK").otherwise(issue).alias("issue"))
 
 
@@ -384,17 +404,32 @@ def quota_select(df: DataFrame, cell: str, key: str, quota: int, salt: str = "")
 
 def weighted_sample(df: DataFrame, by: str, key: str, weight: Column, n: int, seed: int) -> DataFrame:
     """n rows a group without replacement, with chances by weight (exponential keys)."""
-    e = -F.log(uniform(F.col(key), seed) + 2.0**-60) / weight
+    e = -F.log(hashed_uniform(F.col(key), F.lit(seed)) + 2.0**-33) / weight
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(e, key))).where(F.col("_r") <= n).drop("_r")
 
 
 # statistics
 
 
+def spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
+    """by and spearman: the correlation of the average ranks of rows with both values; null for a group in which a side does not vary."""
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by, x, y).agg(F.count(F.lit(1)).alias("_m"))
+    weights = lambda c: d.groupBy(by, c).agg(F.sum("_m").alias("n"))
+    rank = lambda c, name: running(weights(c), [by], [c], _s=("sum", F.col("n"))).select(by, c, (F.col("_s") - (F.col("n") - 1) / 2).alias(name))
+    a, b = rank(x, "_p"), rank(y, "_q")
+    j = d.alias("d").join(a.alias("a"), same([by, x], "d", "a")).join(b.alias("b"), same([by, y], "d", "b")).select(F.col(f"d.{by}").alias(by), "_m", "_p", "_q")
+    w = lambda c: F.sum(F.col("_m") * c)
+    p, q, m = F.col("_p"), F.col("_q"), F.sum("_m")
+    cov, vp, vq = (w(u * v) - w(u) * w(v) / m for u, v in ((p, q), (p, p), (q, q)))
+    return j.groupBy(by).agg(F.when((F.count_distinct("_p") > 1) & (F.count_distinct("_q") > 1), cov / F.sqrt(vp * vq)).alias("spearman"))
+
+
 def agreement(df: DataFrame, t: str, a: str, by: str) -> DataFrame:
+    """n, mae, quantiles of the absolute error, both correlations and the bias of a against t by group."""
     d = F.col(a) - F.col(t)
     out = agg_percentiles(df, [by], F.abs(d), [0.5, 0.9, 0.95], F.count(d).alias("n"), F.avg(F.abs(d)).alias("mae"), F.corr(t, a).alias("pearson"), F.avg(d).alias("bias"))
-    return out.select(by, "n", "mae", *(F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("median_ae", "q90", "q95"))), "pearson", "bias")
+    out = out.alias("o").join(spearman(df, t, a, by).alias("s"), same([by], "o", "s"), "left").select("o.*", "s.spearman")
+    return out.select(by, "n", "mae", *(F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("median_ae", "q90", "q95"))), "pearson", "spearman", "bias")
 
 
 def zero_inflated(df: DataFrame, value: str) -> DataFrame:

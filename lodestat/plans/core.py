@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestat.functions import scalars as S
+from lodestat.operators import density as D
 from lodestat.operators import tables as O
 from lodestat.plans.registry import query, rounded
 
@@ -174,13 +175,13 @@ def q3_03_guarded_join(t):
     return O.guarded_join(rows, t("part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand"), "p_name"), "k", "brand").select("l_orderkey", "l_linenumber", "p_name")
 
 
-HALF = "SELECT l_partkey AS k, avg(l_quantity) AS v, avg(l_discount) > 0.05 AS g FROM lineitem WHERE l_shipdate {} TIMESTAMP '1996-01-01' GROUP BY 1"
+HALF = "SELECT l_partkey AS k, avg(l_quantity) AS v, avg(l_discount) > 0.05 AS g, avg(l_tax) AS e FROM lineitem WHERE l_shipdate {} TIMESTAMP '1996-01-01' GROUP BY 1"
 
 
-@query(f"SELECT count(*) AS n_cases, CAST(sum((NOT b.g AND n.g)::INT) AS BIGINT) AS recovered, CAST(sum((b.g AND NOT n.g)::INT) AS BIGINT) AS regressed, round(quantile_cont(b.v, 0.5), 6) AS median_base, round(quantile_cont(n.v, 0.5), 6) AS median_new FROM ({HALF.format('<=')}) b JOIN ({HALF.format('>')}) n USING (k)")
+@query(f"SELECT count(*) AS n_cases, CAST(sum((NOT b.g AND n.g)::INT) AS BIGINT) AS recovered, CAST(sum((b.g AND NOT n.g)::INT) AS BIGINT) AS regressed, round(quantile_cont(b.v, 0.5), 6) AS median_base, round(quantile_cont(n.v, 0.5), 6) AS median_new, round(quantile_cont(n.v - b.v, 0.5), 6) AS delta_value, round(quantile_cont(n.e - b.e, 0.5) FILTER (b.g AND n.g), 6) AS delta_error, round(list_sort(list(b.v))[CAST(least(count(*) - 1, floor(0.95::DOUBLE * count(*))) AS BIGINT) + 1], 6) AS p95_base, round(list_sort(list(n.v))[CAST(least(count(*) - 1, floor(0.95::DOUBLE * count(*))) AS BIGINT) + 1], 6) AS p95_new FROM ({HALF.format('<=')}) b JOIN ({HALF.format('>')}) n USING (k)")
 def q3_04_paired_compare(t):
-    half = lambda c: t("lineitem").where(c).groupBy(F.col("l_partkey").alias("k")).agg(F.avg("l_quantity").alias("v"), (F.avg("l_discount") > 0.05).alias("g"))
-    return rounded(O.paired_compare(half(f"not ({LATE})"), half(LATE), "k", "v", "g"))
+    half = lambda c: t("lineitem").where(c).groupBy(F.col("l_partkey").alias("k")).agg(F.avg("l_quantity").alias("v"), (F.avg("l_discount") > 0.05).alias("g"), F.avg("l_tax").alias("e"))
+    return rounded(O.paired_compare(half(f"not ({LATE})"), half(LATE), "k", "v", "g", "e"))
 
 
 @query("SELECT n_nationkey, n_name, CASE WHEN c.c_nationkey IS NULL THEN 'missing' ELSE 'ok' END AS state FROM nation LEFT JOIN (SELECT DISTINCT c_nationkey FROM customer) c ON n_nationkey = c.c_nationkey")
@@ -327,8 +328,9 @@ def q4_33_gaps(t):
 
 @query("SELECT source, count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS bytes, round(avg(n_chars), 4) AS mean, round(quantile_cont(n_chars, 0.95), 4) AS p95, round(avg(n_chars) * 1000000, 0) AS projected FROM documents GROUP BY 1")
 def q4_35_storage(t):
-    g = t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_chars").alias("bytes"), F.round(F.avg("n_chars"), 4).alias("mean"), F.round(F.percentile("n_chars", F.lit(0.95)), 4).alias("p95"), F.round(F.avg("n_chars") * 1000000, 0).alias("projected"))
-    return g
+    """p95 of the sizes and a projection to a million files."""
+    g = O.agg_percentiles(t("documents"), ["source"], "n_chars", [0.95], F.count(F.lit(1)).alias("n_files"), F.sum("n_chars").alias("bytes"), F.round(F.avg("n_chars"), 4).alias("mean"), F.round(F.avg("n_chars") * 1000000, 0).alias("projected"))
+    return g.select("source", "n_files", "bytes", "mean", F.round(F.get("q", F.lit(0)), 4).alias("p95"), "projected")
 
 
 @query("SELECT event_type, CAST(floor((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) / 10) AS BIGINT) AS block FROM events QUALIFY count(*) OVER (PARTITION BY event_type) >= 0".replace("SELECT event_type, CAST", "SELECT event_type, block, count(*) FILTER (WHERE user_id % 2 = 0) = 5 AS ok FROM (SELECT event_type, user_id, CAST").replace(" QUALIFY count(*) OVER (PARTITION BY event_type) >= 0", ") GROUP BY 1, 2 HAVING count(*) = 10"))
@@ -478,11 +480,20 @@ def q8_06_signature(t):
     return t("pages").groupBy(F.regexp_extract("url", "://([^/]+)", 1).alias("host")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("html")).alias("bytes"), F.bool_or(F.col("url").contains("?")).alias("has_query"))
 
 
-@query("""SELECT k, coalesce(nullif(concat_ws('|', CASE WHEN n2 IS NULL THEN 'MISSING' END, CASE WHEN n1 IS NULL THEN 'EXTRA' END, CASE WHEN n1 <> n2 THEN 'FILE_COUNT' END, CASE WHEN abs(t1 - t2) > 0.005 THEN 'TOTAL_BYTES' END), ''), 'OK') AS issue
-FROM (SELECT l_orderkey AS k, count(*) AS n1, sum(l_quantity) AS t1 FROM lineitem WHERE l_quantity > 5 GROUP BY 1) FULL JOIN (SELECT l_orderkey AS k, count(*) AS n2, sum(l_quantity) AS t2 FROM lineitem WHERE l_linenumber < 5 AND l_linestatus <> 'F' GROUP BY 1) USING (k)""")
+@query("""SELECT k, coalesce(nullif(concat_ws('|', CASE WHEN n2 IS NULL THEN 'MISSING' END, CASE WHEN n1 IS NULL THEN 'EXTRA' END, CASE WHEN n1 <> n2 THEN 'FILE_COUNT' END, CASE WHEN abs(t1 - t2) > 0.005 THEN 'TOTAL_BYTES' END,
+  CASE WHEN n1 IS NOT NULL AND n2 IS NOT NULL AND d1 <> d2 THEN 'SHA256' END, CASE WHEN c1 AND n2 IS NOT NULL AND NOT c2 THEN 'LICENSE_FILE_LOST' END, CASE WHEN n1 IS NOT NULL AND k IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') THEN 'SOURCE_STILL_EXISTS' END), ''), 'OK') AS issue
+FROM (SELECT l_orderkey AS k, count(*) AS n1, sum(l_quantity) AS t1, string_agg(h, '' ORDER BY h) AS d1, bool_or(l_linenumber = 7) AS c1 FROM (SELECT *, sha256(CAST(l_partkey AS VARCHAR)) AS h FROM lineitem) WHERE l_quantity > 5 GROUP BY 1)
+FULL JOIN (SELECT l_orderkey AS k, count(*) AS n2, sum(l_quantity) AS t2, string_agg(h, '' ORDER BY h) AS d2, bool_or(l_linenumber = 7) AS c2 FROM (SELECT *, sha256(CAST(l_partkey AS VARCHAR)) AS h FROM lineitem) WHERE l_linestatus <> 'F' GROUP BY 1) USING (k)""")
 def q8_07_verify_ledger(t):
-    of = lambda c: t("lineitem").where(c).groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("total"))
-    return O.verify_ledger(of("l_quantity > 5"), of("l_linenumber < 5 and l_linestatus <> 'F'"), "k")
+    """A move has few files, so their hashes are put in order."""
+
+    def of(rows):
+        g = t("lineitem").where(rows).groupBy(F.col("l_orderkey").alias("k"))
+        hashes = F.sort_array(F.collect_list(F.sha2(F.col("l_partkey").cast("string"), 256)))
+        return g.agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("total"), F.sha2(F.array_join(hashes, ""), 256).alias("digest"), F.bool_or(F.col("l_linenumber") == 7).alias("license"))
+
+    left = t("orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"))
+    return O.verify_ledger(of("l_quantity > 5"), of("l_linestatus <> 'F'"), "k", left)
 
 
 @query("SELECT o_custkey, count(*) AS n, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'complete' WHEN bool_and(o_orderstatus <> 'F') THEN 'rolled_back' ELSE 'partial' END AS state FROM orders GROUP BY 1")
@@ -497,7 +508,7 @@ def q8_13_resume(t):
     return k.agg(F.max("k").alias("last_done"), (F.max("k") + 1).alias("next"))
 
 
-@query("SELECT p_brand, count(*) AS n, round(avg(abs(a - p_retailprice)), 4) AS mae, round(quantile_cont(abs(a - p_retailprice), 0.5), 4) AS median_ae, round(quantile_cont(abs(a - p_retailprice), 0.9), 4) AS q90, round(quantile_cont(abs(a - p_retailprice), 0.95), 4) AS q95, round(corr(p_retailprice, a), 4) AS pearson, round(avg(a - p_retailprice), 4) AS bias FROM (SELECT p_brand, p_retailprice, l_extendedprice / l_quantity AS a FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1")
+@query("SELECT p_brand, count(*) AS n, round(avg(abs(a - p_retailprice)), 4) AS mae, round(quantile_cont(abs(a - p_retailprice), 0.5), 4) AS median_ae, round(quantile_cont(abs(a - p_retailprice), 0.9), 4) AS q90, round(quantile_cont(abs(a - p_retailprice), 0.95), 4) AS q95, round(corr(p_retailprice, a), 4) AS pearson, round(corr(r1, r2), 4) AS spearman, round(avg(a - p_retailprice), 4) AS bias FROM (SELECT *, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0::DOUBLE AS r1, rank() OVER (PARTITION BY p_brand ORDER BY a) + (count(*) OVER (PARTITION BY p_brand, a) - 1) / 2.0::DOUBLE AS r2 FROM (SELECT p_brand, p_retailprice, l_extendedprice / l_quantity AS a FROM lineitem JOIN part ON l_partkey = p_partkey)) GROUP BY 1")
 def q9_01_agreement(t):
     j = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("p_brand", "p_retailprice", (F.col("l_extendedprice") / F.col("l_quantity")).alias("a"))
     return rounded(O.agreement(j, "p_retailprice", "a", "p_brand"), 4)
@@ -533,14 +544,14 @@ def q10_03_quota_select(t):
     return O.quota_select(t("part").select("p_partkey", "p_type"), "p_type", "p_partkey", 5)
 
 
-@query()
+@query("SELECT p_partkey, p_type, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY -ln(('0x' || substr(md5(concat_ws('|', CAST(p_partkey AS VARCHAR), '7')), 1, 8))::BIGINT / 4294967296.0::DOUBLE + pow(2, -33)) / (p_size + 1), p_partkey) AS r FROM part) WHERE r <= 5")
 def q10_05_weighted_sample(t):
     return O.weighted_sample(t("part").select("p_partkey", "p_type", "p_size"), "p_type", "p_partkey", F.col("p_size") + 1, 5, 7)
 
 
-@query()
+@query("SELECT CASE WHEN u < 0.6 THEN 'mild' WHEN u < 0.9 THEN 'medium' ELSE 'strong' END AS tier, count(*) AS n FROM (SELECT ('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), '11')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM orders) GROUP BY 1")
 def q10_06_tier_draw(t):
-    u = S.uniform(F.col("o_orderkey"), 11)
+    u = D.hashed_uniform(F.col("o_orderkey"), F.lit(11))
     tier = F.when(u < 0.6, "mild").when(u < 0.9, "medium").otherwise("strong")
     return t("orders").groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
