@@ -24,15 +24,18 @@ def _run(df: DataFrame, folder: str, mode: str, each: Callable[[DataFrame, int],
     query.awaitTermination()
 
 
-def _all(spark: SparkSession, path: str) -> DataFrame | None:
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at path, None if there is none; any other fault is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
-    found = _all(spark, path)
+    found = stored(spark, path)
     return (found if found is not None else spark.createDataFrame([], schema)).drop("batch").select(*schema.names)
 
 
@@ -49,7 +52,7 @@ def split_records(stream: DataFrame, accepted: Column, folder: str) -> tuple[Dat
         marked.write.mode("overwrite").partitionBy("accepted").parquet(f"{folder}/log/batch={batch}")
 
     _run(stream, folder, "append", each)
-    log = _all(stream.sparkSession, f"{folder}/log")
+    log = stored(stream.sparkSession, f"{folder}/log")
     if log is None:
         empty = stream.sparkSession.createDataFrame([], stream.schema)
         return empty, empty
@@ -60,7 +63,7 @@ def counters(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
     """Number of records by keys so far; state has a row for each key. The newest batch's table is returned."""
     counts = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     _run(counts, folder, "complete", lambda df, batch: _write(df, f"{folder}/counts", batch))
-    found = _all(stream.sparkSession, f"{folder}/counts")
+    found = stored(stream.sparkSession, f"{folder}/counts")
     if found is None:
         return stream.sparkSession.createDataFrame([], counts.schema)
     newest = found.agg(F.max("batch")).first()[0]
@@ -75,23 +78,41 @@ def first_seen(stream: DataFrame, keys: list[str], folder: str, event_time: str
     return _batches(stream.sparkSession, f"{folder}/first", stream.schema)
 
 
-def latest(stream: DataFrame, keys: list[str], order: list[str], folder: str) -> DataFrame:
-    """The latest record of each key by order. Each batch makes a new version of the snapshot from the one before it."""
-    value = F.struct(*order, *(c for c in stream.columns if c not in {*keys, *order}))
+def latest(stream: DataFrame, keys: list[str], order: list[str], folder: str, buckets: int = 64) -> DataFrame:
+    """The latest record of each key by order.
+
+    The snapshot lies in buckets by a hash of the keys. A manifest for each batch names the version of every bucket; a batch reads and
+    writes only the buckets that its records fall into, and the rest keep their version. A batch that is repeated starts from the manifest
+    before it. If that is gone, the job fails rather than begin anew.
+    """
+    spark, value = stream.sparkSession, F.struct(*order, *(c for c in stream.columns if c not in {*keys, *order}))
 
     def each(df: DataFrame, batch: int) -> None:
-        before = _all(df.sparkSession, f"{folder}/version={batch - 1}") if batch else None
-        rows = df.select(*stream.columns)
-        rows = rows if before is None else rows.unionByName(before)
-        top = rows.groupBy(*keys).agg(F.max(value).alias("x")).select(*keys, "x.*")
-        top.select(*stream.columns).write.mode("overwrite").parquet(f"{folder}/version={batch}")
+        own = df.sparkSession
+        rows = df.select(*stream.columns, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket"))
+        touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())  # at most `buckets`
+        before = {r.bucket: r.version for r in own.read.parquet(f"{folder}/manifest/batch={batch - 1}").collect()} if batch else {}
+        paths = [f"{folder}/data/version={before[b]}/bucket={b}" for b in touched if b in before]
+        if paths:
+            old = own.read.option("basePath", f"{folder}/data").parquet(*paths).select(*rows.columns)
+            rows = rows.unionByName(old)
+        top = rows.groupBy(*keys).agg(F.max(value).alias("x"), F.first("bucket").alias("bucket")).select(*keys, "x.*", "bucket")
+        top.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/version={batch}")
+        now = sorted((before | {b: batch for b in touched}).items())
+        own.createDataFrame(now, "bucket int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={batch}")
 
     _run(stream, folder, "append", each)
-    found = _all(stream.sparkSession, f"{folder}/version=*")
-    if found is None:
-        return stream.sparkSession.createDataFrame([], stream.schema)
-    newest = stream.sparkSession.read.option("basePath", folder).parquet(f"{folder}/version=*").agg(F.max("version")).first()[0]
-    return stream.sparkSession.read.parquet(f"{folder}/version={newest}")
+    return snapshot(spark, stream, folder)
+
+
+def snapshot(spark: SparkSession, like: DataFrame, folder: str) -> DataFrame:
+    """What the newest manifest of latest() names, with the columns of a table."""
+    found = stored(spark, f"{folder}/manifest")
+    newest = found.where(F.col("batch") == found.agg(F.max("batch")).first()[0]).collect() if found is not None else []  # a row a bucket
+    if not newest:
+        return spark.createDataFrame([], like.schema)
+    paths = [f"{folder}/data/version={r.version}/bucket={r.bucket}" for r in newest]
+    return spark.read.option("basePath", f"{folder}/data").parquet(*paths).select(*like.columns)
 
 
 def throughput(stream: DataFrame, time: str, folder: str, width: str = "1 hour", delay: str = "10 minutes", slide: str | None = None) -> DataFrame:
