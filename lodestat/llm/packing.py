@@ -7,41 +7,68 @@ tightest open window that still fits. Groups are independent, so the job is a ma
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import materialize
+from lodestat.llm.common import materialize, sliced
 
 WINDOW, GROUP, END_ID = 2048, 8192, 1
-#: Chunks of text that a worker keeps encoded.
-CACHE = 400_000
+#: Bytes of chunks and their ids that a worker keeps, and characters of text that it encodes at a time (a longer text comes alone).
+CACHE, AT_ONCE = 100_000_000, 4_000_000
+#: How byte-level vocabularies write a blank.
+BLANK = "\u0120"
 #: Equal pieces are dealt in runs of this many.
 RUN = 1_000_000
 
 
 class Encoder:
-    """Ids of the tokenizer as little-endian 32-bit bytes. A byte-level vocabulary of this kind always cuts before a single blank between two
-    characters that are not white space, so what lies between such blanks is encoded once and kept. Strings of added tokens in a text become
-    those tokens, as the tokenizer does; if one of them has a blank itself, texts are encoded whole."""
+    """Ids of the tokenizer as little-endian 32-bit bytes.
+
+    A byte-level vocabulary whose file splits texts by the usual pattern, without a normalizer, cuts before a single blank between two
+    characters that are not white space, so what lies between such blanks is encoded once and kept. New chunks without white space are
+    encoded many at a time: with a blank before each, their first tokens are just those that begin with the blank. Strings of added tokens in
+    a text become those tokens, as the tokenizer does. If the file is of another kind, or an added token has white space, texts are encoded
+    whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cuts = not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values())
+        form = json.loads(self.tokenizer.to_str())
+        split = form.get("pre_tokenizer") or {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        usual = form.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.cuts = usual and not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in added)
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(BLANK)]] = True
         self.kept: dict[str, bytes] = {}
+        self.size = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        plain = [x for x in new if x and not any(map(str.isspace, x))]
+        runs = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for run, raw in zip(runs, self.encode(["".join(f" {x}" for x in run) for run in runs]), strict=True):
+            at = 4 * np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")])
+            if len(at) == len(run):
+                self.kept.update(zip(run, (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
+        rest = [x for x in new if x not in self.kept]
+        self.kept.update(zip(rest, self.encode([f" {x}" for x in rest]), strict=True))
+        self.size += sum(len(x) + len(self.kept[x]) + 150 for x in new)
+
     def chunks(self, text: str) -> list[str]:
         """The first chunk, and all others without the blank before them."""
         out = text.split(" ")
@@ -49,16 +76,24 @@ class Encoder:
             out = re.split(r"(?<=\S) (?=\S)", text)
         return out
 
-    def __call__(self, text: str) -> bytes:
-        if not self.cuts or " " not in text:
-            return self.encode([text])[0]
-        first, *rest = self.chunks(text)
-        kept = self.kept
-        if len(kept) > CACHE:
-            kept.clear()
-        new = list(set(rest).difference(kept))
-        kept.update(zip(new, self.encode([" " + x for x in new]), strict=True))
-        return self.encode([first])[0] + b"".join(map(kept.__getitem__, rest))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return self.encode(texts)
+        if self.size > CACHE:
+            self.kept, self.size = {}, 0
+        split = [self.chunks(t) for t in texts]
+        new = set()
+        for x in split:
+            new.update(x[1:])
+        self._learn(list(new.difference(self.kept)))
+        firsts = self.encode([x[0] for x in split])
+        return [first + b"".join(map(self.kept.__getitem__, x[1:])) for first, x in zip(firsts, split, strict=True)]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One of a worker, which runs many tasks."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -69,11 +104,11 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode, end = Encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json")), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        encode, end = encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json")), np.array([end_id], "<u4").tobytes()
+        for batch in sliced(batches, text, AT_ONCE):
             rows: list[list] = [[] for _ in range(6)]
-            for at, t in enumerate(batch.column(1)):
-                ids = encode(t.as_py() or "") + end
+            for at, ids in enumerate(encode([t or "" for t in batch.column(1).to_pylist()])):
+                ids += end
                 for s in range(0, len(ids), 4 * window):
                     part = ids[s : s + 4 * window]
                     for col, x in zip(rows, (at, s // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, np.frombuffer(part, "<i4") if with_ids else None), strict=True):
