@@ -26,6 +26,9 @@ WINDOW, GROUP, END_ID = 2048, 8192, 1
 CACHE, AT_ONCE = 100_000_000, 4_000_000
 #: How byte-level vocabularies write a blank.
 BLANK = "\u0120"
+SPACE = re.compile(r"\s")
+#: A blank between two characters that are not white space, and blanks that are not such.
+CUT, MORE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\A | \Z| \s|[^\S ] ")
 #: Equal pieces are dealt in runs of this many.
 RUN = 1_000_000
 
@@ -59,7 +62,7 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        plain = [x for x in new if x and not any(map(str.isspace, x))]
+        plain = [x for x in new if x and not SPACE.search(x)]
         runs = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         for run, raw in zip(runs, self.encode(["".join(f" {x}" for x in run) for run in runs]), strict=True):
             at = 4 * np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")])
@@ -67,14 +70,11 @@ class Encoder:
                 self.kept.update(zip(run, (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
         rest = [x for x in new if x not in self.kept]
         self.kept.update(zip(rest, self.encode([f" {x}" for x in rest]), strict=True))
-        self.size += sum(len(x) + len(self.kept[x]) + 150 for x in new)
+        self.size += 160 * len(new) + 5 * sum(map(len, new))  # an id has four bytes and stands for a character at least
 
     def chunks(self, text: str) -> list[str]:
         """The first chunk, and all others without the blank before them."""
-        out = text.split(" ")
-        if any(not x or x[0].isspace() or x[-1].isspace() for x in out):
-            out = re.split(r"(?<=\S) (?=\S)", text)
-        return out
+        return CUT.split(text) if MORE.search(text) else text.split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
