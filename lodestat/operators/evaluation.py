@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,12 +19,21 @@ def rule_audit(df: DataFrame, rules: dict[str, tuple[Column, Column, float]]) ->
 
 def conditioned_share(df: DataFrame, feasible: list[Column], own: Column, prescribed: list[float]) -> DataFrame:
     """(bin, prescribed, conditioned, realised): the prescribed mass of each row is dealt out over the bins that are feasible for it, then averaged.
-    Rows without a feasible bin are left out."""
-    mass = [F.when(F.coalesce(c, F.lit(False)), F.lit(float(f))).otherwise(0.0) for c, f in zip(feasible, prescribed, strict=True)]
-    total = sum(mass[1:], mass[0])
-    rows = df.where(total > 0)
-    aggs = [F.struct(F.lit(i).alias("bin"), F.lit(float(f)).alias("prescribed"), F.avg(m / total).alias("conditioned"), F.avg((own == i).cast("double")).alias("realised")) for i, (m, f) in enumerate(zip(mass, prescribed, strict=True))]
-    return rows.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+    Rows without a feasible bin are left out. Rows are counted by what is feasible for them first, so that few numbers are weighed, in one order."""
+    flags = F.array(*(F.coalesce(c, F.lit(False)) for c in feasible))
+    n = df.groupBy(flags.alias("f"), own.alias("own")).agg(F.count(F.lit(1)).alias("n"))
+    mass = F.zip_with("f", F.array(*(F.lit(float(x)) for x in prescribed)), lambda ok, m: F.when(ok, m).otherwise(0.0))
+    n = n.withColumn("m", mass).withColumn("s", F.aggregate("m", F.lit(0.0), lambda a, x: a + x)).where("s > 0")
+    patterns = F.array_sort(F.collect_list(F.struct("f", "own", "n", "m", "s")))  # at most one for each set of bins and bin
+    all_n = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["n"])
+
+    def share(i: int, f: float) -> Column:
+        given = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["n"] * F.get(x["m"], F.lit(i)) / x["s"])
+        real = F.aggregate("p", F.lit(0.0), lambda a, x: a + F.when(x["own"] == i, x["n"]).otherwise(0))
+        return F.struct(F.lit(i).alias("bin"), F.lit(float(f)).alias("prescribed"), (given / all_n).alias("conditioned"), (real / all_n).alias("realised"))
+
+    shares = [share(i, f) for i, f in enumerate(prescribed)]
+    return n.agg(patterns.alias("p")).where(F.size("p") > 0).select(F.explode(F.array(*shares)).alias("x")).select("x.*")
 
 
 def trial_rollup(trials: DataFrame, by: list[str], solved: Column, shift: Column, turn: Column) -> DataFrame:
@@ -161,27 +168,3 @@ def match_levels(package: DataFrame, tree: DataFrame, by: str) -> DataFrame:
     g = both.groupBy(by).agg(F.count("in_p").alias("n_p"), F.count("in_t").alias("n_t"), F.sum("sp").alias("bytes_p"), F.sum("st").alias("bytes_t"), F.min(F.coalesce(F.col("sp") == F.col("st"), F.lit(False))).alias("sizes"), F.min(F.coalesce((F.col("sp") == F.col("st")) & (F.col("cp") == F.col("ct")), F.lit(False))).alias("crcs"))
     level = F.when((F.col("n_p") == 0) | (F.col("n_p") != F.col("n_t")), 0).when(~F.coalesce(F.col("bytes_p") == F.col("bytes_t"), F.lit(False)), 1).when(~F.col("sizes"), 2).when(~F.col("crcs"), 3).otherwise(4)
     return g.select(by, level.alias("level"))
-
-
-def resolve_chain(prior: DataFrame, mappings: DataFrame, inventory: DataFrame, depth: int = 64) -> DataFrame:
-    """(path, final, hops, state) for files of prior (path, hash), followed along mappings (src, dst, hash, verified) to inventory (path, hash).
-
-    present: the file is where it was. excused: a chain of verified mappings, each the only one of its source and of its destination, all bound to the
-    file's hash, ends at a file of the inventory with that hash. cycle: the chain goes on for more than depth steps. Else missing. Pointers are
-    doubled, so a chain of depth steps takes log2(depth) joins.
-    """
-    ok = mappings.where(F.col("verified") & F.col("hash").isNotNull() & ~F.col("dst").cast("string").contains(".."))
-    one = ok.join(mappings.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("src"), "src", "left_semi")
-    one = one.join(mappings.groupBy("dst").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("dst"), "dst", "left_semi")
-    step = one.select(F.col("src").alias("at"), F.col("hash").alias("h"), F.col("dst").alias("to"), F.lit(1).cast("bigint").alias("d"))
-    reach = prior.select("path", "hash", F.col("path").alias("final"), F.lit(0).cast("bigint").alias("hops"))
-    for _ in range(max(1, math.ceil(math.log2(depth + 1)))):
-        j = reach.join(step, (F.col("final") == F.col("at")) & (F.col("hash") == F.col("h")), "left")
-        reach = j.select("path", "hash", F.coalesce("to", "final").alias("final"), (F.col("hops") + F.coalesce("d", F.lit(0))).alias("hops"))
-        nxt = step.select(F.col("at").alias("at2"), F.col("h").alias("h2"), F.col("to").alias("to2"), F.col("d").alias("d2"))
-        step = step.join(nxt, (F.col("to") == F.col("at2")) & (F.col("h") == F.col("h2")), "left").select("at", "h", F.coalesce("to2", "to").alias("to"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))
-    there = inventory.select(F.col("path").alias("p"), F.col("hash").alias("i")).distinct()
-    here = inventory.select(F.col("path").alias("p0")).distinct()
-    out = reach.join(there, (F.col("final") == F.col("p")) & (F.col("hash") == F.col("i")), "left").join(here, F.col("path") == F.col("p0"), "left")
-    state = F.when(F.col("p0").isNotNull(), "present").when(F.col("hops") > depth, "cycle").when((F.col("hops") > 0) & F.col("p").isNotNull(), "excused").otherwise("missing")
-    return out.select("path", F.when(F.col("p0").isNotNull(), F.col("path")).otherwise(F.col("final")).alias("final"), F.when(F.col("p0").isNotNull(), 0).otherwise(F.col("hops")).cast("bigint").alias("hops"), state.alias("state"))

@@ -10,6 +10,7 @@ from lodestat.functions import geometry as G
 from lodestat.functions import masks as M
 from lodestat.functions import registry as R
 from lodestat.functions import scalars as S
+from lodestat.operators import chains as H
 from lodestat.operators import choices as C
 from lodestat.operators import density as D
 from lodestat.operators import evaluation as E
@@ -87,10 +88,10 @@ def q2_18_rule_audit(t):
 EDGES, FRACTIONS = [0, 10, 20, 30, 40], [0.1, 0.2, 0.3, 0.2, 0.2]
 
 
-@query("WITH f AS (SELECT p_partkey, p_size, b, f, CASE WHEN p_size >= 10 * b THEN f ELSE 0 END AS m FROM part, (VALUES (0, 0.1::DOUBLE), (1, 0.2), (2, 0.3), (3, 0.2), (4, 0.2)) v(b, f)) SELECT b AS bin, f AS prescribed, round(avg(m / s), 6) AS conditioned, round(avg((least(p_size // 10, 4) = b)::INT), 6) AS realised FROM (SELECT *, sum(m) OVER (PARTITION BY p_partkey) AS s FROM f) GROUP BY 1, 2")
+@query("WITH f AS (SELECT p_partkey, p_size, b, f, CASE WHEN p_size >= 10 * b THEN f ELSE 0 END AS m FROM part, (VALUES (0, 0.1::DOUBLE), (1, 0.2), (2, 0.3), (3, 0.2), (4, 0.2)) v(b, f)) SELECT b AS bin, f AS prescribed, round(avg(m / s), 9) AS conditioned, round(avg((least(p_size // 10, 4) = b)::INT), 9) AS realised FROM (SELECT *, sum(m) OVER (PARTITION BY p_partkey) AS s FROM f) GROUP BY 1, 2")
 def q4_18_feasible_share(t):
     own = F.least(F.floor(F.col("p_size") / 10), F.lit(4))
-    return rounded(E.conditioned_share(t("part"), [F.col("p_size") >= e for e in EDGES], own, FRACTIONS))
+    return rounded(E.conditioned_share(t("part"), [F.col("p_size") >= e for e in EDGES], own, FRACTIONS), 9)
 
 
 @query("SELECT l_orderkey, l_linestatus, count(*) AS n, count(*) FILTER (NOT ok) AS solve_fail, count(*) FILTER (NOT ok OR l_quantity > 45) AS diverged, count(*) FILTER (NOT (ok AND l_discount < 0.05 AND l_quantity < 5)) AS pose_fail, round(quantile_cont(l_discount, 0.5) FILTER (ok), 6) AS q50, round(quantile_cont(l_discount, 0.9) FILTER (ok), 6) AS q90, round(quantile_cont(l_discount, 0.95) FILTER (ok), 6) AS q95 FROM (SELECT *, l_tax < 0.07 AS ok FROM lineitem) GROUP BY 1, 2")
@@ -172,7 +173,30 @@ def q8_09_successor_chain(t):
 
     o = t("orders").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("hash"), "o_totalprice", "o_orderstatus")
     mappings = o.select(F.col("path").alias("src"), F.lead("path").over(Window.partitionBy("hash").orderBy("path")).alias("dst"), "hash", (F.col("o_totalprice") > 30000).alias("verified")).where("dst is not null")
-    return E.resolve_chain(o, mappings, o.where("o_orderstatus = 'F'"))
+    return H.resolve_chain(o, mappings, o.where("o_orderstatus = 'F'"))
+
+
+@query(
+    """WITH m AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS st, o_orderpriority AS pr, o_totalprice AS t, count(*) OVER (PARTITION BY o_custkey, o_orderdate) AS same FROM orders)
+SELECT k AS prior_move, concat_ws('|', CASE WHEN pr = '5-LOW' AND t > 450000 THEN 'PATH_ESCAPE' END, CASE WHEN t > 400000 AND t <= 450000 THEN 'PRIOR_SIZE' END,
+  CASE WHEN st = 'P' AND c < 300 THEN 'SUCCESSOR_MANIFEST_UNKNOWN' END, CASE WHEN st = 'P' AND c >= 300 THEN 'SUCCESSOR_NOT_VERIFIED' END, CASE WHEN pr = '2-HIGH' AND NOT (st = 'P' AND c < 300) THEN 'SUCCESSOR_PRE_HASH' END,
+  CASE WHEN t < 50000 OR (pr = '5-LOW' AND t > 450000) THEN 'DESTINATION_MISSING' END, CASE WHEN t > 400000 AND t <= 450000 THEN 'DESTINATION_SIZE' END, CASE WHEN pr = '1-URGENT' AND c < 100 THEN 'STILL_AT_PRIOR_DESTINATION' END) AS issues FROM m"""
+)
+def q8_09_successor_rules(t):
+    """Orders as files of moves, with faults by their attributes."""
+    c = F.col
+    o = t("orders").select(c("o_orderkey").alias("k"), c("o_custkey").alias("c"), c("o_orderstatus").alias("st"), c("o_orderpriority").alias("pr"), c("o_totalprice").alias("t"))
+    far, wide = (c("pr") == "5-LOW") & (c("t") > 450000), (c("t") > 400000) & (c("t") <= 450000)
+    path = F.concat(c("k").cast("string"), F.lit(".bin"))
+    at, to = F.concat(F.lit("data/a/"), path), F.concat(F.when(far, "../").otherwise(""), F.lit("data/b/"), path)
+    sha = F.sha2(c("k").cast("string"), 256)
+    lost = F.when(~((c("st") == "P") & (c("c") < 300)), "m1").otherwise("m9")
+    m = o.select(c("k").alias("prior_move"), F.lit("data/a").alias("prior_destination"), path.alias("prior_path"), lost.alias("successor_manifest"), c("k").alias("successor_move"), at.alias("successor_source"), to.alias("successor_destination"), F.when(wide, 2).otherwise(1).alias("size"), sha.alias("sha"))
+    prior = o.select(c("k").alias("move"), F.lit("data/a/").alias("destination"), path.alias("path"), F.lit(1).alias("size"), sha.alias("sha"))
+    successors = o.select(F.lit("m1").alias("manifest"), c("k").alias("move"), at.alias("source"), to.alias("destination"), F.when(c("st") == "P", "FAILED").otherwise("MOVED").alias("status"), F.lit("2024-01-01").alias("verified_at"), F.when(c("pr") == "2-HIGH", "x").otherwise(sha).alias("sha"))
+    inventory = o.where((c("t") >= 50000) & ~far).select(to.alias("path"), F.lit(1).alias("size"), sha.alias("sha")).union(o.where((c("pr") == "1-URGENT") & (c("c") < 100)).select(at, F.lit(1), sha))
+    out = H.successor_issues(m, prior, successors, inventory)
+    return out.select("prior_move", F.array_join("issues", "|").alias("issues"))
 
 
 # densities
@@ -282,8 +306,9 @@ def q10_10_perturb(t):
 
 # geometry of labels
 
+# The edges that are compared and the corners (before, at, after) whose angles are checked, as the published filter has them.
 PAIRS = [((0, 1), (3, 2)), ((0, 3), (1, 2)), ((4, 5), (7, 6)), ((4, 7), (5, 6)), ((0, 4), (1, 5)), ((3, 7), (2, 6))]
-CORNERS = [(1, 0, 3), (0, 1, 2), (5, 4, 7), (4, 5, 6), (1, 0, 4), (3, 0, 4)]
+CORNERS = [(1, 0, 3), (0, 1, 2), (5, 4, 7), (4, 5, 6), (1, 0, 4), (2, 3, 7)]
 _PAIRS = ", ".join(f"({a}, {b}, {c}, {d})" for (a, b), (c, d) in PAIRS)
 _CORNERS = ", ".join(str(c) for c in CORNERS)
 _XY = _P + "g AS (SELECT vec_id, i, (CASE WHEN i IN (1, 2, 5, 6) THEN 100 ELSE 0 END) + x * 60 + 200 AS x, (CASE WHEN i IN (2, 3, 6, 7) THEN 80 ELSE 0 END) + (CASE WHEN i >= 4 THEN 30 ELSE 0 END) * 2 + y * 60 + 200 AS y FROM p), "

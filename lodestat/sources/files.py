@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOM = "﻿"
@@ -41,11 +41,34 @@ def scan_artifacts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return files.select("id", F.substring_index("path", ".", -1).alias("kind"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
 
 
+#: The place of a line of a text file: its file, the start of its split, and the row's number in the scan's partition.
+FILE, SPLIT, ROW = "_file", "_split", "_row"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """line with its place. A file of any size is read in splits; rows of a split follow one another in a partition."""
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    return text.select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(SPLIT), F.monotonically_increasing_id().alias(ROW), F.col("value").alias("line"))
+
+
 def scan_logs(spark: SparkSession, path: str, patterns: list[str]) -> DataFrame:
-    """(file, line_no, line) of lines that have one of the patterns, in any case. A log is one row, so it must fit in a task's memory."""
-    logs = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = logs.select("file", F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
-    return lines.where(F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))).select("file", (F.col("i") + 1).cast("bigint").alias("line_no"), "line")
+    """(file, line_no, line) of lines that have one of the patterns, in any case. Lines are counted in each split, and the counts of a file's
+    earlier splits are added, so a task holds no more than the hits of one split."""
+    hit = F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    each = _lines(spark, path).groupBy(FILE, SPLIT).agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"), F.collect_list(F.when(hit, F.struct(ROW, "line"))).alias("hits"))
+    before = F.sum("n").over(Window.partitionBy(FILE).orderBy(SPLIT).rowsBetween(Window.unboundedPreceding, -1))  # a row a split
+    own = each.withColumn("before", F.coalesce(before, F.lit(0))).select(FILE, "first", "before", F.explode("hits").alias("h"))
+    return own.select(F.col(FILE).alias("file"), (F.col("before") + F.col(f"h.{ROW}") - F.col("first") + 1).alias("line_no"), "h.line")
+
+
+def latest_records(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """The last record of each key in JSON lines without a sequence column: later files by name, then later lines win. Lines that are no
+    record of the schema are left out."""
+    parsed = F.from_json("line", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = _lines(spark, path).withColumn("r", parsed).where("r is not null and r._corrupt is null")
+    names = [c for c in rows.select("r.*").columns if c != "_corrupt"]
+    last = rows.groupBy(*(F.col(f"r.{k}").alias(k) for k in keys)).agg(F.max_by("r", F.struct(FILE, SPLIT, ROW)).alias("r"))
+    return last.select(*(f"r.{c}" for c in names))
 
 
 def read_manifest_csv(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
