@@ -80,12 +80,21 @@ def hashed_uniform(*parts: Column) -> Column:
 
 
 def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
-    """(replicate, mean): each row has a Poisson weight in each replicate that depends on its key alone, so nothing is drawn and nothing is collected."""
-    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    u = hashed_uniform(F.col(key), F.col("replicate"), F.lit(seed))
-    weight = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
-    w = rows.select("replicate", "v", weight.alias("w"))
-    return w.groupBy("replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("mean"))
+    """(replicate, mean): each row has a Poisson weight in each replicate that depends on its key alone, so nothing is drawn and nothing is
+    collected. One aggregate holds the weighted sums of all replicates, so that a split of rows sends one row on, however many there are;
+    an MD5 of the key gives the weights of four replicates."""
+    blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // 4))
+    hashes = F.transform(blocks, lambda b: F.md5(F.concat_ws("|", F.col(key).cast("string"), b.cast("string"), F.lit(str(seed)))))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), hashes.alias("h"))
+
+    def weight(i: int) -> Column:
+        u = F.conv(F.substring(F.get("h", F.lit(i // 4)), 1 + 8 * (i % 4), 8), 16, 10).cast("double") / 4294967296.0
+        return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
+
+    weighed = rows.select("v", *(weight(i).alias(f"w{i}") for i in range(replicates)))
+    sums = weighed.agg(*(F.struct(F.sum(F.col(f"w{i}") * F.col("v")).alias("s"), F.sum(f"w{i}").alias("n")).alias(f"r{i}") for i in range(replicates)))
+    each = sums.select(F.posexplode(F.array(*(f"r{i}" for i in range(replicates)))).alias("replicate", "x"))
+    return each.select("replicate", F.try_divide("x.s", "x.n").alias("mean"))
 
 
 def bootstrap_band(df: DataFrame, key: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
@@ -94,17 +103,41 @@ def bootstrap_band(df: DataFrame, key: str, value: str, replicates: int, seed: i
     return df.agg(F.avg(value).alias("mean")).join(F.broadcast(band)).select("mean", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
 
 
-def kde2d(df: DataFrame, x: str, y: str, box: tuple[float, float, float, float], points: int) -> DataFrame:
-    """(gx, gy, density) on a grid over box (x from, x to, y from, y to): Gaussian, Scott's factor, mirrored at all four sides, summing to 1 over the
-    grid. Equal pairs are collapsed first."""
+def kde2d(df: DataFrame, x: str, y: str, box: tuple[float, float, float, float], points: int, bins: int = 128, circular: bool = False) -> DataFrame:
+    """(gx, gy, density) on a grid over box (x from, x to, y from, y to): Gaussian, Scott's factor, mirrored at the sides, summing to 1 over
+    the grid; with circular, x goes round instead.
+
+    A row adds to the four nearest nodes of a grid of bins, in proportion to its nearness (linear binning), which is counted where the rows
+    are. The kernel is a product, so it is applied along x first and then along y: bins * bins * points and bins * points * points terms,
+    however many rows there are.
+    """
     x0, x1, y0, y1 = map(float, box)
-    c = df.where(F.col(x).between(x0, x1) & F.col(y).between(y0, y1)).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("m"))
-    sd = lambda v: F.sqrt(F.sum(F.col("m") * F.col(v) * F.col(v)) / F.sum("m") - F.pow(F.sum(F.col("m") * F.col(v)) / F.sum("m"), 2))
-    scale = c.agg((sd("x") * F.pow(F.sum("m"), F.lit(-1 / 6))).alias("hx"), (sd("y") * F.pow(F.sum("m"), F.lit(-1 / 6))).alias("hy"))
-    line = lambda a, b: [a + (b - a) * i / (points - 1) for i in range(points)]
-    e = c.join(F.broadcast(scale)).select("*", _grid(line(x0, x1)).alias("gx")).withColumn("gy", _grid(line(y0, y1)))
-    k = lambda g, v, lo, hi, h: sum((F.exp(-0.5 * F.pow((F.col(g) - z) / F.col(h), 2)) for z in (2 * lo - F.col(v), 2 * hi - F.col(v))), F.exp(-0.5 * F.pow((F.col(g) - F.col(v)) / F.col(h), 2)))
-    s = e.groupBy("gx", "gy").agg(F.sum(F.col("m") * k("gx", "x", x0, x1, "hx") * k("gy", "y", y0, y1, "hy")).alias("s"))
+    c = df.where(F.col(x).between(x0, x1) & F.col(y).between(y0, y1)).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    scale = c.agg(*((F.stddev_pop(v) * F.pow(F.count(F.lit(1)), F.lit(-1 / 6))).alias(f"h{v}") for v in "xy"))
+    steps = bins if circular else bins - 1  # going round, the last node is the first
+
+    def sides(v: str, lo: float, hi: float, n: int, wrap: bool) -> Column:
+        at = (F.col(v) - lo) * (n / (hi - lo))
+        low = F.least(F.floor(at), F.lit(n - 1))
+        second = (low + 1) % n if wrap else low + 1
+        return F.array(F.struct(low.alias("i"), (low + 1 - at).alias("w")), F.struct(second.alias("i"), (at - low).alias("w")))
+
+    near = c.select(sides("x", x0, x1, steps, circular).alias("a"), sides("y", y0, y1, bins - 1, False).alias("b"))
+    pairs = F.flatten(F.transform("a", lambda p: F.transform("b", lambda q: F.struct(p["i"].alias("i"), q["i"].alias("j"), (p["w"] * q["w"]).alias("w")))))
+    cells = near.select(F.explode(pairs).alias("c")).groupBy("c.i", "c.j").agg(F.sum("c.w").alias("w")).where("w > 0")
+    line = lambda a, b: [a + (b - a) * k / (points - 1) for k in range(points)]
+    bell = lambda d, h: F.exp(-0.5 * F.pow(d / F.col(h), 2))
+
+    def kernel(g: str, v: Column, lo: float, hi: float, h: str, wrap: bool) -> Column:
+        images = (v, v - (hi - lo), v + (hi - lo)) if wrap else (v, 2 * lo - v, 2 * hi - v)
+        return sum((bell(F.col(g) - z, h) for z in images[1:]), bell(F.col(g) - images[0], h))
+
+    e = cells.join(F.broadcast(scale)).select("*", _grid(line(x0, x1)).alias("gx"))  # one row is broadcast
+    u = x0 + F.col("i") * ((x1 - x0) / steps)
+    across = e.groupBy("gx", "j").agg(F.sum(F.col("w") * kernel("gx", u, x0, x1, "hx", circular)).alias("w"))
+    e = across.join(F.broadcast(scale)).select("*", _grid(line(y0, y1)).alias("gy"))
+    v = y0 + F.col("j") * ((y1 - y0) / (bins - 1))
+    s = e.groupBy("gx", "gy").agg(F.sum(F.col("w") * kernel("gy", v, y0, y1, "hy", False)).alias("s"))
     return s.join(F.broadcast(s.agg(F.sum("s").alias("all")))).select("gx", "gy", (F.col("s") / F.col("all")).alias("density"))
 
 

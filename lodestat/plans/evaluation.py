@@ -245,18 +245,43 @@ def q9_07_select_bandwidth(t):
 _WEIGHT = " + ".join(f"(u >= {p!r})::INT" for p in D.POISSON)
 
 
-@query(f"WITH r AS (SELECT r, sum(w * v) / sum(w) AS mean FROM (SELECT v, r, {_WEIGHT} AS w FROM (SELECT p_retailprice AS v, r, ('0x' || substr(md5(concat_ws('|', CAST(p_partkey AS VARCHAR), CAST(r AS VARCHAR), '7')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM part, range(0, 100) x(r))) GROUP BY 1) SELECT round((SELECT avg(p_retailprice) FROM part), 4) AS mean, round(quantile_cont(mean, 0.025), 4) AS lo, round(quantile_cont(mean, 0.975), 4) AS hi FROM r")
+@query(f"WITH r AS (SELECT r, sum(w * v) / sum(w) AS mean FROM (SELECT v, r, {_WEIGHT} AS w FROM (SELECT p_retailprice AS v, r, ('0x' || substr(md5(concat_ws('|', CAST(p_partkey AS VARCHAR), CAST(r // 4 AS VARCHAR), '7')), 1 + 8 * (r % 4), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM part, range(0, 100) x(r))) GROUP BY 1) SELECT round((SELECT avg(p_retailprice) FROM part), 4) AS mean, round(quantile_cont(mean, 0.025), 4) AS lo, round(quantile_cont(mean, 0.975), 4) AS hi FROM r")
 def q9_08_bootstrap(t):
     return rounded(D.bootstrap_band(t("part"), "p_partkey", "p_retailprice", 100, 7), 4)
 
 
-@query("WITH c AS (SELECT p_size::DOUBLE AS x, p_retailprice / 40 AS y FROM part WHERE p_retailprice / 40 BETWEEN 20 AND 55), s AS (SELECT stddev_pop(x) * pow(count(*), -1.0 / 6) AS hx, stddev_pop(y) * pow(count(*), -1.0 / 6) AS hy FROM c), g AS (SELECT 1 + 49.0 * i / 15 AS gx, 20 + 35.0 * j / 15 AS gy FROM range(0, 16) r(i), range(0, 16) q(j)), k AS (SELECT gx, gy, sum((exp(-0.5 * ((gx - x) / hx) ** 2) + exp(-0.5 * ((gx - 2 + x) / hx) ** 2) + exp(-0.5 * ((gx - 100 + x) / hx) ** 2)) * (exp(-0.5 * ((gy - y) / hy) ** 2) + exp(-0.5 * ((gy - 40 + y) / hy) ** 2) + exp(-0.5 * ((gy - 110 + y) / hy) ** 2))) AS s FROM c, s, g GROUP BY 1, 2) SELECT round(gx, 4) AS gx, round(gy, 4) AS gy, round(s / sum(s) OVER (), 6) AS density FROM k")
-def q9_09_kde2d(t):
+def _binned(wrap: bool) -> str:
+    """Linear binning on 128 nodes a side, and the mirrored (or circular) product kernel at 16 x 16 points."""
+    n, second = (128, "(i + 1) % 128") if wrap else (127, "i + 1")
+    kx = " + ".join(f"exp(-0.5 * ((gx - ({z})) / hx) ** 2)" for z in (("u", "u - 49", "u + 49") if wrap else ("u", "2 - u", "100 - u")))
+    ky = " + ".join(f"exp(-0.5 * ((gy - ({z})) / hy) ** 2)" for z in ("v", "40 - v", "110 - v"))
+    return (
+        "WITH c AS (SELECT p_size::DOUBLE AS x, p_retailprice / 40 AS y FROM part WHERE p_retailprice / 40 BETWEEN 20 AND 55), s AS (SELECT stddev_pop(x) * pow(count(*), -1.0::DOUBLE / 6) AS hx, stddev_pop(y) * pow(count(*), -1.0::DOUBLE / 6) AS hy FROM c), "
+        f"p AS (SELECT (x - 1) * {n} / 49 AS a, (y - 20) * 127 / 35 AS b FROM c), f AS (SELECT a, b, least(floor(a), {n - 1})::BIGINT AS i, least(floor(b), 126)::BIGINT AS j FROM p), "
+        f"w AS (SELECT i, j, (i + 1 - a) * (j + 1 - b) AS w FROM f UNION ALL SELECT {second}, j, (a - i) * (j + 1 - b) FROM f UNION ALL SELECT i, j + 1, (i + 1 - a) * (b - j) FROM f UNION ALL SELECT {second}, j + 1, (a - i) * (b - j) FROM f), "
+        f"m AS (SELECT 1 + 49.0::DOUBLE * i / {n} AS u, 20 + 35.0::DOUBLE * j / 127 AS v, sum(w) AS w FROM w GROUP BY i, j), "
+        f"k AS (SELECT gx, gy, sum(w * ({kx}) * ({ky})) AS z FROM m, s, (SELECT 1 + 49.0::DOUBLE * q / 15 AS gx FROM range(0, 16) r(q)), (SELECT 20 + 35.0::DOUBLE * q / 15 AS gy FROM range(0, 16) r(q)) GROUP BY 1, 2) "
+        "SELECT round(gx, 4) AS gx, round(gy, 4) AS gy, round(z / sum(z) OVER (), 6) AS density FROM k"
+    )
+
+
+def _kde2d(t, circular):
     p = t("part").select("p_size", (F.col("p_retailprice") / 40).alias("y"))
-    out = D.kde2d(p, "p_size", "y", (1, 50, 20, 55), 16)
+    out = D.kde2d(p, "p_size", "y", (1, 50, 20, 55), 16, circular=circular)
     return out.select(F.round("gx", 4).alias("gx"), F.round("gy", 4).alias("gy"), F.round("density", 6).alias("density"))
 
 
+@query(_binned(False))
+def q9_09_kde2d(t):
+    return _kde2d(t, False)
+
+
+@query(_binned(True))
+def q9_09_kde2d_circular(t):
+    """The first axis goes round."""
+    return _kde2d(t, True)
+
+
 @stream_query(None)
 def q9_10_ipf(spark, d):
     """Parts by container and size class, fitted to even marginals."""
