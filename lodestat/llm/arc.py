@@ -27,7 +27,7 @@ FIELDS = {
     "2": ["url", "ip", "date", "type", "status", "checksum", "location", "offset", "filename", "length"],
 }
 ID_FIELD, REF_FIELD = "X-Row-Id", "X-Refers-To-Row-Id"
-RECORDS_PER_FILE = 2000
+RECORDS_PER_FILE, FILE_BYTES = 2000, 512 << 20
 RECORD = "arc_version string, id string, url string, timestamp string, mime string, status int, head binary, payload binary, payload_bytes long, payload_digest string, block_digest string"
 
 
@@ -135,17 +135,21 @@ def warc_records(records: DataFrame, min_bytes: int = 0, id_type: str = "long")
     # only digests that come twice are joined, as short rows; while they are few, no payload is shuffled
     short = named.select("_id", "payload_digest", "payload_bytes").where((F.col("payload_bytes") >= min_bytes) & F.col("_id").isNotNull())
     first = short.groupBy("payload_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    first = small(materialize(first, "repeated"))
-    out = named.join(first.withColumnRenamed("payload_digest", "_d"), (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") >= min_bytes), "left")
-    again = F.col("_first").isNotNull() & (F.col("_id") != F.col("_first"))
+    again = short.join(first, "payload_digest").where(F.col("_id") != F.col("_first")).select(F.col("_id").alias("_again"), F.col("payload_digest").alias("_d"), "_first").distinct()
+    # by id, not by digest: beyond the broadcast, records with one payload would meet in a task
+    again = small(materialize(again, "repeated"))
+    out = named.join(again, (F.col("_id") == F.col("_again")) & (F.col("payload_digest") == F.col("_d")), "left")
+    again = F.col("_first").isNotNull()
     uuid = lambda c: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(c), "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-3$3-8$4-$5"), F.lit(">"))
     name = lambda i: uuid(F.concat_ws(" ", i.cast("string"), "payload_digest").cast("binary"))
     refers = F.when(again, F.col("_first"))
     return out.select(*records.columns, name(F.col("_id")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), refers.alias("refers_to"), F.when(again, name(F.col("_first"))).alias("refers_to_record"))
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Writes warc_records() as gzipped WARC files. A revisit holds the HTTP head alone and names its response; payload digest and length are
+def write_warc(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES, bound: int | None = None) -> None:
+    """Writes warc_records() as gzipped WARC files of at most per_file records and about file_bytes of payload; a larger record has a file of
+    its own. Records are written by classes of size, of which most tables have one; bound is the
+    largest payload, if it is known. A revisit holds the HTTP head alone and names its response; payload digest and length are
     those of the full payload. The files are bytes: no record is decoded on the way."""
     again, r = F.col("record_type") == "revisit", "\r\n"
     body = F.when(again, F.col("head")).otherwise(F.concat("head", "payload"))
@@ -166,8 +170,16 @@ def write_warc(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE)
         field("Content-Length", F.length("b")),
         F.lit(r),
     )
-    whole = records.withColumn("b", body).select(F.concat(top.cast("binary"), F.col("b")).cast("string").alias("value"))
-    whole.write.option("lineSep", r + r).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    whole = records.withColumn("b", body).select("payload_bytes", F.concat(top.cast("binary"), F.col("b")).cast("string").alias("value"))
+    steps = [per_file]
+    while steps[-1] > 1:
+        steps.append(max(1, steps[-1] // 16))
+    limits = [file_bytes // k for k in steps[:-1]]  # a class's largest payload; the last has no limit
+    size = sum((F.when(F.col("payload_bytes") > x, 1).otherwise(0) for x in limits[1:]), F.when(F.col("payload_bytes") > limits[0], 1).otherwise(0)) if limits else F.lit(0)
+    classes = {0} if bound is not None and limits and bound <= limits[0] else set(range(len(steps)))
+    for i in sorted(classes):
+        own = whole if classes == {0} else whole.where(size == i)
+        own.select("value").write.mode("append").option("lineSep", r + r).option("compression", "gzip").option("maxRecordsPerFile", steps[i]).text(path)
 
 
 def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -221,12 +233,13 @@ def convert(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     Null html is an empty payload, which counts as a payload of 0 bytes. A null url becomes "unknown:". Rows that repeat a key and payload are
     responses with the same least key. A page without a key is a response. An empty table gives an empty table. Other columns are not read.
-    A WARC file is read as one value, so per_file times the mean page must stay well below 2 GB.
+    A WARC file is read as one value; write_warc() keeps it far below 2 GB, but for a single larger page.
     """
     spark, kind = pages.sparkSession, pages.schema[key].dataType.simpleString()
     path = new_path(spark, "warc")
     records = arc_records(arc_archives(pages, key, url, html))
-    write_warc(warc_records(records, min_bytes, kind), path, per_file)
+    largest = pages.agg(F.max(F.octet_length(html))).first()[0] or 0
+    write_warc(warc_records(records, min_bytes, kind), path, per_file, bound=largest)
     files = spark.read.format("binaryFile").load(path)
     return read_warc(files).select(F.col("id").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 

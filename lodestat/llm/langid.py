@@ -8,6 +8,7 @@ likelihood less PENALTY * log(n-grams) for each language. The prediction is the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from lodestat.llm.common import held_out, sliced
 
-BITS, ALPHA, ROUNDS, PENALTY = 15, 0.5, 12, 2.0
+BITS, ALPHA, PENALTY = 15, 0.5, 2.0
+#: How near EM comes to the greatest log-likelihood, and the number of languages up to which all sets are tried.
+GAP, ALL_SETS = 0.05, 6
 #: Everything in ASCII but a-z becomes a blank.
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -60,32 +63,50 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = BIT
     return names, np.log(table / table.sum(axis=0)) if names else table
 
 
-def mixture(at: np.ndarray, n: np.ndarray, log_p: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> np.ndarray:
-    """Shares of the languages in a document; those outside the chosen set have 0."""
+def mixture(at: np.ndarray, n: np.ndarray, log_p: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """Shares of the languages in a document; those outside the set of best penalised likelihood have 0.
+
+    EM goes on until the likelihood is within GAP of its maximum: the largest factor by which a share would grow bounds what can still be
+    gained. The same bound ends the search for sets that cannot win; that of all languages rules out every set of several at once for most
+    documents. Up to ALL_SETS languages every set is tried, beyond it those that are left when the smallest share goes, one after another."""
     own = log_p[at]
     single = n @ own
-    p = np.exp(own - own.max(axis=1, keepdims=True))
-    cost = penalty * np.log(n.sum() + 1)
+    top = own.max(axis=1)
+    p, total, most = np.exp(own - top[:, None]), n.sum(), n @ top
+    cost = penalty * np.log(total + 1)
 
-    def shares(chosen: np.ndarray) -> tuple[np.ndarray, float]:
+    def shares(chosen: tuple[int, ...], size: int, value: float) -> tuple[np.ndarray, float] | None:
+        """Shares and likelihood of a set; None if it is certain that less the cost of `size` languages it does not exceed value."""
         q, part = np.full(len(chosen), 1 / len(chosen)), p[:, chosen]
-        for _ in range(rounds):
-            q = q * (part.T @ (n / np.maximum(part @ q, 1e-300))) / n.sum()
-        return q, float(n @ (np.log(np.maximum(part @ q, 1e-300)) + own.max(axis=1)))
-
-    everything = np.arange(log_p.shape[1])
-    out = np.zeros(len(everything))
-    best = int(single.argmax())
+        while True:
+            mix = np.maximum(part @ q, 1e-300)
+            grow = part.T @ (n / mix) / total
+            fit_, gap = float(n @ np.log(mix) + most), float(total * np.log(max(grow.max(), 1.0)))
+            if fit_ + gap - size * cost <= value:
+                return None
+            if gap < GAP:
+                return q, fit_
+            q = q * grow / (q @ grow)
+
+    count = log_p.shape[1]
+    out, best = np.zeros(count), int(single.argmax())
     out[best], value = 1.0, single[best] - cost
-    if len(everything) > 1:
-        q, _ = shares(everything)
-        order = np.argsort(-q, kind="stable")
-        for k in range(2, int((q > 0.02).sum()) + 1):
-            part, fit_ = shares(order[:k])
-            if fit_ - k * cost <= value:
-                break
-            value, out = fit_ - k * cost, np.zeros(len(everything))
-            out[order[:k]] = part
+    every = tuple(range(count))
+    found = shares(every, 2, value) if count > 1 else None
+    if found is None:
+        return out
+    if count <= ALL_SETS:
+        sets = [c for k in range(2, count + 1) for c in combinations(every, k)]
+    else:
+        sets, q = [every], found[0]
+        while len(sets[-1]) > 2:
+            sets.append(tuple(x for x, _ in sorted(zip(sets[-1], q, strict=True), key=lambda y: -y[1])[:-1]))
+            q = shares(sets[-1], 0, -np.inf)[0]
+    for chosen in sets:
+        found = shares(chosen, len(chosen), value)
+        if found is not None and found[1] - len(chosen) * cost > value:
+            value, out = found[1] - len(chosen) * cost, np.zeros(count)
+            out[list(chosen)] = found[0]
     return out
 
 

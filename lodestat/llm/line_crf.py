@@ -150,17 +150,35 @@ def fit(features: list[np.ndarray], labels: np.ndarray, lengths: list[np.ndarray
     return Field(theta[:width], theta[width:].reshape(2, 2))
 
 
+def chosen(sizes: list[tuple], lines: int) -> list:
+    """Keys of (key, label, lines), in their order, that training uses: up to half of the lines for each label. A document that alone has
+    more than a sixteenth of all lines, or that no longer fits, is passed over, and the next is looked at; a label that has no other
+    document gets its shortest."""
+    out = []
+    for y in (0, 1):
+        own, left = [(k, n) for k, label, n in sizes if label == y], lines // 2
+        kept = []
+        for k, n in own:
+            if n <= min(left, max(1, lines // 16)):
+                kept.append(k)
+                left -= n
+        out += kept or [k for k, n in sorted(own, key=lambda x: x[1])[:1] if n <= lines]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> Field:
-    """Fits the field on `most` labelled documents at most, those with the least hashes of the key, each whole. Of them as many, in this
-    order, as have `lines` lines together, but one at least. Of rows that repeat a key, the one with the least hash of the text counts. The
+    """Fits the field on `most` labelled documents at most, half of them of each label, those with the least hashes of the key, each whole; of
+    these, on those that chosen() takes for `lines` lines. Of rows that repeat a key, the one with the least hash of the text counts. The
     sample bounds what the driver holds; fitting uses its whole texts."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
-    ids = docs.select(key).distinct().join(known, key).orderBy(F.xxhash64(key), key).limit(most)
+    there = docs.select(key).distinct().join(known, key)
+    half = lambda y: there.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(most // 2)
+    ids = half(0).union(half(1))
     t = F.coalesce(F.col(text), F.lit(""))
     one = docs.select(key, t.alias("t")).join(F.broadcast(ids), key).groupBy(F.col(key).alias("k"), F.col("y").cast("int").alias("y")).agg(F.min_by("t", F.xxhash64("t")).alias("t"))
     one = materialize(one, "sample")
-    sizes = one.select("k", (F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))) + 1).alias("n")).orderBy(F.xxhash64("k"), "k").collect()
-    used = max(1, int(np.searchsorted(np.cumsum([r.n for r in sizes]), lines, "right")))
+    sizes = one.select("k", "y", (F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))) + 1).alias("n")).orderBy(F.xxhash64("k"), "k").collect()
+    used = docs.sparkSession.createDataFrame([(k,) for k in chosen([tuple(r) for r in sizes], lines)], f"k {docs.schema[key].dataType.simpleString()}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "t", 4_000_000):
@@ -168,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), pa.array([x.ravel() for x, _ in own], pa.list_(pa.float64())), pa.array([n for _, n in own], pa.list_(pa.int64()))], names=["k", "y", "x", "n"])
 
     kind = docs.schema[key].dataType.simpleString()
-    sample = one.orderBy(F.xxhash64("k"), "k").limit(used)
+    sample = one.join(F.broadcast(used), "k")
     got = sorted(sample.mapInArrow(run, f"k {kind}, y int, x array<double>, n array<long>").collect(), key=lambda r: r.k)
     return fit([line_features(np.array(r.x).reshape(-1, OWN)) for r in got], np.array([r.y for r in got]), [np.array(r.n, float) for r in got])
 

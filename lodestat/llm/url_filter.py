@@ -31,7 +31,7 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """The longest fitting rule as struct(rule, verdict), or null; the first of equals. A rule fits its host and all subdomains."""
+    """The longest fitting rule as struct(rule, verdict), or null; the last of equals. A rule fits its host and all subdomains."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -56,7 +56,8 @@ def grams(url: Column, order: int) -> Column:
 
 
 def model(urls: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, w) for every gram of urls(url, verdict): w = log p_accepted - log p_rejected of its last symbol in its context."""
+    """(g, w) for every gram of urls(url, verdict): w = log p_accepted - log p_rejected of its last symbol in its context. Urls without a verdict
+    are not counted; a gram that only they have backs off to its last symbols."""
     each = urls.select(F.explode(grams(F.col("url"), order)).alias("g"), (F.col("verdict") == "allow").cast("int").alias("a"), (F.col("verdict") == "block").cast("int").alias("r"))
     full = materialize(each.groupBy("g").agg(F.sum(F.coalesce("a", F.lit(0))).alias("a"), F.sum(F.coalesce("r", F.lit(0))).alias("r")), "grams")
     below = None
@@ -105,7 +106,8 @@ def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     rows = rows.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("k", "url"))
     named = rows.withColumns({"host": h, "path": p}).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("verdict", F.col("fit.verdict"))
     held = F.pmod(F.xxhash64("url"), F.lit(HELD)) == 0
-    table = small(materialize(model(named.where(~F.coalesce(held, F.lit(False))), order), "model"), ALPHABET ** (order + 1))
+    # urls that are held out add no counts, but their grams are in the table, with what smoothing gives them
+    table = small(materialize(model(named.withColumn("verdict", F.when(~F.coalesce(held, F.lit(False)), F.col("verdict"))), order), "model"), (ALPHABET + 1) ** (order + 1))
     # the gram rows of a url stay in its task until they are added up, so only one row a url is shuffled
     each = named.select("k", "url", F.explode(grams(F.col("url"), order)).alias("g")).join(table, "g").groupBy("k", "url").agg((F.sum(F.round("w", 9).cast("decimal(20,9)")) / F.count(F.lit(1))).cast("double").alias("score"))
     scored = materialize(named.join(each.withColumnsRenamed({"k": "k2", "url": "url2"}), F.col("k").eqNullSafe(F.col("k2")) & (F.col("url") == F.col("url2")), "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6)), "scores")

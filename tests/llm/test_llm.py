@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 llm = pytest.importorskip("lodestat.llm")
 
@@ -563,6 +564,129 @@ def test_odd_tables(spark, odd_tables, name):
     assert OPERATORS[name](docs.limit(0), bench.limit(0), labels.limit(0)).count() == 0
 
 
+# mended
+
+
+def test_url_model_backs_off_for_grams_of_held_urls(spark):
+    """Scores, threshold and verdicts against a plain recursion, with urls whose grams no other url has."""
+    rng = np.random.default_rng(8)
+    word = lambda k, a: "".join(rng.choice(list(a), k))
+    urls = [f"http://{word(3, 'abcd')}.com/{word(6, 'abcde')}" for _ in range(40)] + [f"http://example.com/en/{word(6, 'xyz9')}" for _ in range(40)] + [f"http://n{i}.net/es/{word(5, 'klm')}" for i in range(30)] + [f"http://q{i}.org/{'q' * i}" for i in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    held = {r.page_id for r in pages.where(F.pmod(F.xxhash64("url"), F.lit(url_filter.HELD)) == 0).collect()}
+    order, text = url_filter.ORDER, lambda u: "^" * url_filter.ORDER + re.sub("[^a-z0/.:_?=&%#~+-]", "*", re.sub("[0-9]", "0", u.lower()))
+    grams = lambda u: [text(u)[i : i + order + 1] for i in range(len(u))]
+    rule = lambda i: got[i].verdict if got[i].rule else None
+    counts = {v: Counter(g for i, u in enumerate(urls) if i not in held and rule(i) == v for g in grams(u)) for v in ("allow", "block")}
+
+    def p(v, g):
+        if not g:
+            return 1 / url_filter.ALPHABET
+        back = p(v, g[1:])
+        own = Counter()
+        for x, n in counts[v].items():
+            own[x[-1]] += n if x.endswith(g[:-1] + x[-1]) and x[order + 1 - len(g) : order] == g[:-1] else 0
+        own = +own
+        return (own[g[-1]] + len(own) * back) / (sum(own.values()) + len(own)) if own else back
+
+    w = {g: np.log(p("allow", g)) - np.log(p("block", g)) for u in urls for g in grams(u)}
+    seen = set(counts["allow"]) | set(counts["block"])
+    assert any(g not in seen for i in held for g in grams(urls[i]))
+    score = [np.mean([w[g] for g in grams(u)]) for u in urls]
+    assert np.allclose([got[i].score for i in range(len(urls))], score, atol=2e-6)
+    pairs = [(got[i].score, rule(i)) for i in held if rule(i)]
+    assert {v for _, v in pairs} == {"allow", "block"}
+    cut = min(sorted({np.floor(s / url_filter.BIN) * url_filter.BIN for s, _ in pairs}), key=lambda c: (round(np.mean([s < c for s, v in pairs if v == "allow"]) + np.mean([s >= c for s, v in pairs if v == "block"]), 9), c))
+    assert all(got[i].verdict == ("allow" if got[i].score >= cut - 1e-9 else "block") for i in range(len(urls)) if not rule(i))
+
+
+def test_one_long_document_does_not_use_up_the_sample(spark):
+    rng = np.random.default_rng(2)
+    good = lambda: "\n".join(" ".join("".join(rng.choice(list("etaoin"), 5)) for _ in range(12)) + "." for _ in range(4))
+    bad = lambda: "\n".join("".join(rng.choice(list("#$%&*<>|0123"), 30)) for _ in range(4))
+    rows = [(i, good() if i % 2 else bad(), i % 2) for i in range(46)]
+    plain = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    first = plain.orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    long = [(i, "short line\n" * 400_000 if i == first else t) for i, t, _ in rows]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    for docs in (plain, spark.createDataFrame(long, "doc_id long, text string")):
+        field = line_crf.train(docs, labels)
+        scores = {r.doc_id: r.score for r in line_crf.classify(plain, field).collect()}
+        assert all((scores[i] > 0.7) == bool(y) for i, _, y in rows)
+    assert line_crf.chosen([(1, 0, 900), (2, 0, 10), (3, 1, 5000), (4, 0, 11)], 1000) == [2, 4]
+    assert line_crf.chosen([(1, 0, 900), (3, 1, 100)], 1000) == [1, 3]
+
+
+def test_language_sets_equal_exhaustive_search():
+    rng = np.random.default_rng(11)
+    from itertools import combinations
+
+    for _ in range(25):
+        log_p = np.log(rng.dirichlet(np.ones(60) * 0.3, 4).T + 1e-6)
+        true = rng.dirichlet(np.ones(4) * 0.4)
+        n = rng.multinomial(int(rng.integers(20, 2000)), np.exp(log_p) @ true / (np.exp(log_p) @ true).sum()).astype(float)
+        at = np.flatnonzero(n)
+        got = langid.mixture(at, n[at], log_p)
+        p, cost = np.exp(log_p[at]), langid.PENALTY * np.log(n.sum() + 1)
+
+        def value(chosen):
+            q = np.full(len(chosen), 1 / len(chosen))
+            for _ in range(3000):
+                q = q * (p[:, chosen].T @ (n[at] / (p[:, chosen] @ q))) / n.sum()
+            return n[at] @ np.log(p[:, chosen] @ q) - len(chosen) * cost
+
+        best = {c: value(list(c)) for k in range(1, 5) for c in combinations(range(4), k)}
+        assert best[tuple(np.flatnonzero(got))] >= max(best.values()) - 2 * langid.GAP
+
+
+def test_warc_files_end_by_bytes(spark, tmp_path):
+    import os
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", ("x" * (40_000 if i % 10 == 0 else 100)) + str(i)) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    records = arc.warc_records(arc.arc_records(arc.arc_archives(pages, "page_id", "url", "html")), 0, "long")
+    arc.write_warc(records, f"{tmp_path}/w", per_file=64, file_bytes=200_000)
+    back = arc.read_warc(spark.read.format("binaryFile").load(f"{tmp_path}/w").select("content")).collect()
+    assert sorted(int(r.id) for r in back) == list(range(200))
+    import gzip
+    import glob
+
+    sizes = [len(gzip.open(f).read()) for f in glob.glob(f"{tmp_path}/w/*.gz")]
+    assert max(sizes) < 300_000 and os.path.isdir(f"{tmp_path}/w")
+
+
+def test_records_with_one_payload_do_not_meet_beyond_the_broadcast(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "http://h/", "" if i % 3 else str(i % 9)) for i in range(90)], "page_id long, url string, html string")
+    want = sorted(map(tuple, arc.convert(pages).collect()))
+    monkeypatch.setattr(arc, "small", lambda df, rows=0: df)
+    assert sorted(map(tuple, arc.convert(pages).collect())) == want
+
+
+def test_added_white_space_and_kept_chunks_do_not_change_ids():
+    import public_tokenizers
+
+    e = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", " ", "a b  c\n d", " lead", "trail ", "x y z", "a\tb c <|endoftext|> d", "Ġ Ġa b", "\U0001f600 \U0001f600 é è", "w " * 500, "\x1c a \x1d b"]
+    assert e(texts) == e.encode(texts) == e(texts)
+
+
+def test_recall_of_pairs_from_eight_tenths_on(spark):
+    rng = np.random.default_rng(21)
+    texts, pairs = [], []
+    for _ in range(150):
+        words = [f"v{x}" for x in rng.integers(0, 100000, int(rng.integers(80, 300)))]
+        other = list(words)
+        for at in rng.choice(len(words), int(rng.integers(1, max(2, len(words) // 45))), False):
+            other[at] = "changed"
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        pairs.append(sum((a & b).values()) / sum((a | b).values()))
+        texts += [" ".join(words), " ".join(other)]
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs_of(spark, texts)).select("doc_id", "class_id").collect()}
+    for i, s in enumerate(pairs):
+        assert (got[2 * i] == got[2 * i + 1]) == (s >= 0.8), s
+    assert sum(0.8 <= s < 0.9 for s in pairs) > 15
+
+
 # pipeline
 
 
