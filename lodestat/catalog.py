@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestat.operators import tables
-from lodestat.plans import cases, compare, core, evaluation, files, geometry, profiles, registry, shapes, streams  # noqa: F401
+from lodestat.plans import audits, cases, compare, core, evaluation, files, geometry, profiles, registry, shapes, streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

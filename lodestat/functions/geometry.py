@@ -179,6 +179,14 @@ def edge_cv(points: Column, edges: list[tuple[int, int]]) -> Column:
     return F.try_divide(F.sqrt(_mean(F.transform(lengths, lambda x: (x - mean) * (x - mean)))), mean)
 
 
+def edge_ratio_check(points: Column, first: list[tuple[int, int]], second: list[tuple[int, int]], wanted: float, tolerance: float) -> Column:
+    """(ratio, ok): mean length of the first edges over that of the second, and whether it lies within a share of what is wanted; ok is false
+    where an edge's end is unknown or the second edges have no length."""
+    length = lambda edges: _mean(F.array(*(distance(points[a], points[b]) for a, b in edges)))
+    ratio = F.try_divide(length(first), length(second))
+    return F.struct(ratio.alias("ratio"), F.coalesce(F.abs(ratio / wanted - 1) <= tolerance, F.lit(False)).alias("ok"))
+
+
 def flip_consistency(points: Column, flipped: Column, order: list[int], width: float) -> Column:
     """Mean distance between points and those found in the mirrored image, mirrored back and put in order."""
     back = F.array(*(F.array(F.lit(float(width)) - flipped[i][0], flipped[i][1]) for i in order))

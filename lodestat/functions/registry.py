@@ -10,6 +10,7 @@ from lodestat.functions.scalars import count_true
 
 CONDITIONS: dict[str, Callable[[], Column]] = {}
 METRICS: dict[str, Callable[[], Column]] = {}
+BINS: dict[str, Callable[[], Column]] = {}
 
 
 def register_condition(name: str, make: Callable[[], Column]) -> None:
@@ -22,9 +23,14 @@ def register_metric(name: str, make: Callable[[], Column]) -> None:
     METRICS[name] = make
 
 
-def evaluate(df: DataFrame, by: list[str], conditions: list[str], metrics: list[str]) -> DataFrame:
-    """Rows that pass each condition, and the measures, by group, in one aggregate."""
-    return df.groupBy(*by).agg(*(count_true(CONDITIONS[c]()).alias(c) for c in conditions), *(METRICS[m]().alias(m) for m in metrics))
+def register_bin(name: str, make: Callable[[], Column]) -> None:
+    """make() gives a label to group by."""
+    BINS[name] = make
+
+
+def evaluate(df: DataFrame, by: list[str], conditions: list[str], metrics: list[str], bins: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that pass each condition, and the measures, by group and bin, in one aggregate."""
+    return df.groupBy(*by, *(BINS[b]().alias(b) for b in bins)).agg(*(count_true(CONDITIONS[c]()).alias(c) for c in conditions), *(METRICS[m]().alias(m) for m in metrics))
 
 
 def register_sql(spark: SparkSession) -> None:

@@ -49,13 +49,13 @@ def maximin(df: DataFrame, key: str, features: list[Column], k: int, save: Calla
     picks = []
     for i in range(k):
         table = save(table) if save else table
-        top = table.agg(F.max(F.struct("d", (-F.col(key)).alias("o"), "z")).alias("t")).select("t.*").first()
-        if top is None or top.d is None:
+        top = table.agg(F.min(F.struct((-F.col("d")).alias("o"), F.col(key).alias("key"), "z")).alias("t")).select("t.*").first()
+        if top is None or top.o is None:
             break
-        picks.append((i, -top.o, float(top.d)))
+        picks.append((i, top.key, float(-top.o)))
         away = far(F.col("z"), F.array(*(F.lit(float(x)) for x in top.z)))
         table = table.withColumn("d", away if i == 0 else F.least("d", away))
-    return df.sparkSession.createDataFrame(picks, f"pick int, {key} long, distance double")
+    return df.sparkSession.createDataFrame(picks, f"pick int, {key} {df.schema[key].dataType.simpleString()}, distance double")
 
 
 def lognormal_mass(lo: Column, hi: Column, mu: float, sigma: float, floor: float = 1e-9) -> Column:

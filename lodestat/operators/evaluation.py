@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lodestat.functions.geometry import distance
 from lodestat.functions.scalars import count_true
+from lodestat.operators.tables import agg_percentiles
 
 
 def rule_audit(df: DataFrame, rules: dict[str, tuple[Column, Column, float]]) -> DataFrame:
@@ -109,9 +110,13 @@ def auc(df: DataFrame, error: Column, most: float, steps: int = 100) -> DataFram
 
 
 def pose_summary(df: DataFrame, add: Column, correct: Column, shift: Column, turn: Column) -> DataFrame:
-    """One row: n, mean ADD, share correct, share under 5 cm and 5 degrees, mean errors."""
+    """One row: n, mean and median ADD, share correct, share under 5 cm and 5 degrees, mean errors."""
     ok = (shift < 0.05) & (turn < 5)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(add).alias("mean_add"), F.avg(F.when(correct, 1.0).otherwise(0.0)).alias("rate"), F.avg(F.when(ok, 1.0).otherwise(0.0)).alias("rate_5cm_5deg"), F.avg(shift).alias("mean_shift"), F.avg(turn).alias("mean_turn"))
+    out = agg_percentiles(
+        df, [], add, [0.5], F.count(F.lit(1)).alias("n"), F.avg(add).alias("mean_add"), F.avg(F.when(correct, 1.0).otherwise(0.0)).alias("rate"),
+        F.avg(F.when(ok, 1.0).otherwise(0.0)).alias("rate_5cm_5deg"), F.avg(shift).alias("mean_shift"), F.avg(turn).alias("mean_turn"),
+    )
+    return out.select("n", "mean_add", F.get("q", F.lit(0)).alias("median_add"), "rate", "rate_5cm_5deg", "mean_shift", "mean_turn")
 
 
 def convergence(rounds: DataFrame, order: str, rate: str, eps: float = 0.01, patience: int = 3) -> DataFrame:

@@ -27,10 +27,9 @@ def joint_fill(df: DataFrame, row: Column, col: str, cells: int) -> DataFrame:
 
 def bin_profile(df: DataFrame, by: Column, accepted: Column, value: str) -> DataFrame:
     """n, accept rate and the accepted rows' median and 95 % quantile of value by bin."""
-    kept = F.when(accepted, F.col(value))
-    return df.groupBy(by.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), S.share_true(accepted).alias("accept_rate"), F.percentile(kept, 0.5).alias("q50"), F.percentile(kept, 0.95).alias("q95")
-    )
+    rows = df.withColumn("bin", by)
+    out = agg_percentiles(rows, ["bin"], F.when(accepted, F.col(value)), [0.5, 0.95], F.count(F.lit(1)).alias("n"), S.share_true(accepted).alias("accept_rate"))
+    return out.select("bin", "n", "accept_rate", F.get("q", F.lit(0)).alias("q50"), F.get("q", F.lit(1)).alias("q95"))
 
 
 def yields(df: DataFrame, delivered: Column, denominators: dict[str, Column]) -> DataFrame:
@@ -67,10 +66,9 @@ def coverage(df: DataFrame, value: str, edges: list[float], least: float) -> Dat
 
 def dataset_stats(df: DataFrame, value: str, key: str) -> DataFrame:
     """Long table of counts, distinct keys and quantiles."""
-    stats = df.agg(
-        F.count(F.lit(1)).cast("double").alias("rows"), F.count_distinct(key).cast("double").alias("distinct_keys"),
-        F.min(value).alias("min"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.95).alias("p95"), F.max(value).alias("max"),
-    )
+    counts = (F.count(F.lit(1)).cast("double").alias("rows"), F.count_distinct(key).cast("double").alias("distinct_keys"), F.min(value).alias("min"), F.max(value).alias("max"))
+    stats = agg_percentiles(df, [], value, [0.5, 0.95], *counts)
+    stats = stats.select("rows", "distinct_keys", "min", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p95"), "max")
     return stats.unpivot([], stats.columns, "statistic", "value")
 
 
@@ -89,13 +87,14 @@ def select_seed(df: DataFrame, by: str, score: str, key: str, gap: Column) -> Da
     return df.where(gap).withColumn("_r", F.row_number().over(order)).where("_r = 1").select(by, key, score)
 
 
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
 def profile(df: DataFrame, value: str, lo: float, hi: float) -> DataFrame:
-    """valid, missing and outside counts, quartiles and mean; values outside the domain stay in the quantiles."""
+    """valid, missing and outside counts, the 5, 25, 50, 75 and 95 % quantiles and the mean; values outside the domain stay in the quantiles."""
     v = S.present(F.col(value))
-    return df.agg(
-        F.count(v).alias("valid"), F.count_if(v.isNull()).alias("missing"), F.count_if((v < lo) | (v > hi)).alias("outside"),
-        *(F.percentile(v, q).alias(f"q{int(100 * q):02d}") for q in (0.25, 0.5, 0.75)), F.avg(v).alias("mean"),
-    )
+    out = agg_percentiles(df, [], v, list(QUANTILES), F.count(v).alias("valid"), F.count_if(v.isNull()).alias("missing"), F.count_if((v < lo) | (v > hi)).alias("outside"), F.avg(v).alias("mean"))
+    return out.select("valid", "missing", "outside", *(F.get("q", F.lit(i)).alias(f"q{int(100 * q):02d}") for i, q in enumerate(QUANTILES)), "mean")
 
 
 def completion_status(df: DataFrame, key: str, usable: Column, n: int, cap: int) -> DataFrame:

@@ -131,7 +131,7 @@ def q4_40_auc(t):
     return rounded(E.auc(t("lineitem"), F.col("l_discount"), 0.1), 4)
 
 
-@query("SELECT count(*) AS n, round(avg(l_discount), 6) AS mean_add, round(avg((l_discount < 0.03)::INT), 6) AS rate, round(avg((l_discount < 0.05 AND l_quantity < 5)::INT), 6) AS rate_5cm_5deg, round(avg(l_discount), 6) AS mean_shift, round(avg(l_quantity), 6) AS mean_turn FROM lineitem")
+@query("SELECT count(*) AS n, round(avg(l_discount), 6) AS mean_add, round(quantile_cont(l_discount, 0.5), 6) AS median_add, round(avg((l_discount < 0.03)::INT), 6) AS rate, round(avg((l_discount < 0.05 AND l_quantity < 5)::INT), 6) AS rate_5cm_5deg, round(avg(l_discount), 6) AS mean_shift, round(avg(l_quantity), 6) AS mean_turn FROM lineitem")
 def q4_40_pose_summary(t):
     return rounded(E.pose_summary(t("lineitem"), F.col("l_discount"), F.col("l_discount") < 0.03, F.col("l_discount"), F.col("l_quantity")))
 
@@ -282,7 +282,14 @@ def q9_09_kde2d_circular(t):
     return _kde2d(t, True)
 
 
-@stream_query(None)
+_IPF = "p * wr / sum(p) OVER (PARTITION BY r)"
+
+
+@stream_query(
+    "WITH RECURSIVE c AS (SELECT p_brand AS r, least(p_size // 10, 4) AS c, count(*)::DOUBLE AS p FROM part GROUP BY 1, 2), w AS (SELECT *, 1.0::DOUBLE / (SELECT count(DISTINCT r) FROM c) AS wr, 1.0::DOUBLE / (SELECT count(DISTINCT c) FROM c) AS wc FROM c), "
+    f"t AS (SELECT 0 AS k, r, c, p, wr, wc FROM w UNION ALL SELECT k + 1, r, c, p * wc / sum(p) OVER (PARTITION BY c), wr, wc FROM (SELECT k, r, c, {_IPF} AS p, wr, wc FROM t) WHERE k < 20) "
+    "SELECT r, c, round(p, 6) AS p FROM t WHERE k = 20"
+)
 def q9_10_ipf(spark, d):
     """Parts by container and size class, fitted to even marginals."""
     from lodestat.plans.streams import saver
@@ -306,12 +313,19 @@ def q10_04_stratum_swaps(t):
     return out.withColumn("swap", F.col("swap").cast("bigint"))
 
 
-@stream_query(None)
+@stream_query(
+    "WITH RECURSIVE u AS (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, (SELECT max(len(embedding)) FROM embeddings) + 1) r(i)), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM u GROUP BY 1), "
+    "z AS (SELECT vec_id, list(coalesce((x - m) / nullif(s, 0), 0) ORDER BY i) AS z FROM u JOIN s USING (i) GROUP BY 1), "
+    "t AS (SELECT 0 AS pick, vec_id, z, list_distance(z, list_transform(z, lambda x: 0::DOUBLE)) AS d FROM z UNION ALL "
+    "SELECT pick + 1, vec_id, z, CASE WHEN pick = 0 THEN list_distance(z, top) ELSE least(d, list_distance(z, top)) END FROM (SELECT t.*, first(z) OVER (ORDER BY d DESC, vec_id) AS top FROM t WHERE pick < 7)) "
+    "SELECT pick, vec_id, round(d, 6) AS distance FROM t QUALIFY row_number() OVER (PARTITION BY pick ORDER BY d DESC, vec_id) = 1"
+)
 def q10_08_maximin(spark, d):
     from lodestat.plans.streams import saver
 
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return C.maximin(e, "vec_id", [F.get("embedding", F.lit(i)) for i in range(6)], 8, saver(spark))
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return rounded(C.maximin(e, "vec_id", [F.get("embedding", F.lit(i)) for i in range(size)], 8, saver(spark)))
 
 
 _ERF = "(sign(z) * (1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z)))"
@@ -364,6 +378,12 @@ def q11_06_consistency(t):
     return out.select("vec_id", F.round("cv", 6).alias("cv"), F.round("flip", 4).alias("flip"))
 
 
+@query(_XY + "e AS (SELECT a.vec_id, u = 0 AND v = 1 OR u = 3 AND v = 2 AS f, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS l FROM (VALUES (0, 1), (3, 2), (0, 3), (1, 2)) e(u, v) JOIN g a ON a.i = u JOIN g b ON b.i = v AND a.vec_id = b.vec_id), r AS (SELECT vec_id, avg(l) FILTER (f) / avg(l) FILTER (NOT f) AS r FROM e GROUP BY 1) SELECT vec_id, round(r, 6) AS ratio, abs(r / 1.25 - 1) <= 0.15 AS ok FROM r")
+def q11_06_edge_ratio(t):
+    out = t("embeddings").select("vec_id", G.edge_ratio_check(_box(), [(0, 1), (3, 2)], [(0, 3), (1, 2)], 1.25, 0.15).alias("r"))
+    return rounded(out.select("vec_id", "r.*"))
+
+
 def _cuboid():
     """A box of the part's size whose third edge may lean or point the other way."""
     s, lean = F.col("p_size").cast("double"), F.when(F.col("p_brand") == "Brand#11", 0.2).otherwise(0.0)
@@ -411,6 +431,14 @@ R.register_condition("late", lambda: F.col("l_linestatus") == "O")
 R.register_metric("mean_tax", lambda: F.avg("l_tax"))
 
 
+R.register_bin("size_class", lambda: F.when(F.col("l_quantity") < 10, "small").when(F.col("l_quantity") < 40, "medium").otherwise("large"))
+
+
+@query("SELECT l_linestatus, CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 40 THEN 'medium' ELSE 'large' END AS size_class, count(*) FILTER (l_extendedprice < 20000) AS cheap, round(avg(l_tax), 6) AS mean_tax FROM lineitem GROUP BY 1, 2")
+def q13_01_bins(t):
+    return rounded(R.evaluate(t("lineitem"), ["l_linestatus"], ["cheap"], ["mean_tax"], ("size_class",)))
+
+
 @stream_query("WITH g AS (SELECT l_returnflag, count(*) FILTER (l_extendedprice < 20000) AS cheap, count(*) FILTER (l_linestatus = 'O') AS late, round(avg(l_tax), 6) AS mean_tax, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_returnflag, cheap, late, mean_tax, round((cheap / n + 1.9208 / n - 1.96 * sqrt(cheap / n * (1 - cheap / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS cheap_lo FROM g")
 def q13_01_registry(spark, d):
     R.register_metric("n", lambda: F.count(F.lit(1)))

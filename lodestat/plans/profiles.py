@@ -66,7 +66,7 @@ def q6_05_seed(t):
     return P.select_seed(t("lineitem"), "l_orderkey", "l_extendedprice", "l_linenumber", F.col("l_discount") <= 0.05)
 
 
-@query("SELECT count(o_totalprice) AS valid, count(*) - count(o_totalprice) AS missing, count(*) FILTER (WHERE o_totalprice < 1000 OR o_totalprice > 300000) AS outside, round(quantile_cont(o_totalprice, 0.25), 6) AS q25, round(quantile_cont(o_totalprice, 0.5), 6) AS q50, round(quantile_cont(o_totalprice, 0.75), 6) AS q75, round(avg(o_totalprice), 6) AS mean FROM orders")
+@query("SELECT count(o_totalprice) AS valid, count(*) - count(o_totalprice) AS missing, count(*) FILTER (WHERE o_totalprice < 1000 OR o_totalprice > 300000) AS outside, round(quantile_cont(o_totalprice, 0.05), 6) AS q05, round(quantile_cont(o_totalprice, 0.25), 6) AS q25, round(quantile_cont(o_totalprice, 0.5), 6) AS q50, round(quantile_cont(o_totalprice, 0.75), 6) AS q75, round(quantile_cont(o_totalprice, 0.95), 6) AS q95, round(avg(o_totalprice), 6) AS mean FROM orders")
 def q9_03_profile(t):
     return rounded(P.profile(t("orders"), "o_totalprice", 1000, 300000))
 
