@@ -63,10 +63,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = BIT
     return names, np.log(table / table.sum(axis=0)) if names else table
 
 
-def mixture(at: np.ndarray, n: np.ndarray, log_p: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+def mixture(at: np.ndarray, n: np.ndarray, log_p: np.ndarray, penalty: float = PENALTY, within: float = GAP) -> np.ndarray:
     """Shares of the languages in a document; those outside the set of best penalised likelihood have 0.
 
-    EM goes on until the likelihood is within GAP of its maximum: the largest factor by which a share would grow bounds what can still be
+    EM goes on until the log-likelihood is `within` reach of its maximum: the largest factor by which a share would grow bounds what can still be
     gained. The same bound ends the search for sets that cannot win; that of all languages rules out every set of several at once for most
     documents. Up to ALL_SETS languages every set is tried, beyond it those that are left when the smallest share goes, one after another."""
     own = log_p[at]
@@ -84,7 +84,7 @@ def mixture(at: np.ndarray, n: np.ndarray, log_p: np.ndarray, penalty: float = P
             fit_, gap = float(n @ np.log(mix) + most), float(total * np.log(max(grow.max(), 1.0)))
             if fit_ + gap - size * cost <= value:
                 return None
-            if gap < GAP:
+            if gap < within:
                 return q, fit_
             q = q * grow / (q @ grow)
 

@@ -153,7 +153,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, lengths: list[np.ndarray
 def chosen(sizes: list[tuple], lines: int) -> list:
     """Keys of (key, label, lines), in their order, that training uses: up to half of the lines for each label. A document that alone has
     more than a sixteenth of all lines, or that no longer fits, is passed over, and the next is looked at; a label that has no other
-    document gets its shortest."""
+    document gets its shortest, however long that is."""
     out = []
     for y in (0, 1):
         own, left = [(k, n) for k, label, n in sizes if label == y], lines // 2
@@ -162,7 +162,7 @@ def chosen(sizes: list[tuple], lines: int) -> list:
             if n <= min(left, max(1, lines // 16)):
                 kept.append(k)
                 left -= n
-        out += kept or [k for k, n in sorted(own, key=lambda x: x[1])[:1] if n <= lines]
+        out += kept or [k for k, _ in sorted(own, key=lambda x: x[1])[:1]]
     return out
 
 

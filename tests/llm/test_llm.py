@@ -304,7 +304,7 @@ def test_language_id(spark, documents):
 
 def test_language_mixture():
     log_p = np.log(np.array([[0.7, 0.1], [0.2, 0.1], [0.1, 0.8]]))
-    share = langid.mixture(np.arange(3), np.array([140.0, 60.0, 180.0]), log_p, rounds=200)
+    share = langid.mixture(np.arange(3), np.array([140.0, 60.0, 180.0]), log_p, within=1e-9)
     assert abs(share[0] - 0.45) < 0.15 and abs(share.sum() - 1) < 1e-9
     assert list(langid.mixture(np.arange(3), np.array([700.0, 200.0, 100.0]), log_p)) == [1.0, 0.0]
 
