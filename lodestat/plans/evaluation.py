@@ -26,9 +26,14 @@ def _counts():
     return F.array(F.col("p_size").cast("bigint"), F.lit(7).cast("bigint"), gap, F.lit(30).cast("bigint"), F.lit(300 - 37) - F.col("p_size") - gap)
 
 
-@query(f"SELECT p_partkey, count(*) AS area, true AS valid FROM ({RUNS}) GROUP BY 1")
+@query(f"SELECT p_partkey, count(*) AS area, p_type NOT IN ('PROMO', 'SMALL') AS valid FROM ({RUNS}) JOIN part USING (p_partkey) GROUP BY 1, p_type")
 def q1_09_rle(t):
-    return t("part").select("p_partkey", M.rle_area(_counts()).alias("area"), M.rle_valid(_counts(), 20, 15).alias("valid"))
+    """Masks of which some are a pixel too long or have a run of negative length."""
+    whole = _counts()
+    last = F.when(F.col("p_type") == "PROMO", whole[4] + 1).otherwise(whole[4])
+    first = F.when(F.col("p_type") == "SMALL", -whole[0]).otherwise(whole[0])
+    counts = F.array(first, whole[1], whole[2], whole[3], F.when(F.col("p_type") == "SMALL", last + 2 * whole[0]).otherwise(last))
+    return t("part").select("p_partkey", M.rle_area(counts).alias("area"), M.rle_valid(counts, 20, 15).alias("valid"))
 
 
 @query(f'SELECT p_partkey, count(*) AS area, min(p // 20) AS "left", min(p % 20) AS top, max(p // 20) AS "right", max(p % 20) AS bottom, round(avg(p // 20), 6) AS cx, round(avg(p % 20), 6) AS cy FROM ({RUNS}) GROUP BY 1')
