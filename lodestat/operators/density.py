@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,20 +84,25 @@ def hashed_uniform(*parts: Column) -> Column:
 
 def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
     """(replicate, mean): each row has a Poisson weight in each replicate that depends on its key alone, so nothing is drawn and nothing is
-    collected. One aggregate holds the weighted sums of all replicates, so that a split of rows sends one row on, however many there are;
-    an MD5 of the key gives the weights of four replicates."""
+    collected. An MD5 of the key gives the weights of four replicates. A split adds up the weighted sums of all replicates as arrays and sends
+    one row each on, however many rows it has."""
     blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // 4))
     hashes = F.transform(blocks, lambda b: F.md5(F.concat_ws("|", F.col(key).cast("string"), b.cast("string"), F.lit(str(seed)))))
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), hashes.alias("h"))
-
-    def weight(i: int) -> Column:
-        u = F.conv(F.substring(F.get("h", F.lit(i // 4)), 1 + 8 * (i % 4), 8), 16, 10).cast("double") / 4294967296.0
-        return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
-
-    weighed = rows.select("v", *(weight(i).alias(f"w{i}") for i in range(replicates)))
-    sums = weighed.agg(*(F.struct(F.sum(F.col(f"w{i}") * F.col("v")).alias("s"), F.sum(f"w{i}").alias("n")).alias(f"r{i}") for i in range(replicates)))
-    each = sums.select(F.posexplode(F.array(*(f"r{i}" for i in range(replicates)))).alias("replicate", "x"))
-    return each.select("replicate", F.try_divide("x.s", "x.n").alias("mean"))
+    parts = F.flatten(F.transform(hashes, lambda h: F.array(*(F.substring(h, 1 + 8 * i, 8) for i in range(4)))))
+    uniforms = F.transform(parts, lambda x: F.conv(x, 16, 10).cast("double") / 4294967296.0)
+    weights = F.transform(uniforms, lambda u: sum((F.when(u >= p, 1).otherwise(0) for p in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0)))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.slice(weights, 1, replicates).cast("array<tinyint>").alias("w"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros(replicates), np.zeros(replicates, np.int64)
+        for b in batches:
+            w = b.column("w").flatten().to_numpy().reshape(-1, replicates)
+            total += b.column("v").to_numpy() @ w
+            count += w.sum(0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(replicates), pa.int32()), pa.array(total), pa.array(count)], names=["replicate", "s", "n"])
+
+    each = rows.mapInArrow(add_up, "replicate int, s double, n bigint").groupBy("replicate").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return each.select("replicate", F.try_divide("s", "n").alias("mean"))
 
 
 def bootstrap_band(df: DataFrame, key: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
