@@ -55,7 +55,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith(BLANK)]] = True
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # chunks after a blank
+        self.firsts: dict[str, bytes] = {}
         self.size = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -80,14 +81,17 @@ class Encoder:
         if not self.cuts:
             return self.encode(texts)
         if self.size > CACHE:
-            self.kept, self.size = {}, 0
+            self.kept, self.firsts, self.size = {}, {}, 0
         split = [self.chunks(t) for t in texts]
         new = set()
         for x in split:
             new.update(x[1:])
         self._learn(list(new.difference(self.kept)))
-        firsts = self.encode([x[0] for x in split])
-        return [first + b"".join(map(self.kept.__getitem__, x[1:])) for first, x in zip(firsts, split, strict=True)]
+        begin = list({x[0] for x in split}.difference(self.firsts))
+        self.firsts.update(zip(begin, self.encode(begin), strict=True))
+        self.size += 160 * len(begin) + 5 * sum(map(len, begin))
+        kept = self.kept.__getitem__
+        return [b"".join([self.firsts[x[0]], *map(kept, x[1:])]) for x in split]
 
 
 @cache
