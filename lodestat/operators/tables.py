@@ -31,10 +31,13 @@ def percentiles(df: DataFrame, by: list[str], value: str | Column, ps: list[floa
         both = v.join(sketch, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by))))
     else:
         both = v.join(F.broadcast(sketch))  # one row
-    each = both.select(*by, "_v", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.get("_e", F.lit(2 * i)).alias("lo"), F.get("_e", F.lit(2 * i + 1)).alias("hi")) for i, p in enumerate(ps)))).alias("_x"))
-    zone = F.when(F.col("_v") < F.col("_x.lo"), -1).when(F.col("_v") > F.col("_x.hi"), 1).otherwise(0)
-    block = each.groupBy(*by, F.col("_x.i").alias("_i"), F.col("_x.p").alias("_p"), zone.alias("_z"), F.when(zone == 0, F.col("_v")).alias("_w"))
-    block = block.agg(F.count(F.lit(1)).alias("_n"), F.max("_v").alias("_top"), F.min("_v").alias("_bottom"))
+    bound = lambda k: F.get("_e", F.lit(k))
+    zones = F.array(*(F.when(F.col("_v") < bound(2 * i), -1).when(F.col("_v") > bound(2 * i + 1), 1).otherwise(0) for i in range(len(ps))))
+    # rows are counted by where they lie to all bounds, and only what is left of them is looked at for each percentile
+    block = both.select(*by, "_v", zones.alias("_zs")).withColumn("_w", F.when(F.array_contains("_zs", 0), F.col("_v")))
+    block = block.groupBy(*by, "_zs", "_w").agg(F.count(F.lit(1)).alias("_n"), F.max("_v").alias("_top"), F.min("_v").alias("_bottom"))
+    each = block.select(*by, F.posexplode("_zs").alias("_i", "_z"), "_w", "_n", "_top", "_bottom").withColumn("_p", F.get(F.array(*(F.lit(float(p)) for p in ps)), F.col("_i")))
+    block = each.groupBy(*by, "_i", "_p", "_z", F.when(F.col("_z") == 0, F.col("_w")).alias("_w")).agg(F.sum("_n").alias("_n"), F.max("_top").alias("_top"), F.min("_bottom").alias("_bottom"))
     w = Window.partitionBy(*by, "_i")
     run = w.orderBy("_z", "_w").rowsBetween(Window.unboundedPreceding, 0)
     block = block.withColumn("_last", F.sum("_n").over(run)).withColumn("_at", F.col("_p") * (F.sum("_n").over(w) - 1))
