@@ -133,7 +133,7 @@ def warc_records(records: DataFrame, min_bytes: int = 0, id_type: str = "long")
     id is the response; ids are compared as id_type. Without an id, a record is a response."""
     named = records.withColumn("_id", F.col("id").cast(id_type))
     # only digests that come twice are joined, as short rows; while they are few, no payload is shuffled
-    short = named.select("_id", "payload_digest", "payload_bytes").where((F.col("payload_bytes") >= min_bytes) & F.col("_id").isNotNull())
+    short = materialize(named.select("_id", "payload_digest", "payload_bytes").where((F.col("payload_bytes") >= min_bytes) & F.col("_id").isNotNull()), "short")
     first = short.groupBy("payload_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     again = short.join(first, "payload_digest").where(F.col("_id") != F.col("_first")).select(F.col("_id").alias("_again"), F.col("payload_digest").alias("_d"), "_first").distinct()
     # by id, not by digest: beyond the broadcast, records with one payload would meet in a task
