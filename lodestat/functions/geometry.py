@@ -221,15 +221,3 @@ def self_visible(points: Column, faces: list[tuple[int, int, int, int]], camera:
     """For each corner, whether a face that has it is turned to the camera. Corners of a face run so that the normal points outwards."""
     shown = [dot(_cross(_minus(points[f[1]], points[f[0]]), _minus(points[f[3]], points[f[0]])), _minus(camera, points[f[0]])) > 0 for f in faces]
     return F.array(*(reduce(lambda a, b: a | b, [s for s, f in zip(shown, faces, strict=True) if i in f], F.lit(False)) for i in range(8)))
-
-
-def hull_area(points: Column) -> Column:
-    """Area of the convex hull of a few points. A pair is an edge of the hull if all points lie to its left or on it; the cross products of the
-    edges as seen from the first point add up to twice the area."""
-    first = points[0]
-    area = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-    between = lambda p, q, r: (r[0] - p[0]) * (r[0] - q[0]) + (r[1] - p[1]) * (r[1] - q[1]) <= 0
-    edge = lambda p, q: ((p[0] != q[0]) | (p[1] != q[1])) & F.forall(points, lambda r: (area(p, q, r) > 0) | ((area(p, q, r) == 0) & between(p, q, r)))
-    pairs = F.array_distinct(F.flatten(F.transform(points, lambda p: F.transform(points, lambda q: F.struct(p.alias("p"), q.alias("q"))))))
-    hull = F.filter(pairs, lambda x: edge(x.p, x.q))
-    return _sum(F.transform(hull, lambda x: area(first, x.p, x.q))) / 2

@@ -18,7 +18,7 @@ def plan(df) -> str:
 
 
 def test_hulls_are_computed_by_the_batch(spark, data):
-    for name in ("q13_02_hull_iou", "q13_02_clipped_hull"):
+    for name in ("q13_02_hull_iou", "q13_02_clipped_hull", "q13_02_hull"):
         assert "lambda" not in plan(catalog.queries()[name](spark, data))
 
 
