@@ -139,8 +139,19 @@ def _minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
-def _cross(a: Column, b: Column) -> Column:
-    return F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+# three coordinates by themselves: arithmetic that is compiled, where functions with lambdas are interpreted for every row
+
+
+def _minus3(a: list[Column], b: list[Column]) -> list[Column]:
+    return [x - y for x, y in zip(a, b, strict=True)]
+
+
+def _dot3(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _cross3(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
 
 
 def edge_ratios(points: Column, pairs: list[tuple[tuple[int, int], tuple[int, int]]]) -> Column:
@@ -196,17 +207,19 @@ def flip_consistency(points: Column, flipped: Column, order: list[int], width: f
 def verify_cuboid(points: Column, axes: tuple[int, int, int, int] = (0, 1, 3, 4), edges: tuple = (((0, 1), (3, 2), (4, 5), (7, 6)), ((0, 3), (1, 2), (4, 7), (5, 6)), ((0, 4), (1, 5), (2, 6), (3, 7))), degrees: float = 3.0, share: float = 0.03, hand: float = 0.95) -> Column:
     """Errors of eight labelled corners: edges at corner axes[0] that are not square within `degrees`, parallel edges whose lengths differ by more than
     `share`, and axes that are not right-handed."""
-    o = points[axes[0]]
-    x, y, z = (_minus(points[i], o) for i in axes[1:])
-    unit = lambda v: F.transform(v, lambda c: c / _length(v))
-    square = lambda a, b: F.abs(dot(unit(a), unit(b))) > F.lit(math.sin(math.radians(degrees)))
+    at = [[points[i][k].cast("double") for k in range(3)] for i in range(8)]
+    x, y, z = (_minus3(at[i], at[axes[0]]) for i in axes[1:])
+    size = {id(v): F.sqrt(_dot3(v, v)) for v in (x, y, z)}
+    cosine = lambda a, b: _dot3(a, b) / (size[id(a)] * size[id(b)])
+    square = lambda a, b: F.abs(cosine(a, b)) > F.lit(math.sin(math.radians(degrees)))
     skew = square(x, y) | square(y, z) | square(x, z)
     uneven = F.lit(False)
     for group in edges:
-        lengths = [distance(points[a], points[b]) for a, b in group]
+        lengths = [F.sqrt(_dot3(d, d)) for d in (_minus3(at[a], at[b]) for a, b in group)]
         uneven = uneven | (F.greatest(*lengths) > (1 + share) * F.least(*lengths))
-    rhr = dot(_cross(unit(x), unit(y)), unit(z))
-    return F.array_compact(F.array(F.when(skew, "not_square"), F.when(uneven, "uneven_edges"), F.when(F.abs(rhr) < hand, "flat_axes"), F.when(rhr < 0, "left_handed")))
+    rhr = _dot3(_cross3(x, y), z) / (size[id(x)] * size[id(y)] * size[id(z)])
+    said = lambda when, name: F.when(when, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    return F.concat(said(skew, "not_square"), said(uneven, "uneven_edges"), said(F.abs(rhr) < hand, "flat_axes"), said(rhr < 0, "left_handed"))
 
 
 def front_is_near(points: Column, faces: dict[str, tuple[int, int, int, int]], camera: Column, tie: float = 0.05) -> Column:
@@ -219,5 +232,7 @@ def front_is_near(points: Column, faces: dict[str, tuple[int, int, int, int]], c
 
 def self_visible(points: Column, faces: list[tuple[int, int, int, int]], camera: Column) -> Column:
     """For each corner, whether a face that has it is turned to the camera. Corners of a face run so that the normal points outwards."""
-    shown = [dot(_cross(_minus(points[f[1]], points[f[0]]), _minus(points[f[3]], points[f[0]])), _minus(camera, points[f[0]])) > 0 for f in faces]
+    at = [[points[i][k] for k in range(3)] for i in range(8)]
+    eye = [camera[k] for k in range(3)]
+    shown = [_dot3(_cross3(_minus3(at[f[1]], at[f[0]]), _minus3(at[f[3]], at[f[0]])), _minus3(eye, at[f[0]])) > 0 for f in faces]
     return F.array(*(reduce(lambda a, b: a | b, [s for s, f in zip(shown, faces, strict=True) if i in f], F.lit(False)) for i in range(8)))

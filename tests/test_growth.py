@@ -31,3 +31,11 @@ def test_point_sets_of_all_sizes_in_a_batch(spark):
     assert [round(got[i].area, 9) for i in range(9)] == [1.0] * 5 + [0.0] * 4
     assert [round(got[i].clipped, 9) for i in range(9)] == [0.5] * 5 + [0.0] * 4
     assert [got[i].iou for i in range(5)] == [1.0] * 5 and got[9] is None and got[10] is None
+
+
+# boxes
+
+
+def test_box_checks_are_compiled(spark, data):
+    for name in ("q11_07_verify_cuboid", "q11_10_self_visible"):
+        assert "lambda" not in plan(catalog.queries()[name](spark, data))
