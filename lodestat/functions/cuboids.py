@@ -1,12 +1,19 @@
-"""Boxes given by eight corners in any order, as column expressions."""
+"""Boxes given by eight corners in any order; the search for a box's axes is done in numpy for a batch of rows at once."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestat.functions.geometry import dot
-from lodestat.functions.polygons import _let
+from lodestat.functions.polygons import _POINTS, _coordinates, _let, _sets
+
+#: A camera that is less than this share of the distances beyond the plane of a face lies in it: corners and camera come rounded.
+IN_PLANE = 1e-9
 
 
 def _minus(a: Column, b: Column) -> Column:
@@ -21,49 +28,67 @@ def cross(a: Column, b: Column) -> Column:
     return F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
 
 
+def _axes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(axes, worst) of boxes (rows, 8, 3) by box_axes; worst is nan where a point is the first one again."""
+    rays = points[:, 1:] - points[:, :1]
+    length = np.sqrt((rays * rays).sum(2))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        unit = rays / length[:, :, None]
+    cos = np.abs(np.einsum("nik,njk->nij", unit, unit))
+    triples = np.array(list(combinations(range(7), 3)))
+    i, j, k = triples.T
+    each = np.maximum(np.maximum(cos[:, i, j], cos[:, i, k]), cos[:, j, k])
+    best = each.argmin(1)
+    axes = np.take_along_axis(unit, triples[best][:, :, None], 1)
+    return axes, np.where((length > 1e-12).all(1), each[np.arange(len(each)), best], np.nan)
+
+
 def box_axes(points: Column, tolerance: float = 1e-3) -> Column:
     """(axes, worst): the three directions from the first corner that are most nearly square to one another, and the largest absolute cosine
     among them; null unless there are eight points that differ from the first and worst is within the tolerance.
 
     Of the seven directions, those to the other ends of the three edges are the only ones square to one another."""
-    numbers = F.transform(points, lambda p: F.transform(F.slice(p, 1, 3), lambda x: x.cast("double")))
-
-    def search(pts: Column) -> Column:
-        rays = F.transform(F.slice(pts, 2, 7), lambda p: _minus(p, pts[0]))
-        units = F.transform(rays, lambda r: F.transform(r, lambda x: F.try_divide(x, _length(r))))
 
-        def best(u: Column) -> Column:
-            triples = [(i, j, k) for i in range(7) for j in range(i + 1, 7) for k in range(j + 1, 7)]
-            index = F.array(*(F.array(*map(F.lit, t)) for t in triples))
-            cos = lambda i, j: F.abs(dot(F.get(u, i), F.get(u, j)))
-            each = F.transform(index, lambda t: F.struct(F.greatest(cos(t[0], t[1]), cos(t[0], t[2]), cos(t[1], t[2])).alias("worst"), t.alias("t")))
-            return _let(F.array_min(each), lambda b: F.struct(F.transform(b["t"], lambda i: F.get(u, i)).alias("axes"), b["worst"].alias("worst")))
+    @F.arrow_udf("axes array<array<double>>, worst double")
+    def found(points: pa.Array) -> pa.Array:
+        axes, worst = np.zeros((len(points), 3, 3)), np.full(len(points), np.nan)
+        for rows, p, sizes in _sets(points, 3):
+            eight = sizes == 8
+            if eight.any():
+                axes[rows[eight]], worst[rows[eight]] = _axes(p[eight, :8])
+        three = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a + 1, 3), pa.int32()), pa.array(axes.ravel()))
+        each = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * len(axes) + 1, 3), pa.int32()), three(axes.size))
+        return pa.StructArray.from_arrays([each, pa.array(worst)], ["axes", "worst"], mask=pa.array(~(worst <= tolerance)))
 
-        return F.when((F.size(pts) == 8) & F.forall(rays, lambda r: _length(r) > 1e-12), _let(units, best))
-
-    return _let(_let(numbers, search), lambda x: F.when(x["worst"] <= tolerance, x))
+    return found(points.cast(_POINTS))
 
 
 def visible_corners(points: Column, camera: Column, tolerance: float = 1e-3) -> Column:
-    """For each corner of a box, in any order, whether one of the faces that have it is turned to the camera; null if it is no box.
+    """For each corner of a box, in any order, whether one of the faces that have it is turned to the camera; null if it is no box or there
+    is no camera. A face in whose plane the camera lies, but for rounding, is not turned to it.
 
     The faces are derived: along each axis, the four corners on either side of the centre."""
-    count = F.size(points)
-    centre = F.transform(F.array(*map(F.lit, range(3))), lambda k: F.aggregate(points, F.lit(0.0), lambda a, p: a + F.get(p, k)) / count)
-
-    def from_centre(c: Column) -> Column:
-        own = F.transform(points, lambda p: _minus(p, c))
-        eye = _minus(camera, c)
-
-        def faces(axes: Column) -> Column:
-            signed = F.flatten(F.transform(axes, lambda a: F.array(a, F.transform(a, lambda x: -x))))
-            reach = lambda n: F.array_max(F.transform(own, lambda p: dot(p, n)))
-            turned = F.filter(signed, lambda n: dot(eye, n) > reach(n))
-            return F.transform(own, lambda p: F.exists(turned, lambda n: dot(p, n) > 0))
-
-        return _let(box_axes(points, tolerance), lambda b: F.when(b.isNotNull(), faces(b["axes"])))
 
-    return _let(centre, from_centre)
+    @F.arrow_udf("array<boolean>")
+    def shown(points: pa.Array, camera: pa.Array) -> pa.Array:
+        eyes, out, done = _coordinates(camera, 3), np.zeros((len(points), 8), bool), np.zeros(len(points), bool)
+        for rows, p, sizes in _sets(points, 3):
+            fit = (sizes == 8) & np.isfinite(eyes[rows]).all(1)
+            if not fit.any():
+                continue
+            rows, p = rows[fit], p[fit, :8]
+            axes, worst = _axes(p)
+            centre = p.mean(1)
+            own, eye = p - centre[:, None], eyes[rows] - centre
+            along, before = np.einsum("npk,nak->npa", own, axes), np.einsum("nk,nak->na", eye, axes)
+            slack = IN_PLANE * (np.abs(p).max((1, 2)) + np.abs(eyes[rows]).max(1))[:, None]
+            high, low = before > along.max(1) + slack, before < along.min(1) - slack
+            out[rows] = ((high[:, None] & (along > 0)) | (low[:, None] & (along < 0))).any(2)
+            done[rows] = worst <= tolerance
+        offsets = pa.array(np.arange(0, out.size + 1, 8), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()), mask=pa.array(~done))
+
+    return shown(points.cast(_POINTS), camera.cast("array<double>"))
 
 
 def frame_errors(points: Column, tolerance: float = 0.01, square: float = 0.2) -> Column:

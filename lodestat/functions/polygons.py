@@ -24,15 +24,20 @@ def _numbers(a: pa.Array) -> np.ndarray:
     return a.to_numpy(zero_copy_only=False).astype(float)
 
 
-def _sets(points: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, points, sizes): the rows of a batch in slices of about equal size; points as (rows, most points, 2), a row's last point repeated
-    up to there. Rows with a point or coordinate that is null or not finite are left out."""
-    start, each = points.offsets.to_numpy(), points.values
-    at, flat = each.offsets.to_numpy(), _numbers(each.values)
-    whole = (np.diff(at) >= 2) & each.is_valid().to_numpy(zero_copy_only=False)
-    first = np.where(whole, at[:-1], 0)
-    xy = np.full((len(each), 2), np.nan)
-    xy[whole] = np.stack([flat[first[whole]], flat[first[whole] + 1]], 1)
+def _coordinates(a: pa.Array, width: int) -> np.ndarray:
+    """(rows, width): the first coordinates of arrays of numbers, nan for a row that is null or has fewer."""
+    at, flat = a.offsets.to_numpy(), _numbers(a.values)
+    whole = np.flatnonzero((np.diff(at) >= width) & a.is_valid().to_numpy(zero_copy_only=False))
+    out = np.full((len(a), width), np.nan)
+    out[whole] = flat[at[whole][:, None] + np.arange(width)]
+    return out
+
+
+def _sets(points: pa.Array, width: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, points, sizes): the rows of a batch in slices of about equal size; points as (rows, most points, width), a row's last point
+    repeated up to there. Rows with a point or coordinate that is null or not finite are left out."""
+    start = points.offsets.to_numpy()
+    xy = _coordinates(points.values, width)
     bad = np.concatenate([[0], np.cumsum(~np.isfinite(xy).all(1))])
     good = points.is_valid().to_numpy(zero_copy_only=False) & (bad[start[1:]] == bad[start[:-1]])
     sizes = np.diff(start)
@@ -43,7 +48,7 @@ def _sets(points: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         now, rows = rows[:n], rows[n:]
         most = max(1, sizes[now[-1]])
         place = start[now][:, None] + np.minimum(np.arange(most), np.maximum(sizes[now] - 1, 0)[:, None])
-        yield now, xy[np.minimum(place, len(xy) - 1)] if len(xy) else np.zeros((len(now), 1, 2)), sizes[now]
+        yield now, xy[np.minimum(place, len(xy) - 1)] if len(xy) else np.zeros((len(now), 1, width)), sizes[now]
 
 
 def hulls(p: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -39,3 +40,18 @@ def test_point_sets_of_all_sizes_in_a_batch(spark):
 def test_box_checks_are_compiled(spark, data):
     for name in ("q11_07_verify_cuboid", "q11_10_self_visible"):
         assert "lambda" not in plan(catalog.queries()[name](spark, data))
+
+
+def test_camera_in_the_plane_of_a_face(spark):
+    from lodestat.functions import cuboids
+
+    rows = []
+    for i in range(60):
+        c, s = math.cos(0.1 * i), math.sin(0.1 * i)
+        turn = lambda x, y, z: [c * x - s * y + 5.0, s * x + c * y - 3.0, z + 2.0]
+        corners = [turn(x * 21.0, y * 40.5, z * 2.0) for x in (-0.5, 0.5) for y in (-0.5, 0.5) for z in (-1, 1)]
+        rows.append((i, corners, turn(10.5, 0.0, 4.0)))
+    got = spark.createDataFrame(rows, "i long, p array<array<double>>, eye array<double>").select(cuboids.visible_corners(F.col("p"), F.col("eye")).alias("v"))
+    assert all(r.v == [False, True] * 4 for r in got.collect())  # the top alone: the side at x = 10.5 is seen edge-on
+    odd = [([[0.0, 0.0, 0.0]] * 7, [1.0, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (rows[0][1], None), (rows[0][1], [1.0, None, 2.0])]
+    assert all(r.v is None for r in spark.createDataFrame(odd, "p array<array<double>>, eye array<double>").select(cuboids.visible_corners(F.col("p"), F.col("eye")).alias("v")).collect())
