@@ -55,3 +55,16 @@ def test_camera_in_the_plane_of_a_face(spark):
     assert all(r.v == [False, True] * 4 for r in got.collect())  # the top alone: the side at x = 10.5 is seen edge-on
     odd = [([[0.0, 0.0, 0.0]] * 7, [1.0, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (rows[0][1], None), (rows[0][1], [1.0, None, 2.0])]
     assert all(r.v is None for r in spark.createDataFrame(odd, "p array<array<double>>, eye array<double>").select(cuboids.visible_corners(F.col("p"), F.col("eye")).alias("v")).collect())
+
+
+# streams
+
+
+def test_two_runs_take_every_event_once(spark, data, tmp_path, monkeypatch):
+    from lodestat.plans import streams
+
+    median, other = F.percentile_approx, F.udf(lambda m: m + random.SystemRandom().randint(-m // 2, m // 2), "long")
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: other(median(*a)))  # as merging sketches in another order may give another number
+    events = streams._in_two_runs(spark, data, str(tmp_path), lambda s: spark.read.parquet(f"{tmp_path}/in"))
+    got = sorted(r.event_id for r in events.select("event_id").collect())
+    assert got == sorted(r.event_id for r in spark.read.parquet(f"{data}/events.parquet").select("event_id").collect())
