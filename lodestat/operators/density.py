@@ -111,17 +111,45 @@ def bootstrap_band(df: DataFrame, key: str, value: str, replicates: int, seed: i
     return df.agg(F.avg(value).alias("mean")).join(F.broadcast(band)).select("mean", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
 
 
-def kde2d(df: DataFrame, x: str, y: str, box: tuple[float, float, float, float], points: int, bins: int = 128, circular: bool = False) -> DataFrame:
+def _exact_kde2d(rows: DataFrame, box: tuple[float, float, float, float], points: int, circular: bool) -> DataFrame:
+    """kde2d of rows (x, y, hx, hy), whose widths are the same everywhere."""
+    x0, x1, y0, y1 = box
+    line = lambda a, b: np.array([a + (b - a) * k / (points - 1) for k in range(points)])
+    gx, gy = line(x0, x1), line(y0, y1)
+
+    def kernel(grid: np.ndarray, v: np.ndarray, h: np.ndarray, lo: float, hi: float, wrap: bool) -> np.ndarray:
+        images = (v, v - (hi - lo), v + (hi - lo)) if wrap else (v, 2 * lo - v, 2 * hi - v)
+        return sum(np.exp(-0.5 * ((grid[:, None] - z) / h) ** 2) for z in images)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((points, points)), 0
+        for b in batches:
+            x, y, hx, hy = (b.column(k).to_numpy() for k in ("x", "y", "hx", "hy"))
+            total += kernel(gx, x, hx, x0, x1, circular) @ kernel(gy, y, hy, y0, y1, False).T
+            n += len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gx, points)), pa.array(np.tile(gy, points)), pa.array(total.ravel())], names=["gx", "gy", "s"])
+
+    s = rows.mapInArrow(add_up, "gx double, gy double, s double").groupBy("gx", "gy").agg(F.sum("s").alias("s"))
+    return s.join(F.broadcast(s.agg(F.sum("s").alias("all")))).select("gx", "gy", (F.col("s") / F.col("all")).alias("density"))
+
+
+def kde2d(df: DataFrame, x: str, y: str, box: tuple[float, float, float, float], points: int, bins: int | None = None, circular: bool = False) -> DataFrame:
     """(gx, gy, density) on a grid over box (x from, x to, y from, y to): Gaussian, Scott's factor, mirrored at the sides, summing to 1 over
     the grid; with circular, x goes round instead.
 
-    A row adds to the four nearest nodes of a grid of bins, in proportion to its nearness (linear binning), which is counted where the rows
-    are. The kernel is a product, so it is applied along x first and then along y: bins * bins * points and bins * points * points terms,
-    however many rows there are.
+    Every row counts with its own place. The kernel is a product, so a batch of rows is the product of two matrices (rows by points), and a
+    split sends the sums of all its rows on.
+
+    If bins is given, a row adds to the four nearest nodes of a grid of bins instead, in proportion to its nearness (linear binning), which
+    is counted where the rows are; the kernel is applied along x first and then along y: bins * bins * points and bins * points * points
+    terms, however many rows there are.
     """
     x0, x1, y0, y1 = map(float, box)
     c = df.where(F.col(x).between(x0, x1) & F.col(y).between(y0, y1)).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     scale = c.agg(*((F.stddev_pop(v) * F.pow(F.count(F.lit(1)), F.lit(-1 / 6))).alias(f"h{v}") for v in "xy"))
+    if bins is None:
+        return _exact_kde2d(c.join(F.broadcast(scale)), (x0, x1, y0, y1), points, circular)  # one row is broadcast
     steps = bins if circular else bins - 1  # going round, the last node is the first
 
     def sides(v: str, lo: float, hi: float, n: int, wrap: bool) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestat import catalog
@@ -68,3 +69,21 @@ def test_two_runs_take_every_event_once(spark, data, tmp_path, monkeypatch):
     events = streams._in_two_runs(spark, data, str(tmp_path), lambda s: spark.read.parquet(f"{tmp_path}/in"))
     got = sorted(r.event_id for r in events.select("event_id").collect())
     assert got == sorted(r.event_id for r in spark.read.parquet(f"{data}/events.parquet").select("event_id").collect())
+
+
+# densities
+
+
+def test_density_of_every_row_at_its_own_place(spark):
+    from lodestat.operators import density
+
+    x, y = np.array([0.5, 3.01, 3.02, 9.9] * 30), np.array([1.0, 2.03, 7.77, 9.99] * 30)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(3)
+    g, h = np.linspace(0, 10, 9), lambda v: v.std() * len(v) ** (-1 / 6)
+    for circular in (False, True):
+        got = {(r.gx, r.gy): r.density for r in density.kde2d(df, "x", "y", (0, 10, 0, 10), 9, circular=circular).collect()}
+        k = lambda v, images: sum(np.exp(-0.5 * ((g[:, None] - z) / h(v)) ** 2) for z in images)
+        d = k(x, (x, x - 10, x + 10) if circular else (x, -x, 20 - x)) @ k(y, (y, -y, 20 - y)).T
+        d /= d.sum()
+        assert max(abs(got[a, b] - d[i, j]) for i, a in enumerate(g) for j, b in enumerate(g)) < 1e-12
+    assert density.kde2d(df.limit(0), "x", "y", (0, 10, 0, 10), 9).count() == 0
