@@ -6,12 +6,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.storage import materialize
 
-#: Distinct vectors that one task compares with as many others.
+#: Distinct vectors that one call compares with as many others.
 BLOCK = 20_000
 
 
@@ -20,8 +21,11 @@ def _beaten(victims: np.ndarray, judges: np.ndarray) -> np.ndarray:
     out = np.zeros(len(victims), bool)
     for at in range(0, len(judges), 256):
         j = judges[at : at + 256]
-        better = (j[None, :, :] >= victims[:, None, :]).all(2)
-        out |= (better & (j[None, :, :] != victims[:, None, :]).any(2)).any(1)
+        good, better = np.ones((len(victims), len(j)), bool), np.zeros((len(victims), len(j)), bool)
+        for k in range(victims.shape[1]):
+            good &= j[:, k] >= victims[:, k, None]
+            better |= j[:, k] > victims[:, k, None]
+        out |= (good & better).any(1)
     return out
 
 
@@ -43,39 +47,56 @@ def skyline(df: DataFrame, by: list[str], flags: list[str], margins: list[str],
     for beyond it the gate is passed. A row with a null axis cannot be compared, so it stays and dominates nothing. Rows with equal axes
     stay together.
 
-    Distinct vectors are found first. Each bucket of a group keeps its own skyline; what is left is cut into blocks, and every block is
-    judged by every other in a task of its own, which returns the beaten vectors.
+    Distinct vectors are found first. Groups are packed by their hash, about `block` vectors a pack, and a task finds the skylines of all groups
+    of its packs. A pack with more than four times as many, for which one group is enough, is cut into buckets that keep their own skylines;
+    what is left of it is cut into blocks, and every block is judged by every other in a task of its own, which returns the beaten vectors.
     """
     axes = [f"_a{i}" for i in range(len(flags) + len(margins))]
     values = [F.col(c).cast("double") for c in flags] + [F.least(F.col(c).cast("double"), F.lit(0.0)) for c in margins]
     value = [F.when(x.isNotNull(), v + F.lit(0.0)) for x, v in zip([F.col(c) for c in (*flags, *margins)], values, strict=True)]  # -0.0 becomes 0.0
-    rows = df.where(F.coalesce(hard, F.lit(False))).withColumns(dict(zip(axes, value, strict=True)))
     whole = reduce(lambda a, b: a & b, (F.col(a).isNotNull() for a in axes))
     groups = [f"_g{i}" for i in range(len(by))]
-    vectors = rows.where(whole).select(*(F.struct(F.col(c).alias("v")).alias(g) for c, g in zip(by, groups, strict=True)), *axes).distinct()
+    named = {g: F.struct(F.col(c).alias("v")) for c, g in zip(by, groups, strict=True)}
+    rows = materialize(df.where(F.coalesce(hard, F.lit(False))).withColumns(dict(zip(axes, value, strict=True)) | named), "candidates")
+    vectors = materialize(rows.where(whole).select(*groups, *axes).distinct(), "vectors")
+    packs = max(1, -(-vectors.count() // block))
+    vectors = vectors.withColumn("_p", F.pmod(F.xxhash64(F.lit(1), *groups), F.lit(packs)))
+    sizes = vectors.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) / (4 * block)).cast("int").alias("_n"))  # a row a pack
+    kinds = ", ".join(f"{n} {t}" for n, t in vectors.dtypes) + ", _n int"
     numbers = lambda t: np.stack([t[a].to_numpy() for a in axes], 1)
-    kinds = ", ".join(f"{n} {t}" for n, t in vectors.dtypes)
 
-    def own(t: pa.Table) -> pa.Table:
-        return t.take(pa.array(local_skyline(numbers(t)))).select([*groups, *axes])
-
-    bucket = F.pmod(F.xxhash64(*axes), F.lit(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    left = materialize(vectors.withColumn("_b", bucket).groupBy(*groups, "_b").applyInArrow(own, kinds), "local")
-    n = left.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
-    left = left.join(n, groups) if groups else left.join(F.broadcast(n))  # one row
-    left = left.withColumn("_i", F.pmod(F.xxhash64(F.lit(1), *axes), F.col("_n")).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    sides = left.withColumn("_j", each).withColumn("_judge", F.lit(False)).unionByName(left.withColumnRenamed("_i", "_j").withColumn("_i", each).withColumn("_judge", F.lit(True)))
+    def each_group(t: pa.Table) -> list[np.ndarray]:
+        code = np.zeros(len(t), np.int64)
+        for g in groups:
+            own = pc.struct_field(t[g].combine_chunks(), "v").dictionary_encode("encode").indices.to_numpy()
+            code = np.unique(code * (own.max(initial=0) + 1) + own, return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(code[order])) + 1)
 
-    def judge(t: pa.Table) -> pa.Table:
-        judges = t["_judge"].to_numpy()
-        at = np.flatnonzero(~judges)
+    def own(t: pa.Table) -> pa.Table:
         v = numbers(t)
-        return t.take(pa.array(at[_beaten(v[at], v[judges])])).select([*groups, *axes])
+        kept = [rows[local_skyline(v[rows])] for rows in each_group(t)]
+        return t.take(pa.array(np.concatenate(kept)))
+
+    bucket = F.pmod(F.xxhash64(*axes), F.col("_n"))
+    left = vectors.join(F.broadcast(sizes), "_p").select(*groups, *axes, "_p", "_n").withColumn("_b", bucket)
+    left = left.groupBy("_p", "_b").applyInArrow(lambda t: own(t.drop(["_b"])), kinds)
+    left = materialize(left, "local")
+    large = left.where("_n > 1")
+    n = large.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_m"))
+    large = large.join(F.broadcast(n), "_p").withColumn("_i", F.pmod(F.xxhash64(F.lit(1), *axes), F.col("_m")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
+    sides = large.withColumn("_j", each).withColumn("_judge", F.lit(False)).unionByName(large.withColumnRenamed("_i", "_j").withColumn("_i", each).withColumn("_judge", F.lit(True)))
 
-    beaten = sides.groupBy(*groups, "_i", "_j").applyInArrow(judge, kinds).distinct()
-    best = left.select(*groups, *axes).join(beaten, [*groups, *axes], "left_anti")
-    rows = rows.withColumns({g: F.struct(F.col(c).alias("v")) for c, g in zip(by, groups, strict=True)})
+    def judge(t: pa.Table) -> pa.Table:
+        judges, v, beaten = t["_judge"].to_numpy(), numbers(t), []
+        for rows in each_group(t):
+            at = rows[~judges[rows]]
+            beaten.append(at[_beaten(v[at], v[rows[judges[rows]]])])
+        return t.take(pa.array(np.concatenate(beaten))).select([*groups, *axes, "_p", "_n"])
+
+    beaten = sides.groupBy("_p", "_i", "_j").applyInArrow(judge, kinds).select(*groups, *axes).distinct()
+    best = large.select(*groups, *axes).join(beaten, [*groups, *axes], "left_anti").unionByName(left.where("_n = 1").select(*groups, *axes))
     kept = rows.where(whole).join(best, [*groups, *axes], "left_semi").unionByName(rows.where(~whole))
     return kept.select(*df.columns)
 

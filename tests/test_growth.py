@@ -87,3 +87,21 @@ def test_density_of_every_row_at_its_own_place(spark):
         d /= d.sum()
         assert max(abs(got[a, b] - d[i, j]) for i, a in enumerate(g) for j, b in enumerate(g)) < 1e-12
     assert density.kde2d(df.limit(0), "x", "y", (0, 10, 0, 10), 9).count() == 0
+
+
+# skylines
+
+
+def test_skylines_of_many_small_groups_share_calls(spark, monkeypatch):
+    from lodestat.operators import skyline
+
+    rows = [(None if g == 7 else f"g{g % 40}", i, bool(i % 3), float(-(i * 7 % 11)), float(-(i * 5 % 13))) for g in range(40) for i in range(30)] + [("large", i, True, float(-i), float(i - 2000)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, i long, f boolean, a double, b double")
+    kept = lambda block: sorted((str(r.g), r.i) for r in skyline.skyline(df, ["g"], ["f"], ["a", "b"], F.lit(True), block).collect())
+    whole = lambda r, q: all(x >= y for x, y in zip(q[2:], r[2:])) and q[2:] != r[2:]
+    small = [(str(r[0]), r[1]) for r in rows if r[0] != "large" and not any(q[0] == r[0] and whole(r, q) for q in rows)]
+    assert kept(100) == kept(20_000) == sorted(small + [("large", i) for i in range(2000)])
+    calls = spark.sparkContext.accumulator(0)
+    real = type(df.groupBy("g")).applyInArrow
+    monkeypatch.setattr(type(df.groupBy("g")), "applyInArrow", lambda self, f, kind: real(self, lambda t: (calls.add(1), f(t))[1], kind))
+    assert len(kept(20_000)) > 2000 and calls.value < 10  # one call a group and bucket before: more than 40
