@@ -23,7 +23,9 @@ from lodestat.llm.common import materialize, sliced
 
 WINDOW, GROUP, END_ID = 2048, 8192, 1
 #: Bytes of chunks and their ids that a worker keeps, and characters of text that it encodes at a time (a longer text comes alone).
-CACHE, AT_ONCE = 100_000_000, 4_000_000
+CACHE, AT_ONCE = 60_000_000, 1_000_000
+#: Texts that the tokenizer is given at a time: what it returns takes some hundred bytes a token until its ids are taken.
+CALL = 64
 #: How byte-level vocabularies write a blank.
 BLANK = "\u0120"
 SPACE = re.compile(r"\s")
@@ -60,7 +62,8 @@ class Encoder:
         self.size = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = (texts[i : i + CALL] for i in range(0, len(texts), CALL))
+        return [np.array(e.ids, "<u4").tobytes() for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
         plain = [x for x in new if x and not SPACE.search(x)]
