@@ -93,39 +93,50 @@ def mismatch_matrix(diff: DataFrame, key: str) -> DataFrame:
 # JSON without a schema
 
 
-def json_nodes(df: DataFrame, key: str, column: str, volatile: Iterable[str] = ()) -> DataFrame:
-    """key, at (the steps to a node, in an order in which parents come first), path, kind and value of every node of a JSON column: the
-    sorted keys of an object, the length of an array, the text of anything else. What is no JSON is a node of kind INVALID. One pass a
-    level of nesting, each written; volatile keys are left out at any depth."""
-    spark, volatile, levels = df.sparkSession, sorted(volatile), []
-    level = df.select(F.col(key), F.array().cast("array<string>").alias("at"), F.lit("$").alias("path"), F.col(column).alias("text"))
+def json_diff(a: DataFrame, b: DataFrame, key: str, column: str, volatile: Iterable[str] = ()) -> DataFrame:
+    """key and the first difference (path, what, left, right) of the JSON of rows with that key on both sides; keys are unique.
+
+    Nodes are compared by kind and by their sorted keys (objects), length (arrays) or text (anything else); what is no JSON is of kind
+    INVALID. Both sides go down together, one pass a level of nesting, each written: nodes with the same text are left, and below a node
+    that differs there is no earlier difference. Volatile keys are left out at any depth.
+    """
+    volatile, found = sorted(volatile), []
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # parsing is much work for few bytes, by which partitions would be joined
+    x, y = (df.select(key, F.col(column).alias(n)).repartition(parts, key) for df, n in ((a, "x"), (b, "y")))
+    level = x.join(y, key).select(key, F.array().cast("array<string>").alias("at"), F.lit("$").alias("path"), "x", "y")
+    hidden = F.array(*map(F.lit, volatile)).cast("array<string>")
+
+    def judged(df: DataFrame) -> DataFrame:
+        df = df.where(~F.col("x").eqNullSafe(F.col("y"))).withColumns({f"v{c}": F.try_parse_json(c) for c in "xy"}).withColumns({f"t{c}": F.to_json(f"v{c}") for c in "xy"})
+        begins = lambda c: F.substring(f"t{c}", 1, 1)
+        shape = lambda c: F.regexp_extract(F.schema_of_variant(f"v{c}"), "^[A-Z]+", 0)
+        kind = lambda c: F.when(F.col(f"v{c}").isNull(), "INVALID").when(begins(c) == "{", "OBJECT").when(begins(c) == "[", "ARRAY").otherwise(shape(c))
+        df = df.withColumns({f"k{c}": kind(c) for c in "xy"})
+        keys = lambda c: F.array_join(F.sort_array(F.array_except(F.json_object_keys(c), hidden)), ",")
+        value = lambda c: F.when(F.col(f"k{c}") == "OBJECT", keys(c)).when(F.col(f"k{c}") == "ARRAY", F.json_array_length(c).cast("string")).otherwise(F.col(c))
+        return df.select(key, "at", "path", *(F.struct(F.col(f"k{c}").alias("kind"), value(c).alias("value")).alias(f"n{c}") for c in "xy"), *(F.when(F.col(f"k{c}").isin("OBJECT", "ARRAY"), F.col(f"t{c}")).alias(c) for c in "xy"))
+
     while True:
-        v = F.try_parse_json("text")
-        shape = F.schema_of_variant(v)
-        kind = F.when(v.isNull(), "INVALID").otherwise(F.regexp_extract(shape, "^[A-Z]+", 0))
-        keys = F.array_join(F.array_sort(F.filter(F.json_object_keys("text"), lambda k: ~k.isin(volatile) if volatile else F.lit(True))), ",")
-        value = F.when(kind == "OBJECT", keys).when(kind == "ARRAY", F.json_array_length("text").cast("string")).otherwise(F.col("text"))
-        level = materialize(level.select(key, "at", "path", kind.alias("kind"), value.alias("value"), "text"), "json")
-        levels.append(level.drop("text"))
-        inner = level.where("kind in ('OBJECT', 'ARRAY')")
+        level = materialize(judged(level), "json")
+        same = F.col("nx").eqNullSafe(F.col("ny"))
+        found.append(level.where(~same).select(key, "at", "path", "nx", "ny"))
+        inner = level.where(same & F.col("x").isNotNull() & (F.col("x") != F.col("y")))
         if inner.isEmpty():
             break
-        child = inner.withColumn("v", F.parse_json("text")).select(key, "at", "path", "v").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "child"))
-        child = child.where(~F.coalesce(F.col("name").isin(volatile), F.lit(False)) if volatile else F.lit(True))
-        step = F.coalesce("name", F.format_string("%010d", "pos"))
-        more = F.when(F.col("name").isNotNull(), F.concat(F.lit("."), "name")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        level = child.select(key, F.concat("at", F.array(step)).alias("at"), F.concat("path", more).alias("path"), F.to_json("child").alias("text"))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def json_diff(a: DataFrame, b: DataFrame, key: str, column: str, volatile: Iterable[str] = ()) -> DataFrame:
-    """key and the first difference (path, what, left, right) of the JSON of rows with that key on both sides; keys are unique."""
-    x, y = (json_nodes(df, key, column, volatile).select(key, "path", "at", F.struct("kind", "value").alias(n)) for df, n in ((a, "x"), (b, "y")))
-    both = x.join(y.drop("at"), [key, "path"])
-    what = F.when(F.col("x.kind") != F.col("y.kind"), "type").when(F.col("x.kind") == "OBJECT", "keys").when(F.col("x.kind") == "ARRAY", "length").otherwise("value")
-    pick = lambda s: F.when(what == "type", F.col(f"{s}.kind")).when(what == "keys", F.array_join(F.array_except(F.split(f"{s}.value", ","), F.split(f"{'y' if s == 'x' else 'x'}.value", ",")), ",")).otherwise(F.col(f"{s}.value"))
-    found = both.where(~F.col("x").eqNullSafe(F.col("y"))).select(key, "at", F.struct("path", what.alias("what"), pick("x").alias("left"), pick("y").alias("right")).alias("d"))
-    return found.groupBy(key).agg(F.min_by("d", "at").alias("d")).select(key, "d.*")
+        # the text of a variant has its keys in order, so that equal keys lie at equal places
+        fields = lambda c: F.map_filter(F.from_json(c, "map<string,variant>"), lambda k, v: ~F.array_contains(hidden, k))
+        objects = inner.where("nx.kind = 'OBJECT'").select(key, "at", "path", fields("x").alias("x"), fields("y").alias("y"))
+        objects = objects.select(key, "at", "path", F.explode(F.arrays_zip(F.map_keys("x").alias("step"), F.map_values("x").alias("x"), F.map_values("y").alias("y"))).alias("c"))
+        objects = objects.select(key, "at", "path", F.col("c.step").alias("step"), F.concat(F.lit("."), "c.step").alias("more"), "c.x", "c.y")
+        arrays = inner.where("nx.kind = 'ARRAY'").select(key, "at", "path", F.posexplode(F.arrays_zip(*(F.from_json(c, "array<variant>").alias(c) for c in "xy"))).alias("pos", "c"))
+        arrays = arrays.select(key, "at", "path", F.format_string("%010d", "pos").alias("step"), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")).alias("more"), "c.x", "c.y")
+        below = objects.unionByName(arrays)
+        level = below.select(key, F.concat("at", F.array("step")).alias("at"), F.concat("path", "more").alias("path"), *(F.coalesce(F.to_json(c), F.lit("null")).alias(c) for c in "xy"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    what = F.when(F.col("nx.kind") != F.col("ny.kind"), "type").when(F.col("nx.kind") == "OBJECT", "keys").when(F.col("nx.kind") == "ARRAY", "length").otherwise("value")
+    only = lambda s, t: F.array_join(F.array_except(F.split(f"n{s}.value", ","), F.split(f"n{t}.value", ",")), ",")
+    pick = lambda s, t: F.when(what == "type", F.col(f"n{s}.kind")).when(what == "keys", only(s, t)).otherwise(F.col(f"n{s}.value"))
+    each = out.select(key, "at", F.struct("path", what.alias("what"), pick("x", "y").alias("left"), pick("y", "x").alias("right")).alias("d"))
+    return each.groupBy(key).agg(F.min_by("d", "at").alias("d")).select(key, "d.*")

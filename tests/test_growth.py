@@ -105,3 +105,19 @@ def test_skylines_of_many_small_groups_share_calls(spark, monkeypatch):
     real = type(df.groupBy("g")).applyInArrow
     monkeypatch.setattr(type(df.groupBy("g")), "applyInArrow", lambda self, f, kind: real(self, lambda t: (calls.add(1), f(t))[1], kind))
     assert len(kept(20_000)) > 2000 and calls.value < 10  # one call a group and bucket before: more than 40
+
+
+# nested
+
+
+def test_equal_parts_of_json_are_not_gone_through(spark, monkeypatch):
+    from lodestat.operators import nested
+
+    left = [(1, '{"a": {"x": [1, 2]}, "b": 1, "run": 1}'), (2, '{"a": null, "b": 1, "run": 1}'), (3, '{"b": 1, "a": {}, "run": 1}'), (4, "no json"), (5, None)]
+    right = [(1, '{"a": {"x": [1, 2]}, "b": 1, "run": 2}'), (2, '{"a": 7, "b": 1, "run": 2}'), (3, '{"a": {}, "b": 2, "run": 2}'), (4, "[1]"), (5, "1")]
+    written, real = [], nested.materialize
+    monkeypatch.setattr(nested, "materialize", lambda df, name: written.append(real(df, name)) or written[-1])
+    a, b = (spark.createDataFrame(rows, "i long, j string") for rows in (left, right))
+    got = {r.i: tuple(r)[1:] for r in nested.json_diff(a, b, "i", "j", ["run"]).collect()}
+    assert got == {2: ("$.a", "type", "VOID", "BIGINT"), 3: ("$.b", "value", "1", "2"), 4: ("$", "type", "INVALID", "ARRAY"), 5: ("$", "type", "INVALID", "BIGINT")}
+    assert [df.count() for df in written] == [5, 2]  # all nodes of both sides before: 24
