@@ -43,20 +43,21 @@ def q1_05_log_files(spark, d):
 
 @stream_query("SELECT line_no, count(*) AS n, min(event_id) AS least FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line_no FROM events WHERE event_type IS NOT NULL) JOIN events USING (event_id) WHERE value >= 90 GROUP BY 1")
 def q1_05_log_lines(spark, d):
-    """A log for each event type, in splits of 16 KB; the line numbers of events with a high value."""
+    """A log for each event type, in splits of 16 KB or more; the line numbers of events with a high value."""
     folder, e = _folder(spark), _read(spark, d, "events").where("event_type is not null")
     line = F.concat_ws(" ", "event_id", F.when(F.col("value") >= 90, "HIGH value").otherwise("value"), F.col("value").cast("string"))
     e.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", line.alias("line")).write.partitionBy("event_type").text(folder)
-    lines = files.scan_logs(_split_small(spark), folder, ["high VALUE"])
+    lines = files.scan_logs(_split_small(spark, folder), folder, ["high VALUE"])
     return lines.groupBy("line_no").agg(F.count(F.lit(1)).alias("n"), F.min(F.split("line", " ")[0].cast("bigint")).alias("least"))
 
 
-def _split_small(spark):
-    """A session like this one that reads files in splits of 16 KB."""
+def _split_small(spark, folder):
+    """A session like this one that reads the files of folder in splits of 16 KB, or of as much more as makes them about 256 splits."""
     own = spark.newSession()
     for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(k, spark.conf.get(k))
-    own.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    size = files.list_files(spark, folder, "part-*").agg(F.sum("length")).first()[0] or 0
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(max(16384, size // 256)))
     own.conf.set("spark.sql.files.openCostInBytes", "0")
     return own
 
@@ -66,7 +67,7 @@ def q1_02_latest_lines(spark, d):
     """Three logs of JSON lines in several splits each, without a sequence column; the last line of a user wins."""
     folder, e = _folder(spark), _read(spark, d, "events").withColumn("log", F.concat(F.lit("log"), (F.col("event_id") % 3).cast("string")))
     e.repartition("log").sortWithinPartitions("log", "event_id").select("log", F.to_json(F.struct("user_id", "event_id", "event_type")).alias("line")).write.partitionBy("log").text(folder)
-    return files.latest_records(_split_small(spark), folder, "user_id long, event_id long, event_type string", ["user_id"])
+    return files.latest_records(_split_small(spark, folder), folder, "user_id long, event_id long, event_type string", ["user_id"])
 
 
 @stream_query("SELECT n_nationkey, n_name, try_cast(n_name AS BIGINT) AS as_number, n_regionkey FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation)")
