@@ -88,17 +88,17 @@ def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int, seed:
     one row each on, however many rows it has."""
     blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // 4))
     hashes = F.transform(blocks, lambda b: F.md5(F.concat_ws("|", F.col(key).cast("string"), b.cast("string"), F.lit(str(seed)))))
-    parts = F.flatten(F.transform(hashes, lambda h: F.array(*(F.substring(h, 1 + 8 * i, 8) for i in range(4)))))
-    uniforms = F.transform(parts, lambda x: F.conv(x, 16, 10).cast("double") / 4294967296.0)
-    weights = F.transform(uniforms, lambda u: sum((F.when(u >= p, 1).otherwise(0) for p in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0)))
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.slice(weights, 1, replicates).cast("array<tinyint>").alias("w"))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.array_join(hashes, "").alias("h"))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = np.zeros(replicates), np.zeros(replicates, np.int64)
         for b in batches:
-            w = b.column("w").flatten().to_numpy().reshape(-1, replicates)
-            total += b.column("v").to_numpy() @ w
-            count += w.sum(0, dtype=np.int64)
+            for at in range(0, len(b), 2000):
+                part = b.slice(at, 2000)
+                drawn = np.frombuffer(bytes.fromhex("".join(part.column("h").to_pylist())), ">u4").reshape(len(part), -1)[:, :replicates]
+                w = np.searchsorted(POISSON, drawn / 4294967296.0, "right")
+                total += part.column("v").to_numpy() @ w
+                count += w.sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(range(replicates), pa.int32()), pa.array(total), pa.array(count)], names=["replicate", "s", "n"])
 
     each = rows.mapInArrow(add_up, "replicate int, s double, n bigint").groupBy("replicate").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))

@@ -121,3 +121,29 @@ def test_equal_parts_of_json_are_not_gone_through(spark, monkeypatch):
     got = {r.i: tuple(r)[1:] for r in nested.json_diff(a, b, "i", "j", ["run"]).collect()}
     assert got == {2: ("$.a", "type", "VOID", "BIGINT"), 3: ("$.b", "value", "1", "2"), 4: ("$", "type", "INVALID", "ARRAY"), 5: ("$", "type", "INVALID", "BIGINT")}
     assert [df.count() for df in written] == [5, 2]  # all nodes of both sides before: 24
+
+
+# files, resampling
+
+
+def test_splits_do_not_grow_with_the_files(spark, tmp_path):
+    from lodestat.plans.files import _split_small
+
+    for name, lines in (("small", 3_000), ("large", 900_000)):
+        spark.range(lines).select(F.format_string("%015d", "id")).coalesce(1).write.text(f"{tmp_path}/{name}")
+        read = _split_small(spark, f"{tmp_path}/{name}").read.text(f"{tmp_path}/{name}")
+        assert read.count() == lines and 2 < read.rdd.getNumPartitions() < 300  # 880 splits of the large one before
+
+
+def test_bootstrap_weights_are_found_by_the_batch(spark):
+    import hashlib
+
+    from lodestat.operators import density
+
+    df = spark.range(300).select("id", F.col("id").cast("double").alias("v"))
+    means = density.bootstrap_means(df, "id", "v", 6, 7)
+    assert "conv(" not in plan(means)
+    for r in means.collect():
+        u = [int(hashlib.md5(f"{i}|{r.replicate // 4}|7".encode()).hexdigest()[8 * (r.replicate % 4) : 8 * (r.replicate % 4) + 8], 16) / 2**32 for i in range(300)]
+        w = [sum(x >= p for p in density.POISSON) for x in u]
+        assert math.isclose(r.mean, sum(i * x for i, x in enumerate(w)) / sum(w))
