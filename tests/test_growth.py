@@ -147,3 +147,23 @@ def test_bootstrap_weights_are_found_by_the_batch(spark):
         u = [int(hashlib.md5(f"{i}|{r.replicate // 4}|7".encode()).hexdigest()[8 * (r.replicate % 4) : 8 * (r.replicate % 4) + 8], 16) / 2**32 for i in range(300)]
         w = [sum(x >= p for p in density.POISSON) for x in u]
         assert math.isclose(r.mean, sum(i * x for i, x in enumerate(w)) / sum(w))
+
+
+# chains
+
+
+def test_successor_rows_travel_without_what_is_judged(spark):
+    from lodestat.operators import chains
+
+    sha = lambda k: f"{k:064x}"
+    m = [(k, "d", f"{k}.bin", "m", k, f"d/{k}.bin", f"e/{k}.bin", 1, s) for k, s in enumerate([sha(0), sha(1), sha(255).upper(), "odd", sha(4), None])]
+    later = [("m", k, f"d/{k}.bin", f"e/{k}.bin", "MOVED", "t", s) for k, s in enumerate([sha(0), sha(9), sha(255), "odd", sha(4), sha(5)])]
+    prior = [(k, "d", f"{k}.bin", 1, s) for k, s in enumerate([sha(0), sha(1), sha(255).upper(), "Odd", None, sha(5)])]
+    there = [(f"e/{k}.bin", 1, s) for k, s in enumerate([sha(0), sha(1), sha(255).upper(), "odd", sha(4), sha(5)])]
+    kinds = ("prior_move long, prior_destination string, prior_path string, successor_manifest string, successor_move long, successor_source string, successor_destination string, size int, sha string", "move long, destination string, path string, size int, sha string", "manifest string, move long, source string, destination string, status string, verified_at string, sha string", "path string, size int, sha string")
+    out = chains.successor_issues(*(spark.createDataFrame(r, k) for r, k in zip((m, prior, later, there), kinds)))
+    assert {r.prior_move: r.issues for r in out.collect()} == {0: [], 1: ["SUCCESSOR_PRE_HASH"], 2: ["SUCCESSOR_PRE_HASH"], 3: ["PRIOR_SHA256"], 4: ["PRIOR_HASH_MISSING"], 5: ["FIELD_MISSING", "PRIOR_SHA256", "SUCCESSOR_PRE_HASH", "DESTINATION_SHA256"]}
+    last = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    top = next(line for line in last if "Join LeftOuter" in line and "own" in line)
+    below = last[last.index(top) + 1]
+    assert "sha" not in below and "bits" in below  # the last join's rows had all columns before
