@@ -160,12 +160,13 @@ def match_levels(package: DataFrame, tree: DataFrame, by: str) -> DataFrame:
     The directory that all paths of a side share is cut off first."""
 
     def cut(df: DataFrame) -> DataFrame:
-        folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
-        ends = df.withColumn("_f", folder).groupBy(by).agg(F.min("_f").alias("lo"), F.max("_f").alias("hi"))
-        parts = F.arrays_zip(F.split("lo", "/").alias("x"), F.split("hi", "/").alias("y"))
-        same = F.size(F.filter(F.transform(parts, lambda p, i: F.forall(F.slice(parts, F.lit(1), i + 1), lambda q: q.x.eqNullSafe(q.y))), lambda ok: ok))
-        prefix = F.array_join(F.slice(F.split("lo", "/"), F.lit(1), same), "/")
-        cutoff = ends.select(by, F.when(prefix == "", 0).otherwise(F.length(prefix) + 1).alias("_n"))
+        # folders end with their slash: what the least and the largest share up to a slash, all between them share too
+        folder = F.coalesce(F.left("path", F.length("path") - F.length(F.substring_index("path", "/", -1))), F.lit(""))
+        ends = df.groupBy(by).agg(F.min(folder).alias("lo"), F.max(folder).alias("hi"))
+        parts = F.split("lo", "/")
+        other = F.array_position(F.zip_with(parts, F.split("hi", "/"), lambda x, y: x.eqNullSafe(y)), False).cast("int")
+        shared = F.when(other == 1, 0).otherwise(F.least(F.length(F.array_join(F.slice(parts, F.lit(1), other - 1), "/")) + 1, F.length("lo")))
+        cutoff = ends.select(by, F.when(F.col("lo") == F.col("hi"), F.length("lo")).otherwise(shared).alias("_n"))
         return df.join(cutoff, by).withColumn("path", F.expr("substring(path, _n + 1)")).drop("_n")
 
     p, t = cut(package), cut(tree)

@@ -167,3 +167,32 @@ def test_successor_rows_travel_without_what_is_judged(spark):
     top = next(line for line in last if "Join LeftOuter" in line and "own" in line)
     below = last[last.index(top) + 1]
     assert "sha" not in below and "bits" in below  # the last join's rows had all columns before
+
+
+# packages
+
+
+def test_shared_folder_of_packages(spark):
+    from lodestat.operators import evaluation
+
+    cases = [  # paths of the package, paths of the tree, level
+        (["a/b/1", "a/b-x/2", "a/b/c/3"], ["b/1", "b-x/2", "b/c/3"], 4),  # "a/b" and "a/b/c" enclose "a/b-x" in order of text
+        (["/a/1", "/b/2"], ["a/1", "b/2"], 4),
+        (["p/q/1", "p/q/2"], ["1", "2"], 4),
+        (["p/q/1", "p/r/1"], ["q/1", "r/1"], 4),
+        (["p/q/1", "p/r/1"], ["q/1", "s/1"], 2),
+        (["a/1", "a//2"], ["1", "/2"], 4),
+        (["1", "/2"], ["x/1", "x//2"], 4),
+        (["1", "a/2"], ["t/1", "t/a/2"], 4),
+        (["a/é/1", "a/é/ü/2"], ["1", "ü/2"], 4),
+        (["ab/1", "ac/1"], ["b/1", "c/1"], 2),
+        (["one"], ["x/y/one"], 4),
+    ]
+    table = lambda k: spark.createDataFrame([(i, p, j, j) for i, c in enumerate(cases) for j, p in enumerate(c[k])], "i long, path string, size long, crc long")
+    got = {r.i: r.level for r in evaluation.match_levels(table(0), table(1), "i").collect()}
+    assert got == {i: c[2] for i, c in enumerate(cases)}
+
+
+def test_packages_are_cut_without_nested_lambdas(spark, data):
+    text = plan(catalog.queries()["q8_05_match_levels"](spark, data))
+    assert "forall" not in text and "regexp_replace" not in text
