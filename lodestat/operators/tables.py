@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lodestat.functions.scalars import count_true, group_label, share_true, wilson
 from lodestat.operators.density import hashed_uniform
 from lodestat.operators.ranges import numbered, running, same
+from lodestat.storage import materialize
 
 
 # percentiles
@@ -416,19 +417,24 @@ def weighted_sample(df: DataFrame, by: str, key: str, weight: Column, n: int, se
 
 def spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """by and spearman: the correlation of the average ranks of rows with both values; null for a group in which a side does not vary."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by, x, y).agg(F.count(F.lit(1)).alias("_m"))
-    weights = lambda c: d.groupBy(by, c).agg(F.sum("_m").alias("n"))
-    rank = lambda c, name: running(weights(c), [by], [c], _s=("sum", F.col("n"))).select(by, c, (F.col("_s") - (F.col("n") - 1) / 2).alias(name))
-    a, b = rank(x, "_p"), rank(y, "_q")
-    j = d.alias("d").join(a.alias("a"), same([by, x], "d", "a")).join(b.alias("b"), same([by, y], "d", "b")).select(F.col(f"d.{by}").alias(by), "_m", "_p", "_q")
-    w = lambda c: F.sum(F.col("_m") * c)
-    p, q, m = F.col("_p"), F.col("_q"), F.sum("_m")
-    cov, vp, vq = (w(u * v) - w(u) * w(v) / m for u, v in ((p, q), (p, p), (q, q)))
-    return j.groupBy(by).agg(F.when((F.count_distinct("_p") > 1) & (F.count_distinct("_q") > 1), cov / F.sqrt(vp * vq)).alias("spearman"))
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rank = F.col("_s") - (F.col("_n") - 1) / 2
+    ranked = lambda weights, c: running(weights, [by], [c], _s=("sum", F.col("_n")))
+    a = ranked(d.groupBy(by, x).agg(F.count(F.lit(1)).alias("_n")), x).select(by, x, "_n", rank.alias("_p"))
+    # a value of y takes the ranks of x along, summed, so that the ranks of y need not be joined with rows again
+    b = d.alias("d").join(a.alias("a"), same([by, x], "d", "a")).groupBy(F.col(f"d.{by}").alias(by), F.col(f"d.{y}").alias(y)).agg(F.count(F.lit(1)).alias("_n"), F.sum("_p").alias("_t"))
+    b = ranked(b, y).select(by, "_n", "_t", rank.alias("_q"))
+    p, q, n = F.col("_p"), F.col("_q"), F.col("_n")
+    ofx = a.groupBy(by).agg(F.count(F.lit(1)).alias("_kx"), F.sum(n).alias("_m"), F.sum(n * p).alias("_p"), F.sum(n * p * p).alias("_pp"))
+    ofy = b.groupBy(by).agg(F.count(F.lit(1)).alias("_ky"), F.sum(n * q).alias("_q"), F.sum(n * q * q).alias("_qq"), F.sum(F.col("_t") * q).alias("_pq"))
+    cov, vp, vq = (F.col(f"_{u}{v}") - F.col(f"_{u}") * F.col(f"_{v}") / F.col("_m") for u, v in ("pq", "pp", "qq"))
+    j = ofx.alias("x").join(ofy.alias("y"), same([by], "x", "y"))
+    return j.select(F.col(f"x.{by}").alias(by), F.when((F.col("_kx") > 1) & (F.col("_ky") > 1), cov / F.sqrt(vp * vq)).alias("spearman"))
 
 
 def agreement(df: DataFrame, t: str, a: str, by: str) -> DataFrame:
-    """n, mae, quantiles of the absolute error, both correlations and the bias of a against t by group."""
+    """n, mae, quantiles of the absolute error, both correlations and the bias of a against t by group. df is computed once and written."""
+    df = materialize(df.select(by, t, a), "pairs")
     d = F.col(a) - F.col(t)
     out = agg_percentiles(df, [by], F.abs(d), [0.5, 0.9, 0.95], F.count(d).alias("n"), F.avg(F.abs(d)).alias("mae"), F.corr(t, a).alias("pearson"), F.avg(d).alias("bias"))
     out = out.alias("o").join(spearman(df, t, a, by).alias("s"), same([by], "o", "s"), "left").select("o.*", "s.spearman")

@@ -196,3 +196,27 @@ def test_shared_folder_of_packages(spark):
 def test_packages_are_cut_without_nested_lambdas(spark, data):
     text = plan(catalog.queries()["q8_05_match_levels"](spark, data))
     assert "forall" not in text and "regexp_replace" not in text
+
+
+# agreement
+
+
+def test_agreement_computes_its_pairs_once(spark, data):
+    text = plan(catalog.queries()["q9_01_agreement"](spark, data))
+    assert "FileScan" in text and "l_partkey" not in text and "p_partkey" not in text
+
+
+def test_rank_correlation_joins_rows_once(spark):
+    from lodestat.operators import tables
+
+    rng = random.Random(8)
+    rows = [(g, rng.random(), rng.choice([rng.random(), 0.5])) for g in ("a", None) for _ in range(300)] + [("flat", float(i), 2.0) for i in range(4)] + [("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    out = tables.spearman(df, "x", "y", "g")
+    assert "Scan ExistingRDD" not in plan(out)  # ranks are read, rows no more
+    got = {r.g: r.spearman for r in out.collect()}
+    rank = lambda v: np.array([sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v])
+    for g in ("a", None):
+        x, y = zip(*((x, y) for k, x, y in rows if k == g), strict=True)
+        assert math.isclose(got[g], np.corrcoef(rank(x), rank(y))[0, 1], abs_tol=1e-9)
+    assert got["flat"] is None and set(got) == {"a", None, "flat"}
