@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -108,11 +108,21 @@ def _run_out(query, clock: bool, ended=lambda: False, wait: bool = False) -> Non
 
 def flag_repeats(stream: DataFrame, keys: list[str], order: list[str], folder: str, ttl_ms: int | None = None) -> DataFrame:
     """All records with is_repeat: whether a record of the same keys came before, in an earlier batch or in the order given in its own.
-    With ttl_ms a key is forgotten that long after its last record. Keys are not null."""
+    With ttl_ms a key is forgotten that long after its last record, and keys are not null.
+
+    Without ttl_ms Spark's own deduplication says which keys a batch brings, and no key is handed to Python. Both sides of the union have one
+    source, so they see the same records in each batch."""
     kinds = StructType([*stream.schema.fields]).add("is_repeat", "boolean")
-    mode = "ProcessingTime" if ttl_ms else "None"
-    out = stream.groupBy(*keys).transformWithStateInPandas(_Repeats(order, ttl_ms), kinds, "Append", mode)
-    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{folder}/flagged/batch={batch}")
+    if ttl_ms:
+        out = stream.groupBy(*keys).transformWithStateInPandas(_Repeats(order, ttl_ms), kinds, "Append", "ProcessingTime")
+        flagged = lambda df: df
+    else:
+        brought = stream.select(*keys).dropDuplicates().withColumn("_brought", F.lit(True))
+        out = stream.withColumn("_brought", F.lit(False)).unionByName(brought, allowMissingColumns=True)
+        w = Window.partitionBy(*keys).orderBy(F.desc("_brought"), *(F.asc_nulls_last(c) for c in order))
+        first = F.lag("_brought", 1, False).over(w)  # the record behind the row that says that its key is new
+        flagged = lambda df: df.withColumn("is_repeat", ~first).where(~F.col("_brought")).select(*kinds.names)
+    write = lambda df, batch: flagged(df).write.mode("overwrite").parquet(f"{folder}/flagged/batch={batch}")
     writer = out.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write)
     _run_out(_with_rocks(stream, _trigger(writer, ttl_ms).start), bool(ttl_ms))
     found = stored(stream.sparkSession, f"{folder}/flagged")

@@ -51,6 +51,35 @@ def test_repeats_are_flagged_over_a_restart(spark, tmp_path):
     assert got == {1: False, 2: False, 3: True, 4: True, 5: False, 6: True}
 
 
+def test_repeats_are_flagged_without_python_for_each_key(spark, tmp_path, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    def refuse(*a, **k):
+        raise AssertionError("keys are handed to Python one at a time")
+
+    monkeypatch.setattr(GroupedData, "transformWithStateInPandas", refuse)
+    folder, schema = str(tmp_path), "k string, t int, i long, v double"
+    job = lambda: stateful.flag_repeats(jobs.records(spark, f"{folder}/in", files_per_batch=1), ["k", "t"], ["i"], f"{folder}/job")
+    odd = 2**53 + 1
+    files = [
+        [("a", 1, odd, 0.5), ("a", 1, odd + 2, None), ("a", 2, 7, 0.1), (None, 1, 9, 0.2), ("b", None, 3, 0.3)],
+        [("a", 1, 1, 0.5), (None, 1, 4, 0.2), ("c", 1, None, 1.0), ("c", 1, 5, 2.0), ("d", 1, 6, 3.0), ("d", 1, 6, 4.0)],
+        [("b", None, 1, 0.0), ("c", 1, 0, 0.0), ("e", 1, 8, 0.0), *(("f", i, i, 0.0) for i in range(100))],
+    ]
+    for part in (files[:2], files[2:]):  # the second run goes on where the first has stopped
+        for rows in part:
+            put(spark, folder, rows, schema)
+        got = sorted(((r.k, r.t, r.i, r.v), r.is_repeat) for r in job().collect() if r.k != "d" and None not in (r.k, r.t, r.i, r.v))
+    want = [("a", 1, 1, True), ("a", 1, odd, False), ("a", 2, 7, False), ("c", 1, 0, True), ("c", 1, 5, False), ("e", 1, 8, False), *(("f", i, i, False) for i in range(100))]
+    assert [(*r[:3], f) for r, f in got] == want
+    rows = job().collect()
+    assert len(rows) == sum(map(len, files)) and sorted(r.is_repeat for r in rows if r.k == "d") == [False, True]
+    flags = {(r.k, r.t, r.i): r.is_repeat for r in rows if None in (r.k, r.t, r.i, r.v)}
+    assert flags == {("a", 1, odd + 2): True, (None, 1, 9): False, (None, 1, 4): True, ("b", None, 3): False, ("b", None, 1): True, ("c", 1, None): True}
+    assert len(glob.glob(f"{folder}/job/checkpoint/sources/*")) == 1  # both sides of the union read one source
+    assert len(glob.glob(f"{folder}/job/flagged/batch=*")) == 3
+
+
 def test_a_key_is_forgotten_after_its_time(spark, tmp_path):
     import time
 
