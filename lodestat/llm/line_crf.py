@@ -153,8 +153,8 @@ def fit(features: list[np.ndarray], labels: np.ndarray, lengths: list[np.ndarray
 def chosen(sizes: list[tuple], lines: int) -> list:
     """Keys of (key, label, lines), in their order, that training uses: up to half of the lines for each label. A document that alone has
     more than a sixteenth of all lines, or that no longer fits, is passed over, and the next is looked at; a label that has no other
-    document gets its shortest, if it alone has no more than all lines."""
-    out = []
+    document gets its shortest, if it alone has no more than all lines. Where nothing at all would be left, each label gets its shortest."""
+    out, shortest = [], []
     for y in (0, 1):
         own, left = [(k, n) for k, label, n in sizes if label == y], lines // 2
         kept = []
@@ -162,8 +162,10 @@ def chosen(sizes: list[tuple], lines: int) -> list:
             if n <= min(left, max(1, lines // 16)):
                 kept.append(k)
                 left -= n
-        out += kept or [k for k, n in sorted(own, key=lambda x: x[1])[:1] if n <= lines]
-    return out
+        least = sorted(own, key=lambda x: x[1])[:1]
+        shortest += [k for k, _ in least]
+        out += kept or [k for k, n in least if n <= lines]
+    return out or shortest
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> Field:

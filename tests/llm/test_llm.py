@@ -618,6 +618,12 @@ def test_one_long_document_does_not_use_up_the_sample(spark):
     assert line_crf.chosen([(1, 0, 900), (3, 1, 100)], 1000) == [1, 3]
 
 
+def test_long_documents_are_used_where_there_are_no_others():
+    assert line_crf.chosen([(1, 0, 6000), (2, 0, 5000), (3, 1, 7000)], 1000) == [2, 3]
+    assert line_crf.chosen([(1, 1, 1001)], 1000) == [1] and line_crf.chosen([], 1000) == []
+    assert line_crf.chosen([(1, 0, 6000), (3, 1, 7000), (4, 1, 1000)], 1000) == [4]
+
+
 def test_language_sets_equal_exhaustive_search():
     rng = np.random.default_rng(11)
     from itertools import combinations
