@@ -85,7 +85,7 @@ def paired_compare(base: DataFrame, new: DataFrame, key: str, value: str, good:
     """One row: matched cases, recovered, regressed, medians and nearest-rank 95 % of both values, and the medians of the differences of
     value (run time, say) and error in matched cases, of which error counts only where both are good."""
     side = lambda df, x: df.select(key, F.col(value).alias(f"v{x}"), F.col(good).alias(f"g{x}"), F.col(error).alias(f"e{x}"))
-    both = side(base, "b").join(side(new, "n"), key)
+    both = materialize(side(base, "b").join(side(new, "n"), key), "cases")  # read once for each figure
     lost, won = F.col("gb") & ~F.coalesce("gn", F.lit(False)), ~F.coalesce("gb", F.lit(False)) & F.col("gn")
     out = both.agg(F.count(F.lit(1)).alias("n_cases"), count_true(won).alias("recovered"), count_true(lost).alias("regressed"))
     parts = {"median_base": F.col("vb"), "median_new": F.col("vn"), "delta_value": F.col("vn") - F.col("vb"), "delta_error": F.when(F.col("gb") & F.col("gn"), F.col("en") - F.col("eb"))}
@@ -117,6 +117,15 @@ def with_total(df: DataFrame, of: DataFrame, by: str, **totals: Column) -> DataF
     return df.alias("a").join(t.alias("b"), same([by], "a", "b")).select("a.*", *(f"b.{k}" for k in totals))
 
 
+def means_in_order(df: DataFrame, by: str, order: list[str], **values: Column) -> DataFrame:
+    """by and the mean of each value, added up one row after the other in the order given: a sum of doubles is the same however the rows are
+    split. A group passes one task, which keeps what does not fit in memory on disk."""
+    w = Window.partitionBy(by).orderBy(*order)
+    sums = {k: F.avg(k).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for k in values}
+    rows = df.select(by, *order, *(c.alias(k) for k, c in values.items()))
+    return rows.withColumns(sums | {"_next": F.lead(F.lit(1)).over(w)}).where("_next is null").select(by, *values)
+
+
 def count_by(df: DataFrame, col: str | Column) -> DataFrame:
     return df.groupBy(group_label(F.col(col) if isinstance(col, str) else col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 

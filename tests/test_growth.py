@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestat import catalog
@@ -58,6 +59,25 @@ def test_camera_in_the_plane_of_a_face(spark):
     assert all(r.v is None for r in spark.createDataFrame(odd, "p array<array<double>>, eye array<double>").select(cuboids.visible_corners(F.col("p"), F.col("eye")).alias("v")).collect())
 
 
+# sums of doubles
+
+
+def test_means_do_not_depend_on_how_rows_are_split(spark, data, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i in range(12):
+        con.execute(f"COPY (SELECT * FROM '{data}/lineitem.parquet' LIMIT 500 OFFSET {500 * i}) TO '{tmp_path}/lineitem.parquet/part-{i:02}.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["q3_04_paired_compare"])
+    names, want = [c[0] for c in want.description], want.fetchone()
+    for folder in (data, str(tmp_path)):
+        got = catalog.queries()["q3_04_paired_compare"](spark, folder).select(*names).first()
+        assert tuple(got) == pytest.approx(want, abs=1e-6)
+
+
 # streams
 
 
